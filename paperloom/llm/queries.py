@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .apportion import mix_sources
 from .common import table
 from .pack import pack
+from .parity import jaccard_components
 
 
 def tokenizer_path() -> str:
@@ -22,6 +23,10 @@ def op3_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -30,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op3_sainte_lague_mix,
+        op4_parity_jaccard,
         op7_bounded_best_fit,
     )
 }
