@@ -96,7 +96,7 @@ def mix_sources(
     share: float = 1.5,
     epochs: int = 2,
     block_tokens: int = 32,
-    shard_docs: int = 20_000,
+    shard_docs: int = 2_000,
     seed: str = "mix",
     scratch: Scratch | None = None,
 ) -> DataFrame:
