@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences with a bounded number of open bins.
 
 Tokens come from a word-level vocabulary whose pieces (words, single digits,
-punctuation runs) are encoded one by one, so each worker keeps the ids of the
-pieces it has met; texts outside plain Latin letters go to the tokenizer whole.
+punctuation runs) are encoded one by one and never cross white space, so each
+worker keeps the ids of the runs it has met; texts outside plain Latin letters go to the tokenizer whole.
 
 Packing sees lengths only. The documents' pieces are dealt to groups of about
 ``group_docs`` documents by hash and fed longest first to an online best-fit:
@@ -21,72 +21,162 @@ import math
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters whose normal form, case and class need no library: ASCII, Latin-1 letters and Latin Extended-A.
-_PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ĩĲ-ſ]*"
-#: The vocabulary's own splitting rule (fixed values).
+from .common import slices, text_buffer, word_hashes, word_spans
+
+#: Bytes that no plain text has. Plain characters need no library for normal form, case and class: tab, line
+#: ends, U+0020-7E, U+00A1-AC, U+00AE-0129, U+0132-017F.
+_NEVER = np.ones(256, bool)
+_NEVER[[9, 10, 13]] = False
+_NEVER[0x20:0x7F] = False
+_NEVER[0x80:0xC0] = False
+_NEVER[0xC2:0xC6] = False
+#: The vocabulary's own splitting rule (fixed value).
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces that a worker remembers.
-_REMEMBER = 400_000
+#: White-space runs that a worker remembers.
+_REMEMBER = 700_000
 
 
 class Encoder:
-    """Little-endian uint32 ids of a text under a tokenizer file."""
+    """Ids of texts under a tokenizer file.
+
+    Pieces never cross white space, so the ids of a lower-cased white-space run
+    are kept under its 64-bit hash, and a batch is put together from them with
+    array operations. Runs not met before are cut into pieces; a piece goes to
+    the tokenizer's model once. Texts with other characters are encoded whole.
+    """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = regex.compile(_PLAIN).fullmatch
-        self.split = regex.compile(_SPLIT).findall
-        outer = self
-
-        class Known(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if len(self) >= _REMEMBER:
-                    self.clear()
-                got = self[piece] = outer.whole(piece)
-                return got
-
-        self.known = Known()
-
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text or not self.plain(text):
-            return self.whole(text)
+        self.pieces = regex.compile(_SPLIT).findall
+        self.symbol = _byte_symbols()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.of_piece: dict[str, list[int]] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.lo, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, code: int, run: str) -> int:
+        ids: list[int] = []
+        for piece in self.pieces(run):
+            got = self.of_piece.get(piece)
+            if got is None:
+                symbols = piece.translate(self.symbol)
+                got = self.of_piece[piece] = [t.id for t in self.tokenizer.model.tokenize(symbols)]
+            ids += got
+        at = self.known[code] = len(self.known)
+        if at >= len(self.lo):
+            self.lo, self.n = np.resize(self.lo, 2 * at), np.resize(self.n, 2 * at)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.lo[at], self.n[at] = self.used, len(ids)
+        self.used += len(ids)
+        return at
+
+    def many(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string column."""
+        if len(self.known) > _REMEMBER:
+            self.forget()
+        texts = pc.fill_null(column.cast(pa.large_string()), "")
+        raw, offsets, _ = text_buffer(texts)
+        odd = _odd(raw, offsets)
+        if len(odd):
+            keep = np.ones(len(texts), bool)
+            keep[odd] = False
+            plain = pc.if_else(pa.array(keep), texts, "")
+        else:
+            plain = texts
+        raw, offsets, _ = text_buffer(pc.utf8_lower(plain))
+        starts, ends, first = word_spans(raw, offsets)
+        codes, at, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
         known = self.known
-        return b"".join([known[p] for p in self.split(text.lower())])
+        slot = np.array([known.get(c, -1) for c in codes.tolist()], np.int64)
+        for i in np.flatnonzero(slot < 0).tolist():
+            j = at[i]
+            slot[i] = self._learn(int(codes[i]), raw[starts[j] : ends[j]].tobytes().decode())
+        slot = slot[inverse]
+        n = self.n[slot]
+        total = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.repeat(self.lo[slot] - total[:-1], n) + np.arange(total[-1])]
+        cut = total[first]
+        out = [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for i in odd.tolist():
+            out[i] = self.whole(texts[i].as_py())
+        return out
+
+
+def _byte_symbols() -> dict[int, str]:
+    """Code point → the printable symbols that a byte-level model has for its UTF-8 bytes, for plain texts.
+
+    Fixed values: printable ASCII and Latin-1 stand for themselves, the other bytes follow from U+0100 on.
+    """
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    of = {b: chr(b) for b in shown}
+    for b in range(256):
+        if b not in of:
+            of[b] = chr(256 + len(of) - len(shown))
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in range(0x180)}
+
+
+def _odd(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts with characters outside ``_PLAIN``'s ranges, or with the opening of a special token."""
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    bad = _NEVER[raw]
+    after = raw[1:]
+    bad[:-1] |= (raw[:-1] == 0xC2) & ((after == 0xA0) | (after == 0xAD) | (after < 0xA0))
+    bad[:-1] |= (raw[:-1] == 0xC4) & (after >= 0xAA) & (after <= 0xB1)
+    bad[:-1] |= (raw[:-1] == 60) & (after == 124)
+    return np.unique(np.searchsorted(offsets, np.flatnonzero(bad), side="right") - 1)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker process: what it has learnt serves its later tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of docs(doc_id, text)."""
-    tail = end_id.to_bytes(4, "little")
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        code = encoder(tokenizer)
+        tail = np.array([end_id], np.uint32)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            _, offsets, _ = text_buffer(batch.column(1))
             row, piece, start, length, crc = [], [], [], [], []
-            for i in range(len(texts)):
-                data = encode(texts[i].as_py() or "") + tail
-                for k in range(0, len(data), 4 * capacity):
-                    part = data[k : k + 4 * capacity]
-                    row.append(i)
-                    piece.append(k // (4 * capacity))
-                    start.append(k // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+            for lo, hi in slices(offsets):
+                for i, ids in enumerate(code.many(batch.column(1).slice(lo, hi - lo)), lo):
+                    ids = np.concatenate((ids, tail)).astype("<u4", copy=False)
+                    for k in range(0, len(ids), capacity):
+                        part = ids[k : k + capacity]
+                        row.append(i)
+                        piece.append(k // capacity)
+                        start.append(k)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part))
             yield pa.record_batch(
-                [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
