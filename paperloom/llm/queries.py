@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .apportion import mix_sources
 from .common import table
+from .linecrf import line_rules
 from .pack import pack
 from .parity import jaccard_components
 
@@ -19,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_crf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op7_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_line_crf_rules,
         op3_sainte_lague_mix,
         op4_parity_jaccard,
         op7_bounded_best_fit,
