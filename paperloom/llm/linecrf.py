@@ -7,9 +7,10 @@ least ``share`` of its word characters and no base rule failed.
 
 The model is trained here, on at most ``train_docs`` labelled documents (those
 with the smallest crc32 of their id): lines of documents marked good start as
-content, lines of documents marked bad as boilerplate; a few rounds of decoding
-under the rule that a bad document has at least half boilerplate let the
-ordinary lines of bad documents become content.
+content, lines of documents marked bad as boilerplate; rounds of relabelling by
+the lines' own features, under the rule that a bad document has at least half
+boilerplate, let the ordinary lines of bad documents become content before the
+chain is fitted.
 
 Edge cases: null and empty texts have no words (base rules fail); a line
 without words has no features but its neighbours'; repeated rows are judged
@@ -186,8 +187,8 @@ class LineCrf:
             now[:live] = back[at, now[:live]]
         return label
 
-    def fit(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 120, rate: float = 0.5, ridge: float = 1e-3) -> None:
-        """Gradient ascent on the exact log-likelihood (forward-backward), with momentum."""
+    def fit(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, chain: bool, rounds: int = 400, rate: float = 2.0, ridge: float = 1e-4) -> None:
+        """Gradient ascent on the exact log-likelihood (forward-backward), with momentum. Without chain, pairs stay 0."""
         xb = np.hstack([x, np.ones((len(x), 1))])
         inner = np.ones(len(x), bool)
         inner[first[:-1][np.diff(first) > 0]] = False
@@ -203,7 +204,8 @@ class LineCrf:
             vel_u = 0.9 * vel_u + rate * ((seen_u - xb.T @ node) / len(x) - ridge * self.unary)
             vel_p = 0.9 * vel_p + rate * ((seen_p - edge) / len(x) - ridge * self.pair)
             self.unary += vel_u
-            self.pair += vel_p
+            if chain:
+                self.pair += vel_p
 
     def _marginals(self, s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = np.diff(first)
@@ -242,7 +244,7 @@ def train(texts: list[str], quality: list[int], passes: int = 3) -> LineCrf:
     bad = np.array(quality)[lines.doc] == 0
     y = bad.astype(np.int8)
     for k in range(passes):
-        crf.fit(x, y, lines.first_line)
+        crf.fit(x, y, lines.first_line, chain=k + 1 == passes)
         if k + 1 == passes:
             break
         node, _ = crf._marginals(crf.scores(x), lines.first_line)
