@@ -11,6 +11,7 @@ from .common import table
 from .linecrf import line_rules
 from .pack import pack
 from .parity import jaccard_components
+from .warc import archive
 
 
 def tokenizer_path() -> str:
@@ -36,6 +37,10 @@ def op7_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_sainte_lague_mix,
         op4_parity_jaccard,
         op7_bounded_best_fit,
+        op10_warc_round_trip,
     )
 }
 
