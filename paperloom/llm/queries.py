@@ -11,6 +11,7 @@ from .common import table
 from .linecrf import line_rules
 from .pack import pack
 from .parity import jaccard_components
+from .phrases import remove_repeats
 from .warc import archive
 
 
@@ -37,6 +38,10 @@ def op7_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_sainte_lague_mix,
         op4_parity_jaccard,
         op7_bounded_best_fit,
+        op9_phrase_automata,
         op10_warc_round_trip,
     )
 }
