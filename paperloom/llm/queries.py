@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .apportion import mix_sources
+from .bytecnn import classify
 from .common import table
 from .linecrf import line_rules
 from .pack import pack
@@ -34,6 +35,10 @@ def op4_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_line_crf_rules,
         op3_sainte_lague_mix,
         op4_parity_jaccard,
+        op5_byte_cnn_quality,
         op7_bounded_best_fit,
         op9_phrase_automata,
         op10_warc_round_trip,
