@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .apportion import mix_sources
 from .bytecnn import classify
 from .common import table
+from .langid import identify, learn
 from .linecrf import line_rules
 from .pack import pack
 from .parity import jaccard_components
@@ -39,6 +40,11 @@ def op5_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs))
+
+
 def op7_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_sainte_lague_mix,
         op4_parity_jaccard,
         op5_byte_cnn_quality,
+        op6_kneser_ney_language,
         op7_bounded_best_fit,
         op9_phrase_automata,
         op10_warc_round_trip,
