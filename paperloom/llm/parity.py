@@ -273,23 +273,30 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
         return joined.where(_near(bands, "a", "b")).select("u", "v", same.alias("same"))
 
     hubs = shared.where("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
+    hubs = scratch.store(hubs, "hubs")
     first = scratch.store(candidates(hubs), "candidates")
     links = verify(first.where("not same"), docs, k, percent, scratch).unionByName(first.where("same").select("u", "v"))
     links = scratch.store(links, "linked")
     found = scratch.store(components(links, scratch), "components")
 
-    # keys whose documents are in several components: all pairs across them that the bounds allow
-    member = scratch.store(
-        shared.select("key", "doc_id").unionByName(shared.select("key", F.col("hub").alias("doc_id"))).distinct()
-        .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "members")
-    open_keys = member.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
-    rest = scratch.store(member.join(open_keys, "key").join(sigs, "doc_id"), "rest")
+    # A key's rows tie all its documents to each other through hubs, so its documents are in one component
+    # unless a row's ends are in two. Those keys' pairs are joined in full across components.
+    def component_of(rows: DataFrame, column: str, name: str) -> DataFrame:
+        there = found.select(F.col("node").alias(column), F.col("component").alias(name))
+        return rows.join(there, column, "left").withColumn(name, F.coalesce(name, column))
+
+    split = component_of(component_of(hubs, "u", "_cu"), "v", "_cv").where("_cu <> _cv").select("u", "v")
+    split = small(scratch.store(split, "split"))
+    apart = (F.greatest("doc_id", "hub") == F.col("u")) & (F.least("doc_id", "hub") == F.col("v"))
+    open_keys = small(scratch.store(shared.join(split, apart).select("key").distinct(), "open"))
+    member = shared.join(open_keys, "key", "left_semi")
+    member = member.select("key", F.explode(F.array("doc_id", "hub")).alias("doc_id")).distinct()
+    rest = scratch.store(component_of(member, "doc_id", "component").join(sigs, "doc_id"), "rest")
     a, b = rest.alias("a"), rest.alias("b")
     across = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _near(bands, "a", "b")
     more = scratch.store(a.join(b, across).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "across")
     scratch.drop(shared)
-    scratch.drop(member)
+    scratch.drop(rest)
     late = verify(more, docs, k, percent, scratch)
     if not late.isEmpty():
         found = scratch.store(components(links.unionByName(late), scratch), "components")
