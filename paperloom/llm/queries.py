@@ -14,6 +14,7 @@ from .linecrf import line_rules
 from .pack import pack
 from .parity import jaccard_components
 from .phrases import remove_repeats
+from .piicrf import detect
 from .warc import archive
 
 
@@ -49,6 +50,10 @@ def op7_bounded_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(table(spark, sf_dir, "documents"))
+
+
 def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_byte_cnn_quality,
         op6_kneser_ney_language,
         op7_bounded_best_fit,
+        op8_skip_chain_pii,
         op9_phrase_automata,
         op10_warc_round_trip,
     )
