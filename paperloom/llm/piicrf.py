@@ -187,7 +187,8 @@ class Field:
         return np.exp(b)
 
     def fit(self, active: list[list[int]], y: np.ndarray, edges: list[tuple[int, int, bool]], rounds: int = 400, rate: float = 1.0) -> None:
-        """Unary weights by maximum likelihood; potentials from smoothed counts of label pairs against independence, halved since the unary weights see the same words."""
+        """Unary weights by maximum likelihood. Chain potentials: counts of label pairs against independence, smoothed
+        towards it, and halved since the unary weights see the neighbours too. Skip potential: log-odds of equal labels, with 150 to 1 before any edge is seen."""
         x = np.zeros((len(active), FEATURES))
         for i, f in enumerate(active):
             x[i, f] = 1
@@ -198,17 +199,18 @@ class Field:
             vel = 0.9 * vel + rate * (x.T @ (target - p) / len(x) - 1e-4 * self.w)
             self.w += vel
         share = (target.sum(0) + 1) / (len(y) + len(LABELS))
+        fair = np.outer(share, share)
         for is_skip in (False, True):
-            n = np.full((len(LABELS), len(LABELS)), 0.5)
+            n = np.zeros((len(LABELS), len(LABELS)))
             for a, b, s in edges:
                 if s == is_skip:
-                    n[y[a], y[b]] += 1
-                    n[y[b], y[a]] += 1
-            ratio = np.log(n / n.sum() / np.outer(share, share)) / 2
-            if is_skip:
-                self.skip = np.clip(ratio, -3, 3)
+                    n[y[a], y[b]] += 0.5
+                    n[y[b], y[a]] += 0.5
+            if is_skip:  # one bonus for equal labels
+                same = np.trace(n)
+                self.skip = np.eye(len(LABELS)) * np.clip(np.log((same + 150) / (n.sum() - same + 1)), 1, 5)
             else:
-                self.chain = np.clip(ratio, -2, 2)
+                self.chain = np.clip(np.log((n + 20 * fair) / (n.sum() + 20) / fair) / 2, -2, 2)
 
 
 def _lse(x: np.ndarray, axis: int = -1) -> np.ndarray:
@@ -222,7 +224,7 @@ def graph(words: list[str], at: list[int], offset: int) -> list[tuple[int, int,
     last: dict[str, int] = {}
     for k, i in enumerate(at):
         form, digits = _form(words[i]), _digits(words[i])
-        keys = {f"f{form}"}
+        keys = {f"f{form}"} if len(form) >= 6 else set()
         if len(digits) >= 6:
             keys.add(f"d{digits}")
         if len(digits) >= 7:
@@ -237,6 +239,16 @@ def graph(words: list[str], at: list[int], offset: int) -> list[tuple[int, int,
     return edges
 
 
+def _hit(base: list[tuple[int, int, int]], a: int, b: int) -> int:
+    """Label that the base spans give to a word: the kind that covers over half of it."""
+    hit = max(((min(b, e) - max(a, s), k) for s, k, e in base), default=(0, 0))
+    return hit[1] + 1 if 2 * hit[0] > b - a else 0
+
+
+#: Evidence (log) that a base span adds to its words' label.
+_CLEAR = 12.0
+
+
 def train(texts: list[str]) -> Field | None:
     active, labels, edges = [], [], []
     for text in texts:
@@ -244,9 +256,7 @@ def train(texts: list[str]) -> Field | None:
         base = base_spans(text)
         edges += graph(words, at, len(active))
         for i in at:
-            a, b = spans[i]
-            hit = max(((min(b, e) - max(a, s), k) for s, k, e in base), default=(0, 0))
-            labels.append(hit[1] + 1 if 2 * hit[0] > b - a else 0)
+            labels.append(_hit(base, *spans[i]))
             active.append(features(words, digits, i))
     if not active:
         return None
@@ -255,9 +265,9 @@ def train(texts: list[str]) -> Field | None:
     return field
 
 
-def find(texts: list[str], field: Field | None, sure: float = 0.9) -> list[tuple[list, list]]:
+def find(texts: list[str], field: Field | None, sure: float = 0.7) -> list[tuple[list, list]]:
     """Per text: base spans, and spans that the field adds with beliefs of at least ``sure``."""
-    found, active, edges, where = [], [], [], []
+    found, active, edges, where, clear = [], [], [], [], []
     for t, text in enumerate(texts):
         base = base_spans(text)
         found.append((base, []))
@@ -268,9 +278,12 @@ def find(texts: list[str], field: Field | None, sure: float = 0.9) -> list[tuple
         for i in at:
             active.append(features(words, digits, i))
             where.append((t, i, *spans[i], words[i]))
+            clear.append(_hit(base, *spans[i]))
     if not active:
         return found
-    belief = field.beliefs(field.unary(active), edges)
+    unary = field.unary(active)
+    unary[np.arange(len(clear)), clear] += np.where(np.array(clear) > 0, _CLEAR, 0)
+    belief = field.beliefs(unary, edges)
     pick = belief.argmax(1)
     last = (-1, -2, 0)
     for n in np.flatnonzero((pick > 0) & (belief.max(1) >= sure)).tolist():
