@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .apportion import mix_sources
 from .bytecnn import classify
 from .common import table
+from .epsilon import near_duplicates
 from .langid import identify, learn
 from .linecrf import line_rules
 from .pack import pack
@@ -29,6 +30,10 @@ def op1_line_crf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_epsilon_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_crf_rules,
+        op2_epsilon_grid_order,
         op3_sainte_lague_mix,
         op4_parity_jaccard,
         op5_byte_cnn_quality,
