@@ -188,7 +188,7 @@ class Field:
 
     def fit(self, active: list[list[int]], y: np.ndarray, edges: list[tuple[int, int, bool]], rounds: int = 400, rate: float = 1.0) -> None:
         """Unary weights by maximum likelihood. Chain potentials: counts of label pairs against independence, smoothed
-        towards it, and halved since the unary weights see the neighbours too. Skip potential: log-odds of equal labels, with 150 to 1 before any edge is seen."""
+        towards it, and halved since the unary weights see the neighbours too. Skip potential: log-odds of equal labels, with 20 000 to 1 before any edge is seen."""
         x = np.zeros((len(active), FEATURES))
         for i, f in enumerate(active):
             x[i, f] = 1
@@ -208,7 +208,7 @@ class Field:
                     n[y[b], y[a]] += 0.5
             if is_skip:  # one bonus for equal labels
                 same = np.trace(n)
-                self.skip = np.eye(len(LABELS)) * np.clip(np.log((same + 150) / (n.sum() - same + 1)), 1, 5)
+                self.skip = np.eye(len(LABELS)) * np.clip(np.log((same + 20_000) / (n.sum() - same + 1)), 1, 12)
             else:
                 self.chain = np.clip(np.log((n + 20 * fair) / (n.sum() + 20) / fair) / 2, -2, 2)
 
