@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import scans
+from .plans import joins, records, scans
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "scans"]
+__all__ = ["ORACLES", "QUERIES", "joins", "records", "scans"]

@@ -40,10 +40,10 @@ def backfill(found: DataFrame, source: DataFrame, key: str) -> DataFrame:
 
 
 def semi_or_all(rows: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Rows whose key the source has; all source rows if none survives (one aggregate decides, inside the plan)."""
+    """Rows whose key the source has; all rows if none survives (one aggregate decides, inside the plan)."""
     kept = rows.join(source.select(key).distinct(), key, "left_semi")
     none = kept.agg(F.count(F.lit(1)).alias("_n"))
-    rest = source.join(F.broadcast(none), F.col("_n") == 0).drop("_n")
+    rest = rows.join(F.broadcast(none), F.col("_n") == 0).drop("_n")
     return kept.unionByName(rest)
 
 

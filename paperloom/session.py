@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -48,3 +48,11 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(_PACKAGE.parent).as_posix())
     sc.addPyFile(str(target))
     _shipped.add(sc.applicationId)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's shared folder; only where none is named (tests), a local one is set."""
+    sc = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-checkpoint-"))
+    return df.checkpoint()
