@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .apportion import mix_sources
 from .bytecnn import classify
 from .common import table
@@ -64,7 +65,7 @@ def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(table(spark, sf_dir, "pages"))
+    return archive(table(spark, sf_dir, "pages")).drop("url")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -83,4 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_epsilon_grid_order": oracles.OP2,
+    "op3_sainte_lague_mix": oracles.OP3,
+    "op4_parity_jaccard": oracles.OP4,
+    "op9_phrase_automata": oracles.OP9,
+    "op10_warc_round_trip": oracles.OP10,
+}
