@@ -1,0 +1,33 @@
+"""Every query runs on the smallest tables and, where SQL exists, equals it."""
+
+import pytest
+
+from paperloom.catalog import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_equals_sql(name, same_as_sql):
+    same_as_sql(QUERIES[name], ORACLES[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_runs_with_rows(name, spark, sf_dir):
+    assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_entry_has_rows_and_llm_is_optional(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_nothing_outside_imports_the_llm_subpackage():
+    from pathlib import Path
+
+    import paperloom
+
+    top = Path(paperloom.__file__).parent
+    for path in top.rglob("*.py"):
+        if "llm" not in path.relative_to(top).parts:
+            assert "llm" not in path.read_text(), path
