@@ -122,7 +122,8 @@ def block_pairs(meta: DataFrame, eps: float) -> DataFrame:
     size = 2 * eps
 
     def reach(side: str, grow: float, j: int) -> list[F.Column]:
-        return [F.floor((F.col(f"{side}lo")[j] - grow) / size), F.floor((F.col(f"{side}hi")[j] + grow) / size)]
+        at = lambda end: F.coalesce(F.get(f"{side}{end}", F.lit(j)), F.lit(0.0))  # noqa: E731  a vector may have one component
+        return [F.floor((at("lo") - grow) / size), F.floor((at("hi") + grow) / size)]
 
     def spread(grow: float, name: str) -> DataFrame:
         m = meta.select(*[F.col(c).alias(f"{name}{c}") for c in ("block", "lo", "hi")], "label", "dim")

@@ -15,8 +15,8 @@ of ``step`` bytes, its header is parsed, the block is framed by Content-Length
 and block and payload digests are checked against the header.
 
 Edge cases: null html is an empty payload; null page_ids are written without an
-id and come back null; rows with equal id and payload are one response and
-revisits of it; an empty table gives an empty result; a damaged record raises.
+id, come back null and are last; rows that repeat the smallest page_id are
+responses too; an empty table gives an empty result; a damaged record raises.
 """
 
 from __future__ import annotations
@@ -37,18 +37,18 @@ _CRLF = b"\r\n"
 def plan_records(pages: DataFrame, min_bytes: int, scratch: Scratch) -> DataFrame:
     """page_id, url, payload (binary), digest, record_type, refers_to."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    base = pages.select("page_id", "url", payload.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "row": F.monotonically_increasing_id()})
+    base = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     # only digests of several rows need their first page, combined before the shuffle
     firsts = (
         base.where(F.length("payload") >= min_bytes)
         .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("z"), "page_id", "row")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("z"), "page_id")).alias("first"))
         .where("n > 1")
-        .select(F.col("digest").alias("_digest"), F.col("first.page_id").alias("_page"), F.col("first.row").alias("_row"))
+        .select(F.col("digest").alias("_digest"), F.col("first.page_id").alias("_page"))
     )
     firsts = scratch.store(firsts, "firsts")
     joined = base.join(firsts, (F.col("digest") == F.col("_digest")) & (F.length("payload") >= min_bytes), "left")
-    again = F.col("_row").isNotNull() & (F.col("_row") != F.col("row"))
+    again = F.col("_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_page"))
     return joined.select(
         "page_id", "url", F.when(again, F.lit(None)).otherwise(F.col("payload")).alias("payload"), F.length("payload").cast("long").alias("size"), "digest",
         F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_page")).alias("refers_to"),
