@@ -39,8 +39,8 @@ _NEVER[0x80:0xC0] = False
 _NEVER[0xC2:0xC6] = False
 #: The vocabulary's own splitting rule (fixed value).
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: White-space runs that a worker remembers.
-_REMEMBER = 700_000
+#: White-space runs, and pieces, that a worker remembers at most (about 75 MB each).
+_REMEMBER = 500_000
 
 
 class Encoder:
@@ -59,11 +59,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = regex.compile(_SPLIT).findall
         self.symbol = _byte_symbols()
+        self.of_piece: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.of_piece: dict[str, list[int]] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.lo, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
@@ -71,13 +71,16 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, code: int, run: str) -> int:
-        ids: list[int] = []
+        parts = []
         for piece in self.pieces(run):
             got = self.of_piece.get(piece)
             if got is None:
-                symbols = piece.translate(self.symbol)
-                got = self.of_piece[piece] = [t.id for t in self.tokenizer.model.tokenize(symbols)]
-            ids += got
+                if len(self.of_piece) >= _REMEMBER:
+                    self.of_piece.clear()
+                tokens = self.tokenizer.model.tokenize(piece.translate(self.symbol))
+                got = self.of_piece[piece] = np.array([t.id for t in tokens], np.uint32).tobytes()
+            parts.append(got)
+        ids = np.frombuffer(b"".join(parts), np.uint32)
         at = self.known[code] = len(self.known)
         if at >= len(self.lo):
             self.lo, self.n = np.resize(self.lo, 2 * at), np.resize(self.n, 2 * at)

@@ -5,8 +5,8 @@ P equal parts and XOR-ing the hashes of each part gives a parity sketch: an
 element of the symmetric difference changes the part it falls into and no other,
 so two sets that differ in at most D elements agree in at least P - D parts. Sizes a
 and b with Jaccard >= t differ in at most (a + b)(1 - t)/(1 + t) elements; size
-bands of ratio ``band`` bound that by D per band, and P = D + 1 + slack leaves an
-agreeing part that is not empty. (A document with so many empty parts that this
+bands of ratio ``band`` bound that by D per band, and P is chosen so that an
+agreeing part is left that is not empty. (A document with so many empty parts that this
 might fail also lists its empty parts.) A document lists its parts under its
 own band, and under the next if a partner may be there.
 
@@ -27,6 +27,7 @@ other; an empty table gives an empty result; null doc_ids come back with a null
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -48,6 +49,12 @@ class Bands:
     def __init__(self, percent: int, band: float):
         self.percent, self.band = percent, band
 
+    def __hash__(self) -> int:
+        return hash((self.percent, self.band))
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Bands) and (self.percent, self.band) == (other.percent, other.band)
+
     def differ(self, total: int) -> int:
         """Most elements in which sets of ``total`` elements together differ when they link."""
         # 100 i >= p (total - i)  →  i >= p total / (100 + p)
@@ -64,10 +71,22 @@ class Bands:
     def low(self, k: int) -> int:
         return math.ceil(self.band**k)
 
+    @functools.cache  # noqa: B019  a few dozen bands
     def parts(self, k: int) -> tuple[int, int]:
-        """(D, P) for pairs whose larger set is in band k."""
+        """(D, P) for pairs whose larger set is in band k.
+
+        P parts of a set of n elements hold about P exp(-n / P) empty ones; beside those of a set between the band's
+        smallest partner and its lower end, P leaves D and two standard deviations, so that listing empty parts is rare.
+        """
         d = self.differ(2 * (self.low(k + 1) - 1))
-        return d, d + 1 + (1 + d // 12 if d else 0)
+        least = max(1, (self.percent + 100) * self.low(k) // 200)
+        p = d + 1
+        while d and p < least:
+            bare = p * math.exp(-least / p)
+            if p - bare - 2 * math.sqrt(bare) > d:
+                break
+            p += 1
+        return d, p
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -123,56 +142,63 @@ def _digest(g: np.ndarray) -> tuple[int, int]:
     return int(signed(a.reshape(1))[0]), int(signed(b.reshape(1))[0])
 
 
-def sign(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """Rows of two kinds. Documents: doc_id, n, d1, d2 (digests of the set), s0.. (bit parity).
-    Keys: doc_id, key, hub — of the batch's first document with the key (hub null), or of a later one (hub: the first)."""
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[np.ndarray], list[tuple[int, int]]]]:
+    """(ids, ids as integers, nulls, sets, digests) of slices of (doc_id, text)."""
+    for batch in batches:
+        ids = batch.column(0).cast(pa.int64())
+        raw, offsets, _ = text_buffer(batch.column(1))
+        for lo, hi in slices(offsets):
+            sets = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
+            own = ids.slice(lo, hi - lo)
+            yield own, np.asarray(own.fill_null(0)), np.asarray(own.is_null()), sets, [_digest(g) for g in sets]
+
 
-    id_type = pa.int64()
+def sign(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, d1, d2 (digests of the set), s0.. (bit parity of the hashes' low bits)."""
+    names = ["doc_id", "n", "d1", "d2", *[f"s{j}" for j in range(SKETCH)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids_all = np.asarray(batch.column(0).cast(id_type).fill_null(0))
-            null_id = np.asarray(batch.column(0).is_null())
-            raw, offsets, _ = text_buffer(batch.column(1))
-            for lo, hi in slices(offsets):
-                sets = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
-                ids = ids_all[lo:hi]
-                n = np.array([len(g) for g in sets], np.int64)
-                digests = [_digest(g) for g in sets]
-                bits = np.zeros((len(sets), SKETCH), np.int64)
-                keys, owners = [], []
-                seen: dict[tuple, int] = {}
-                for i, g in enumerate(sets):
-                    if not len(g) or null_id[lo + i]:
-                        continue
+        for own, _, _, sets, digests in _sets(batches, k):
+            bits = np.zeros((len(sets), SKETCH), np.int64)
+            for i, g in enumerate(sets):
+                if len(g):
                     parity = np.bincount((g & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
                     bits[i] = np.packbits(parity.astype(np.uint8)).view(np.int64)
-                    same = seen.setdefault((len(g), *digests[i]), i)
-                    # one key stands for the whole set; further copies in the chunk give no more
-                    whole = mix(np.array([digests[i][0] ^ digests[i][1] ^ len(g)], np.int64).view(np.uint64) + np.uint64(7))
-                    own = np.concatenate([whole, part_keys(g, bands)]) if same == i else whole
-                    keys.append(own)
-                    owners.append(np.full(len(own), i))
-                key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-                owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-                order = np.lexsort((ids[owner], key)) if len(key) else owner
-                key, owner = key[order], owner[order]
-                head = np.ones(len(key), bool)
-                head[1:] = key[1:] != key[:-1]
-                hub = ids[owner[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]] if len(key) else owner
-                yield pa.record_batch(
-                    [
-                        pa.array(ids, mask=null_id[lo:hi]), pa.array(n), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
-                        *[pa.array(bits[:, j]) for j in range(SKETCH)], pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64()),
-                    ], names=names)
-                if len(key):
-                    none = pa.nulls(len(key), pa.int64())
-                    yield pa.record_batch([pa.array(ids[owner]), *[none] * (3 + SKETCH), pa.array(signed(key)), pa.array(hub, mask=head)], names=names)
-
-    names = ["doc_id", "n", "d1", "d2", *[f"s{j}" for j in range(SKETCH)], "key", "hub"]
+            n = pa.array([len(g) for g in sets], pa.int64())
+            yield pa.record_batch([own, n, pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *[pa.array(bits[:, j]) for j in range(SKETCH)]], names=names)
+
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
+def part_rows(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """doc_id, key, hub: the keys of each set's parts and one of the whole set. A batch's first document with a key has
+    no hub, later ones have the first; a set that the batch has had lists the whole only."""
+    names = ["doc_id", "key", "hub"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, null, sets, digests in _sets(batches, k):
+            keys, owners, seen = [], [], {}
+            for i, g in enumerate(sets):
+                if not len(g) or null[i]:
+                    continue
+                same = seen.setdefault((len(g), *digests[i]), i)
+                whole = mix(np.array([digests[i][0] ^ digests[i][1] ^ len(g)], np.int64).view(np.uint64) + np.uint64(7))
+                own = np.concatenate([whole, part_keys(g, bands)]) if same == i else whole
+                keys.append(own)
+                owners.append(np.full(len(own), i))
+            if not keys:
+                continue
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            order = np.lexsort((ids[owner], key))
+            key, doc = key[order], ids[owner[order]]
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1]
+            hub = doc[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+            yield pa.record_batch([pa.array(doc), pa.array(signed(key)), pa.array(hub, mask=head)], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, hub long")
+
+
 def meet(keys: DataFrame) -> DataFrame:
     """Rows of keys that two or more documents have: key, doc_id, hub (a document of the key's group).
 
@@ -258,12 +284,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
     100 × intersection >= percent × union of their k-gram sets; a component's id is its smallest doc_id."""
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     bands = Bands(percent, band)
-    signed_rows = scratch.store(sign(docs, k, bands), "signed")
-    sigs = signed_rows.where("key is null").drop("key", "hub")
-    shared = scratch.store(meet(signed_rows.where("key is not null").select("key", "doc_id", "hub")), "shared")
-    scratch_sigs = scratch.store(sigs, "sigs")
-    scratch.drop(signed_rows)
-    sigs = scratch_sigs
+    # the texts are read again for the keys: storing those would cost more disk than the text itself
+    sigs = scratch.store(sign(docs, k), "sigs")
+    shared = scratch.store(meet(part_rows(docs, k, bands)), "shared")
 
     def candidates(pairs: DataFrame) -> DataFrame:
         """Pairs that the bounds allow; same: equal sets by digest."""
