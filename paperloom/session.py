@@ -32,11 +32,18 @@ def local_session(cpus: int = 8, memory: str = "12g", **conf: str) -> SparkSessi
     return spark
 
 
+#: Rows in an Arrow batch: documents are larger than the rows for which the default of 10,000 is made.
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once per application.
+    """Gives the executors this package, once per application, and bounds Arrow batches if the session has the default.
 
-    Where PYTHONPATH already leads every Python worker to it, nothing is sent.
+    Where PYTHONPATH already leads every Python worker to the package, nothing is sent.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     if str(_PACKAGE.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     sc = spark.sparkContext
