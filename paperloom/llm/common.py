@@ -7,7 +7,6 @@ work on the Arrow string buffer and never build Python strings per word.
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytecnn import held_out
-from .common import mix, signed, slices, text_buffer
+from .common import mix, slices, text_buffer
 
 
 def _salt(order: int) -> np.uint64:
