@@ -63,7 +63,7 @@ class Scratch:
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a stored table for broadcast after counting it; a larger one is left to the shuffle join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def free_name(df: DataFrame, name: str) -> str:
