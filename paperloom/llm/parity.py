@@ -267,12 +267,12 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scr
     return scratch.store(joined.mapInArrow(run, "u long, v long"), "links")
 
 
-def _near(bands: Bands, a: str, b: str) -> F.Column:
-    """Size and bit-parity bounds of two signed documents under aliases a and b."""
+def _near(bands: Bands, a: str, b: str, longs: int = SKETCH) -> F.Column:
+    """Size and bit-parity bounds of two signed documents under aliases a and b, by so many longs of their sketches."""
     p = bands.percent
     total = F.col(f"{a}.n") + F.col(f"{b}.n")
     apart = None
-    for j in range(SKETCH):
+    for j in range(longs):
         bit = F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}")))
         apart = bit if apart is None else apart + bit
     sizes = (100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= p * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))) & (F.col(f"{a}.n") > 0)
@@ -314,12 +314,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
     open_keys = small(scratch.store(shared.join(split, apart).select("key").distinct(), "open"))
     member = shared.join(open_keys, "key", "left_semi")
     member = member.select("key", F.explode(F.array("doc_id", "hub")).alias("doc_id")).distinct()
-    rest = scratch.store(component_of(member, "doc_id", "component").join(sigs, "doc_id"), "rest")
+    # half of the sketch goes with each row of a key; the whole one judges the pairs that are left
+    half = sigs.select("doc_id", "n", *[f"s{j}" for j in range(SKETCH // 2)])
+    rest = component_of(scratch.store(member, "members"), "doc_id", "component").join(half, "doc_id")
     a, b = rest.alias("a"), rest.alias("b")
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _near(bands, "a", "b")
-    more = scratch.store(a.join(b, across).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "across")
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _near(bands, "a", "b", SKETCH // 2)
+    pairs = a.join(b, across).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
+    more = scratch.store(candidates(scratch.store(pairs, "pairs")).select("u", "v"), "across")
     scratch.drop(shared)
-    scratch.drop(rest)
     late = verify(more, docs, k, percent, scratch)
     if not late.isEmpty():
         found = scratch.store(components(links.unionByName(late), scratch), "components")
