@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import slices, text_buffer
+from .common import lean, slices, text_buffer
 from .linecrf import labelled_sample
 
 
@@ -172,7 +172,7 @@ def score(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
                     p[lo:hi] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add("score", DoubleType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_docs: int = 1200) -> DataFrame:

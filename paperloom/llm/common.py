@@ -7,9 +7,12 @@ work on the Arrow string buffer and never build Python strings per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 #: The same word class for Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a kernel holds at a time; one longer document is held alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: A side of at most so many (id) rows may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
 
@@ -101,6 +104,20 @@ def slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def lean(run: Callable) -> Callable:
+    """A batch kernel whose worker gives freed memory back when its task ends: workers live on, and without this each keeps
+    the most that any task needed."""
+
+    @functools.wraps(run)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return kernel
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytecnn import held_out
-from .common import mix, slices, text_buffer
+from .common import lean, mix, slices, text_buffer
 
 
 def _salt(order: int) -> np.uint64:
@@ -116,7 +116,7 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
                     grams = [flat[i : i + order] for i in range(0, len(flat), order)]
                     yield pa.record_batch([pa.array([langs[1][k]] * len(unique), pa.string()), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(lean(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class CharModel:
@@ -239,7 +239,7 @@ def learn(docs: DataFrame, order: int = 4, limit_quantile: float = 0.999, margin
                 own = np.array([out.langs.index(x) for x in langs[lo:hi]])
                 yield pa.record_batch([batch.column(1).slice(lo, hi - lo).filter(pa.array(has)), pa.array(h[np.arange(hi - lo), own][has])], names=["lang", "h"])
 
-    limits = known.select("text", "lang").mapInArrow(run, "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", limit_quantile, 10000).alias("q")).collect()
+    limits = known.select("text", "lang").mapInArrow(lean(run), "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", limit_quantile, 10000).alias("q")).collect()
     for r in limits:
         out.limit[out.langs.index(r.lang)] = r.q + margin
     return out
@@ -270,5 +270,5 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
                     [batch.column(0).slice(lo, n), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(best), pa.array(no)],
                     names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    out = docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double, cross_entropy double, rejected boolean")
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")

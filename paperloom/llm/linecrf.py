@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, slices, text_buffer, word_hashes, word_spans
+from .common import gram_hashes, lean, mix, slices, text_buffer, word_hashes, word_spans
 
 #: Fixed: the characters that the contract calls symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -298,4 +298,4 @@ def line_rules(docs: DataFrame, labels: DataFrame, share: float = 0.5, train_doc
                 )
 
     schema = f"doc_id {kind.simpleString()}, {', '.join(f'{n} long' for n in names)}, base_failed boolean, kept boolean, n_lines long, content_share double"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)

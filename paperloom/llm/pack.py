@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer, word_hashes, word_spans
+from .common import lean, slices, text_buffer, word_hashes, word_spans
 
 #: Bytes that no plain text has. Plain characters need no library for normal form, case and class: tab, line
 #: ends, U+0020-7E, U+00A1-AC, U+00AE-0129, U+0132-017F.
@@ -39,8 +39,8 @@ _NEVER[0x80:0xC0] = False
 _NEVER[0xC2:0xC6] = False
 #: The vocabulary's own splitting rule (fixed value).
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: White-space runs, and pieces, that a worker remembers at most (about 75 MB each).
-_REMEMBER = 500_000
+#: White-space runs, and pieces, that a worker remembers at most (about 40 MB each).
+_REMEMBER = 250_000
 
 
 class Encoder:
@@ -184,7 +184,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> Dat
             )
 
     schema = f"doc_id {id_type.simpleString()}, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 class BestFit:
@@ -237,4 +237,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return grouped.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return grouped.mapInArrow(lean(run), f"{schema}, sequence_id long, offset long")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, gram_hashes, mix, signed, slices, small, text_buffer, word_hashes, word_spans
+from .common import Scratch, gram_hashes, lean, mix, signed, slices, small, text_buffer, word_hashes, word_spans
 from .components import components
 
 #: Longs in a document's bit-parity sketch (64 bits each).
@@ -167,7 +167,7 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
             n = pa.array([len(g) for g in sets], pa.int64())
             yield pa.record_batch([own, n, pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *[pa.array(bits[:, j]) for j in range(SKETCH)]], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select("doc_id", "text").mapInArrow(lean(run), ", ".join(f"{c} long" for c in names))
 
 
 def part_rows(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
@@ -196,7 +196,7 @@ def part_rows(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
             hub = doc[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
             yield pa.record_batch([pa.array(doc), pa.array(signed(key)), pa.array(hub, mask=head)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, hub long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, key long, hub long")
 
 
 def meet(keys: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def meet(keys: DataFrame) -> DataFrame:
     route = F.when(F.col("hub").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id", "key"))
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keys.withColumn("route", route).repartition(max(n, 2), "route").sortWithinPartitions("route")
-    return dealt.select("key", "doc_id", "hub").mapInArrow(run, "key long, doc_id long, hub long")
+    return dealt.select("key", "doc_id", "hub").mapInArrow(lean(run), "key long, doc_id long, hub long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -264,7 +264,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scr
 
     left, right = texts.withColumnsRenamed({"doc_id": "u", "text": "tu"}), texts.withColumnsRenamed({"doc_id": "v", "text": "tv"})
     joined = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "tu", "tv")
-    return scratch.store(joined.mapInArrow(run, "u long, v long"), "links")
+    return scratch.store(joined.mapInArrow(lean(run), "u long, v long"), "links")
 
 
 def _near(bands: Bands, a: str, b: str, longs: int = SKETCH) -> F.Column:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, gram_hashes, signed, slices, small, text_buffer, word_hashes, word_spans
+from .common import Scratch, gram_hashes, lean, signed, slices, small, text_buffer, word_hashes, word_spans
 
 _LAST = np.uint64((1 << 64) - 1)
 _NO_ID = (1 << 63) - 1
@@ -114,7 +114,7 @@ def grams(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                      pa.array(np.concatenate((pos, np.full(len(tell), -1))).astype(np.int32)), pa.array(np.concatenate((known, np.zeros(len(tell), bool))))],
                     names=["key", "doc_id", "pos", "known"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, pos int, known boolean")
+    return docs.mapInArrow(lean(run), "key long, doc_id long, pos int, known boolean")
 
 
 def recurring(rows: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def recurring(rows: DataFrame) -> DataFrame:
 
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     route = F.when(F.col("known"), F.xxhash64("doc_id")).otherwise(F.col("key"))
-    return rows.withColumn("route", route).repartition(n, "route").sortWithinPartitions("route").select("key", "doc_id", "pos", "known").mapInArrow(run, "doc_id long, pos int")
+    return rows.withColumn("route", route).repartition(n, "route").sortWithinPartitions("route").select("key", "doc_id", "pos", "known").mapInArrow(lean(run), "doc_id long, pos int")
 
 
 def locate(w: Windows, hits: pa.ListArray) -> np.ndarray:
@@ -226,7 +226,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, phrase: int = 8, scratch:
                     names=["key", "doc_id", "start"])
 
     some = fresh.join(small(n_hits), "doc_id", "left_semi").join(hits, "doc_id").select("doc_id", "text", "hits")
-    seen = some.mapInArrow(candidates, "key long, doc_id long, start int")
+    seen = some.mapInArrow(lean(candidates), "key long, doc_id long, start int")
     firsts = seen.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("at")).groupBy("at.doc_id").agg(F.collect_list("at.start").alias("firsts"))
     firsts = scratch.store(firsts, "firsts")
 
@@ -253,9 +253,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, phrase: int = 8, scratch:
             digests = [_EMPTY if g else d for g, d in zip(gone, digests, strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], names=names)
 
-    settled = some.join(firsts, "doc_id", "left").select("doc_id", "text", "hits", "firsts").mapInArrow(settle, schema)
+    settled = some.join(firsts, "doc_id", "left").select("doc_id", "text", "hits", "firsts").mapInArrow(lean(settle), schema)
     plain = docs.join(small(n_hits), "doc_id", "left_anti").join(copied.withColumn("whole", F.lit(True)), "doc_id", "left")
-    rest = plain.select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(untouched, schema)
+    rest = plain.select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(lean(untouched), schema)
     both = settled.unionByName(rest)
     return both.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
 

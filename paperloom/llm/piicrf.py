@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer
+from .common import lean, slices, text_buffer
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -345,7 +345,7 @@ def detect(docs: DataFrame, train_docs: int = 2000) -> DataFrame:
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *counts, pa.array(sha), pa.array(spans), pa.array([len(m) for _, m in got], pa.int64())], names=names)
 
     schema = f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def mask(docs: DataFrame, train_docs: int = 2000) -> DataFrame:
@@ -367,7 +367,7 @@ def mask(docs: DataFrame, train_docs: int = 2000) -> DataFrame:
                 columns[at] = column
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def blank(text: str, spans: list[tuple[int, int, int]]) -> str:
