@@ -314,11 +314,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
     open_keys = small(scratch.store(shared.join(split, apart).select("key").distinct(), "open"))
     member = shared.join(open_keys, "key", "left_semi")
     member = member.select("key", F.explode(F.array("doc_id", "hub")).alias("doc_id")).distinct()
-    # half of the sketch goes with each row of a key; the whole one judges the pairs that are left
-    half = sigs.select("doc_id", "n", *[f"s{j}" for j in range(SKETCH // 2)])
+    # the sketch goes with each row of a key, so that the join itself refuses most pairs
+    half = sigs.select("doc_id", "n", *[f"s{j}" for j in range(SKETCH)])
     rest = component_of(scratch.store(member, "members"), "doc_id", "component").join(half, "doc_id")
     a, b = rest.alias("a"), rest.alias("b")
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _near(bands, "a", "b", SKETCH // 2)
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _near(bands, "a", "b", SKETCH)
     pairs = a.join(b, across).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
     more = scratch.store(candidates(scratch.store(pairs, "pairs")).select("u", "v"), "across")
     scratch.drop(shared)
