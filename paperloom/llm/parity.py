@@ -78,7 +78,9 @@ class Bands:
         P parts of a set of n elements hold about P exp(-n / P) empty ones; beside those of a set between the band's
         smallest partner and its lower end, P leaves D and two standard deviations, so that listing empty parts is rare.
         """
-        d = self.differ(2 * (self.low(k + 1) - 1))
+        # differ() only grows over totals of the same parity, and two sizes may add up to either
+        most = 2 * (self.low(k + 1) - 1)
+        d = max(self.differ(most), self.differ(most - 1))
         least = max(1, (self.percent + 100) * self.low(k) // 200)
         p = d + 1
         while d and p < least:

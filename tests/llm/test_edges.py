@@ -166,6 +166,34 @@ def test_parity_parts_agree_where_sets_are_near():
                 assert len(np.intersect1d(parity.part_keys(a, bands), parity.part_keys(b, bands)))
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_parity_parts_agree_at_the_largest_difference(percent):
+    rng = np.random.default_rng(3)
+    bands = parity.Bands(percent, 1.5)
+    for b in range(1, bands.low(12)):
+        for a in range(-(-percent * b // 100), b + 1):
+            common = -(-percent * (a + b) // (100 + percent))
+            if common > a:
+                continue
+            assert a + b - 2 * common <= bands.parts(bands.of(b))[0]
+            for _ in range(20 if b < 40 else 1):
+                x = rng.integers(0, 1 << 63, a + b - common, dtype=np.uint64) * np.uint64(2)
+                left, right = np.sort(x[:a]), np.sort(x[a - common :])
+                assert len(left) == a and len(right) == b and len(np.intersect1d(left, right)) == common
+                assert len(np.intersect1d(parity.part_keys(left, bands), parity.part_keys(right, bands))), (a, b)
+
+
+def test_jaccard_links_short_texts_with_a_word_appended(spark):
+    """Texts of 1 to 24 words and the same with one word more: J = (n - 1) / n of n shingles in the longer."""
+    rows = []
+    for n in range(1, 25):
+        words = [f"w{n}x{i}" for i in range(n)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join([*words, "more"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in parity.jaccard_components(df).collect()}
+    assert got == {i: i - 1 if i % 2 and (n := i // 2 - 2) > 1 and 100 * (n - 1) >= 85 * n else i for i, _ in rows}
+
+
 def test_classifier(docs, labels):
     got = bytecnn.classify(docs, labels, 20).collect()
     assert len(got) == len(TEXTS)
