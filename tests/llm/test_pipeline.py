@@ -70,6 +70,23 @@ def test_near_copies(stages):
     assert texts(stages["n-gram Jaccard join"]) == {i: before[i] for i in ids if root(i) == i}
 
 
+def test_near_copies_of_short_texts(spark):
+    """Texts of 8 to 21 words, each with one word appended and with its last or a middle word changed, against all pairs."""
+    rows = []
+    for n in range(8, 22):
+        w = [f"w{n}x{i}" for i in range(n)]
+        rows += [" ".join(t) for t in (w, [*w, "more"], [*w[:-1], "other"], [*w[: n // 2], "new", *w[n // 2 + 1 :]])]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, rows)]
+    least = list(range(len(rows)))
+    near = [(a, b) for b in range(len(rows)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {a % 4 for a, _ in near} == {0, 1} and len(near) == 28
+    assert texts(corpus_pipeline.drop_near_copies(spark, docs, "")) == {i: t for i, t in enumerate(rows) if least[i] == i}
+
+
 def test_personal_data(stages):
     before, after = stages["n-gram Jaccard join"], texts(stages["PII"])
     field = piicrf.train(piicrf.training_texts(before, 2000))
