@@ -157,8 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int) -> ByteCnn | None
     return net
 
 
-def score(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
-    """docs with a column ``score`` (its name must be free), the probability of good quality."""
+def score(docs: DataFrame, net: ByteCnn | None, name: str = "score") -> DataFrame:
+    """docs with a column ``name`` (it must be free), the probability of good quality."""
     names = [f.name for f in docs.schema]
     at = names.index("text")
 
@@ -170,9 +170,9 @@ def score(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
                 for lo, hi in slices(offsets):
                     z = net.logits(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     p[lo:hi] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*names, name])
 
-    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_docs: int = 1200) -> DataFrame:

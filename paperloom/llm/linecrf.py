@@ -3,10 +3,10 @@
 Base rules are counts over the whole text (words, symbols, repeated lines,
 words in repeated three-word windows). The method labels each line content or
 boilerplate by Viterbi decoding; a document is kept if content lines hold at
-least ``share`` of its word characters and no base rule failed.
+least ``share`` of its words' bytes and no base rule failed.
 
 The model is trained here, on at most ``train_docs`` labelled documents (those
-with the smallest crc32 of their id): lines of documents marked good start as
+with the smallest crc32 of their id, in at most ``train_bytes``): lines of documents marked good start as
 content, lines of documents marked bad as boilerplate; rounds of relabelling by
 the lines' own features, under the rule that a bad document has at least half
 boilerplate, let the ordinary lines of bad documents become content before the
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import gram_hashes, lean, mix, slices, text_buffer, word_hashes, word_spans
 
@@ -257,16 +258,21 @@ def train(texts: list[str], quality: list[int], passes: int = 3) -> LineCrf:
     return crf
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, keep: F.Column | None = None) -> tuple[list[str], list[int]]:
-    """At most ``bound`` labelled texts of each quality, those with the smallest crc32 of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, keep: F.Column | None = None, train_bytes: int = 16 << 20) -> tuple[list[str], list[int]]:
+    """At most ``bound`` labelled texts of each quality, those with the smallest crc32 of the id, and of them at most
+    ``train_bytes`` bytes; a text of over a sixteenth of that is not learnt from. Of rows that share an id the text that
+    sorts first stands for all."""
     texts, marks = [], []
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     if keep is not None:
         known = known.where(keep)
+    fits = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= train_bytes // 16)
     for q in (0, 1):
         ids = known.where(F.col("quality") == q).orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(bound)
-        rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"]).collect()
-        for r in sorted(rows, key=lambda r: r.doc_id):
+        rows = fits.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        # at most ``bound`` rows
+        so_far = F.sum(F.octet_length("text")).over(W.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id"))
+        for r in sorted(rows.withColumn("so_far", so_far).where(F.col("so_far") <= train_bytes).collect(), key=lambda r: r.doc_id):
             texts.append(r.text)
             marks.append(q)
     return texts, marks

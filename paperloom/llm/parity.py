@@ -10,19 +10,28 @@ agreeing part is left that is not empty. (A document with so many empty parts th
 might fail also lists its empty parts.) A document lists its parts under its
 own band, and under the next if a partner may be there.
 
-The part keys meet in one shuffle. Inside a key's group the first document is a
+The part keys meet in one shuffle. A document with E empty parts agrees with each
+partner in at least P - D - E of its keys, so it may leave out that many less one
+of its keys, as long as all documents leave out the last ones of one common order: the
+keys that most batches have go first (a prefix filter). That takes the keys of
+passages that very many otherwise different documents share out of the join.
+
+Inside a key's group the first document is a
 hub; hub pairs that pass the size and bit-parity tests are verified on the texts,
-and verified links give components. Keys whose documents are then still in
-several components are joined in full across components, with the size and parity bounds as
+one pair of each document first and then those that are still in two components.
+Keys whose documents are then still in several components are joined in full across
+components, in blocks, with the size and parity bounds as
 join conditions, and verified too: no link between components is missed.
 Documents of one batch with a common key meet their hub before the shuffle, so
 a group of copies costs a shuffled row per batch, not per copy.
 
-Elements are 64-bit hashes of the k-grams, in candidates and in verification.
+Elements are 64-bit hashes of the k-grams, in candidates and in verification; equal
+sets are known by 128 bits. (Within a pair of texts two k-grams collide once in 2^64 pairs of k-grams.)
 
 Edge cases: null, empty and blank texts have the empty set and link with
 nothing; shorter texts are one element; repeated rows and copies link with each
-other; an empty table gives an empty result; null doc_ids come back with a null component.
+other; rows that share a doc_id are one node of the graph, whatever their texts; an
+empty table gives an empty result; null doc_ids come back with a null component.
 """
 
 from __future__ import annotations
@@ -35,12 +44,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import Scratch, gram_hashes, lean, mix, signed, slices, small, text_buffer, word_hashes, word_spans
 from .components import components
 
 #: Longs in a document's bit-parity sketch (64 bits each).
 SKETCH = 16
+#: Keys that so many batches have take part in the common order; others count as rare.
+HOT_HEADS = 8
+#: Lowest bits of a key: the parity of its band, or WHOLE for the key of the whole set.
+WHOLE = 2
+#: Members of a hub that are verified in one group, and of an open key that are joined in one block.
+BLOCK = 256
 
 
 class Bands:
@@ -113,28 +129,39 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
     return out
 
 
-def part_keys(g: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of a set's parts under its own band and, where a larger partner may be there, the next."""
+def _parts(g: np.ndarray, bands: Bands) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(band, D, P, bounds of the parts) of a set under its own band and, where a larger partner may be there, the next."""
     n = len(g)
     own = bands.of(n)
-    found = []
     # the largest partner has n / t elements
     for k in (own, own + 1) if 100 * n >= bands.percent * bands.low(own + 1) else (own,):
         d, p = bands.parts(k)
         edges = np.arange(1, p, dtype=np.uint64) * np.uint64(min((1 << 64) // p, (1 << 64) - 1))
-        cut = np.searchsorted(g, edges)
-        bounds = np.concatenate(([0], cut, [n]))
+        yield k, d, p, np.concatenate(([0], np.searchsorted(g, edges), [n]))
+
+
+def part_keys(g: np.ndarray, bands: Bands) -> np.ndarray:
+    """Keys of a set's parts; their lowest bits say which band they are of."""
+    found = []
+    for k, d, p, bounds in _parts(g, bands):
         size = np.diff(bounds)
         full = np.flatnonzero(size)
         salt = np.uint64(k << 32)
-        keys = np.bitwise_xor.reduceat(g, bounds[full])
-        found.append(mix(keys ^ mix(salt + full.astype(np.uint64))))
+        keys = [mix(np.bitwise_xor.reduceat(g, bounds[full]) ^ mix(salt + full.astype(np.uint64)))]
         if p - len(full) >= p - d:
-            bare = np.flatnonzero(size == 0)
-            found.append(mix(salt + np.uint64(1 << 31) + bare.astype(np.uint64)))
+            keys.append(mix(salt + np.uint64(1 << 31) + np.flatnonzero(size == 0).astype(np.uint64)))
+        found += [(x & ~np.uint64(3)) | np.uint64(k & 1) for x in keys]
     return np.concatenate(found)
 
 
+def spare_keys(g: np.ndarray, bands: Bands) -> list[int]:
+    """How many keys a set may leave out, by the parity of their band: one less than it has in common with any partner."""
+    out = [0, 0]
+    for k, d, p, bounds in _parts(g, bands):
+        out[k & 1] = max(0, p - d - int((np.diff(bounds) == 0).sum()) - 1)
+    return out
+
+
 def _digest(g: np.ndarray) -> tuple[int, int]:
     if not len(g):
         return 0, 0
@@ -155,19 +182,20 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array,
             yield own, np.asarray(own.fill_null(0)), np.asarray(own.is_null()), sets, [_digest(g) for g in sets]
 
 
-def sign(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digests of the set), s0.. (bit parity of the hashes' low bits)."""
-    names = ["doc_id", "n", "d1", "d2", *[f"s{j}" for j in range(SKETCH)]]
+def sign(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """doc_id, n, d1, d2 (digests of the set), s0.. (bit parity of the hashes' low bits), spare0, spare1."""
+    names = ["doc_id", "n", "d1", "d2", *[f"s{j}" for j in range(SKETCH)], "spare0", "spare1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, _, _, sets, digests in _sets(batches, k):
-            bits = np.zeros((len(sets), SKETCH), np.int64)
+            out = np.zeros((len(sets), SKETCH + 2), np.int64)
             for i, g in enumerate(sets):
                 if len(g):
                     parity = np.bincount((g & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-                    bits[i] = np.packbits(parity.astype(np.uint8)).view(np.int64)
+                    out[i, :SKETCH] = np.packbits(parity.astype(np.uint8)).view(np.int64)
+                    out[i, SKETCH:] = spare_keys(g, bands)
             n = pa.array([len(g) for g in sets], pa.int64())
-            yield pa.record_batch([own, n, pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *[pa.array(bits[:, j]) for j in range(SKETCH)]], names=names)
+            yield pa.record_batch([own, n, pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *[pa.array(out[:, j]) for j in range(SKETCH + 2)]], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(lean(run), ", ".join(f"{c} long" for c in names))
 
@@ -185,6 +213,7 @@ def part_rows(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
                     continue
                 same = seen.setdefault((len(g), *digests[i]), i)
                 whole = mix(np.array([digests[i][0] ^ digests[i][1] ^ len(g)], np.int64).view(np.uint64) + np.uint64(7))
+                whole = (whole & ~np.uint64(3)) | np.uint64(WHOLE)
                 own = np.concatenate([whole, part_keys(g, bands)]) if same == i else whole
                 keys.append(own)
                 owners.append(np.full(len(own), i))
@@ -201,84 +230,138 @@ def part_rows(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, key long, hub long")
 
 
+class _Group:
+    """What ``meet`` knows of the key it is in when a batch ends."""
+
+    def __init__(self, key: int, doc: int, hub: int, heads: int):
+        self.key, self.doc, self.hub, self.heads = key, doc, hub, heads
+
+
 def meet(keys: DataFrame) -> DataFrame:
-    """Rows of keys that two or more documents have: key, doc_id, hub (a document of the key's group).
+    """Rows of keys that two or more documents have: key, doc_id, hub (a document of the key's group). Keys of at least
+    HOT_HEADS batches have one more row, without doc_id, whose hub is the number of batches.
 
     Batch hubs are sorted by key and streamed; a group crosses batches without being held.
     """
+    names = ["key", "doc_id", "hub"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_doc = last_hub = None
-        pending = False  # the last row seen is a group's first and not yet written
+        last: _Group | None = None
+
+        def rows(key, doc, hub) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(hub, pa.int64())], names=names)
+
         for batch in batches:
             key, doc, hub = (np.asarray(batch.column(j).fill_null(0)) for j in range(3))
             member = ~np.asarray(batch.column(2).is_null())
-            yield pa.record_batch([pa.array(key[member]), pa.array(doc[member]), pa.array(hub[member])], names=["key", "doc_id", "hub"])
+            if member.any():
+                yield rows(key[member], doc[member], hub[member])
             key, doc = key[~member], doc[~member]
             if not len(key):
                 continue
-            head = np.ones(len(key), bool)
-            head[1:] = key[1:] != key[:-1]
-            goes_on = last_key is not None and key[0] == last_key
+            goes_on = last is not None and int(key[0]) == last.key
+            if last is not None and not goes_on and last.heads >= HOT_HEADS:
+                yield rows([last.key], [None], [last.heads])
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            n = np.diff(np.append(begin, len(key)))
+            first = doc[begin]
+            heads = n.copy()
             if goes_on:
-                head[0] = False
-                if pending:
-                    yield pa.record_batch([pa.array([last_key]), pa.array([last_doc]), pa.array([last_hub])], names=["key", "doc_id", "hub"])
-            where = np.maximum.accumulate(np.where(head, np.arange(len(key)), -1))
-            first = np.where(where < 0, last_hub if goes_on else 0, doc[where])
-            alone = head.copy()
-            alone[:-1] &= head[1:]
-            ends_alone = bool(alone[-1])
-            keep = ~alone
-            yield pa.record_batch([pa.array(key[keep]), pa.array(doc[keep]), pa.array(first[keep])], names=["key", "doc_id", "hub"])
-            last_key, last_doc, last_hub, pending = int(key[-1]), int(doc[-1]), int(first[-1]), ends_alone
+                if last.heads == 1:  # not written yet
+                    yield rows([last.key], [last.doc], [last.hub])
+                first[0], heads[0] = last.hub, n[0] + last.heads
+            keep = np.repeat(heads > 1, n)
+            yield rows(key[keep], doc[keep], np.repeat(first, n)[keep])
+            hot = np.flatnonzero(heads[:-1] >= HOT_HEADS)
+            if len(hot):
+                yield rows(key[begin[hot]], [None] * len(hot), heads[hot])
+            last = _Group(int(key[-1]), int(doc[-1]), int(first[-1]), int(heads[-1]))
+        if last is not None and last.heads >= HOT_HEADS:
+            yield rows([last.key], [None], [last.heads])
 
     # batch members need not be with their key: they are spread by document
     route = F.when(F.col("hub").isNull(), F.col("key")).otherwise(F.xxhash64("doc_id", "key"))
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.withColumn("route", route).repartition(max(n, 2), "route").sortWithinPartitions("route")
+    dealt = keys.repartition(max(n, 2), route).sortWithinPartitions(F.col("hub").isNotNull(), "key")
     return dealt.select("key", "doc_id", "hub").mapInArrow(lean(run), "key long, doc_id long, hub long")
 
 
+def leave_out(shared: DataFrame, sigs: DataFrame, scratch: Scratch) -> DataFrame:
+    """shared without the commonest keys of each document, as many as it may leave out."""
+    rows = shared.where("doc_id is not null")
+    hot = small(scratch.store(shared.where("doc_id is null").select("key", F.col("hub").alias("heads")), "hot"))
+    spare = sigs.where("spare0 > 0 or spare1 > 0").groupBy("doc_id").agg(F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
+    side = F.col("key").bitwiseAND(F.lit(3))
+    commonest = W.partitionBy("doc_id", "side").orderBy(F.col("heads").desc(), "key")
+    ranked = (
+        rows.join(hot, "key").withColumn("side", side).join(spare, "doc_id", "left")
+        .withColumn("place", F.dense_rank().over(commonest))
+        .where((F.col("side") == WHOLE) | (F.col("place") > F.coalesce(F.when(F.col("side") == 0, F.col("spare0")).otherwise(F.col("spare1")), F.lit(0))))
+    )
+    return rows.join(hot, "key", "left_anti").unionByName(ranked.select("key", "doc_id", "hub"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (u, v) whose texts' sets link."""
-    wanted = scratch.store(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "wanted")
-    texts = docs.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi")
+    """The pairs (u, v) whose texts' sets link; pairs is a stored table.
+
+    A text of u goes to its pair's group, the text of v goes to each group of at most about BLOCK pairs of v, once.
+    """
+    groups = scratch.store(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("v", F.ceil(F.col("n") / BLOCK).alias("groups")), "groups")
+    dealt = pairs.join(small(groups), "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("groups", F.lit(1).cast("long"))).alias("part"))
+    wanted = dealt.select(F.col("u").alias("doc_id"), "v", "part", F.lit(True).alias("member")).unionByName(
+        dealt.select(F.col("v").alias("doc_id"), "v", "part", F.lit(False).alias("member")).distinct())
+    wanted = scratch.store(wanted, "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple = (None, None)
+        hub, theirs = None, []
         for batch in batches:
-            raw, offsets, _ = text_buffer(batch.column(2))
-            other, bounds, _ = text_buffer(batch.column(3))
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = []
+            raw, offsets, _ = text_buffer(batch.column(4))
+            doc, v, part, member = (batch.column(j).to_pylist() for j in range(4))
+            us, vs = [], []
             for lo, hi in slices(offsets):
-                theirs = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
-                for i, a in zip(range(lo, hi), theirs, strict=True):
-                    if kept[0] != v[i]:
-                        span = bounds[i : i + 2]
-                        kept = v[i], shingle_sets(other[span[0] : span[1]], span - span[0], k)[0]
-                    b = kept[1]
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    if common and 100 * common >= percent * (len(a) + len(b) - common):
-                        good.append(i)
-            yield pa.record_batch([pa.array([u[i] for i in good], pa.int64()), pa.array([v[i] for i in good], pa.int64())], names=["u", "v"])
-
-    left, right = texts.withColumnsRenamed({"doc_id": "u", "text": "tu"}), texts.withColumnsRenamed({"doc_id": "v", "text": "tv"})
-    joined = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "tu", "tv")
-    return scratch.store(joined.mapInArrow(lean(run), "u long, v long"), "links")
-
-
-def _near(bands: Bands, a: str, b: str, longs: int = SKETCH) -> F.Column:
-    """Size and bit-parity bounds of two signed documents under aliases a and b, by so many longs of their sketches."""
+                sets = shingle_sets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
+                for i, a in zip(range(lo, hi), sets, strict=True):
+                    if hub != (v[i], part[i]):
+                        hub, theirs = (v[i], part[i]), []
+                    if not member[i]:
+                        theirs.append(a)
+                        continue
+                    for b in theirs:
+                        common = len(np.intersect1d(a, b, assume_unique=True))
+                        if common and 100 * common >= percent * (len(a) + len(b) - common):
+                            us.append(doc[i])
+                            vs.append(v[i])
+                            break
+            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    n = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = docs.select("doc_id", "text").join(small(wanted), "doc_id").select("doc_id", "v", "part", "member", "text")
+    grouped = texts.repartition(n, "v", "part").sortWithinPartitions("v", "part", "member")
+    out = scratch.store(grouped.mapInArrow(lean(run), "u long, v long"), "links")
+    scratch.drop(groups, wanted)
+    return out
+
+
+def _differ(a: str, b: str) -> F.Column:
+    """Bits in which the sketches of two signed documents differ: a lower bound of their sets' symmetric difference."""
+    return functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}"))) for j in range(SKETCH)])
+
+
+def _near(bands: Bands, a: str, b: str) -> F.Column:
+    """Size and bit-parity bounds of two signed documents under aliases a and b."""
     p = bands.percent
-    total = F.col(f"{a}.n") + F.col(f"{b}.n")
-    apart = None
-    for j in range(longs):
-        bit = F.bit_count(F.col(f"{a}.s{j}").bitwiseXOR(F.col(f"{b}.s{j}")))
-        apart = bit if apart is None else apart + bit
-    sizes = (100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= p * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))) & (F.col(f"{a}.n") > 0)
-    return sizes & ((100 + p) * apart <= (100 - p) * total)
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * F.least(na, nb) >= p * F.greatest(na, nb)) & (na > 0) & ((100 + p) * _differ(a, b) <= (100 - p) * (na + nb))
+
+
+def _component(rows: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
+    there = found.select(F.col("node").alias(column), F.col("component").alias(name))
+    return rows.join(there, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends are in two components."""
+    return _component(_component(pairs, found, "u", "_cu"), found, "v", "_cv").where("_cu <> _cv").drop("_cu", "_cv")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: float = 1.5, scratch: Scratch | None = None) -> DataFrame:
@@ -287,46 +370,53 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     bands = Bands(percent, band)
     # the texts are read again for the keys: storing those would cost more disk than the text itself
-    sigs = scratch.store(sign(docs, k), "sigs")
-    shared = scratch.store(meet(part_rows(docs, k, bands)), "shared")
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs that the bounds allow; same: equal sets by digest."""
-        a, b = sigs.alias("a"), sigs.alias("b")
-        joined = pairs.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id"))
-        same = (F.col("a.n") == F.col("b.n")) & (F.col("a.d1") == F.col("b.d1")) & (F.col("a.d2") == F.col("b.d2"))
-        return joined.where(_near(bands, "a", "b")).select("u", "v", same.alias("same"))
-
-    hubs = shared.where("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
-    hubs = scratch.store(hubs, "hubs")
-    first = scratch.store(candidates(hubs), "candidates")
-    links = verify(first.where("not same"), docs, k, percent, scratch).unionByName(first.where("same").select("u", "v"))
-    links = scratch.store(links, "linked")
-    found = scratch.store(components(links, scratch), "components")
+    sigs = scratch.store(sign(docs, k, bands), "sigs")
+    met = scratch.store(meet(part_rows(docs, k, bands)), "met")
+    shared = scratch.store(leave_out(met, sigs, scratch), "shared")
+    scratch.drop(met)
+
+    hubs = scratch.store(shared.where("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct(), "hubs")
+    a, b = sigs.alias("a"), sigs.alias("b")
+    same = (F.col("a.n") == F.col("b.n")) & (F.col("a.d1") == F.col("b.d1")) & (F.col("a.d2") == F.col("b.d2"))
+    tried = hubs.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).where(_near(bands, "a", "b"))
+    tried = scratch.store(tried.select("u", "v", same.alias("same"), _differ("a", "b").alias("differ")), "tried")
+
+    links = [scratch.store(tried.where("same").select("u", "v").distinct(), "same")]
+    found = scratch.store(components(links[0], scratch), "components")
+    # first the nearest hub of each document, then those that this leaves in another component
+    for nearest in (True, False):
+        rest = _apart(tried.where("not same"), found)
+        if nearest:
+            rest = rest.groupBy("u").agg(F.min_by("v", F.struct("differ", "v")).alias("v"))
+        rest = scratch.store(rest.select("u", "v").distinct(), "rest")
+        links.append(verify(rest, docs, k, percent, scratch))
+        scratch.drop(rest)
+        found = scratch.store(components(functools.reduce(DataFrame.unionByName, links), scratch), "components")
 
     # A key's rows tie all its documents to each other through hubs, so its documents are in one component
-    # unless a row's ends are in two. Those keys' pairs are joined in full across components.
-    def component_of(rows: DataFrame, column: str, name: str) -> DataFrame:
-        there = found.select(F.col("node").alias(column), F.col("component").alias(name))
-        return rows.join(there, column, "left").withColumn(name, F.coalesce(name, column))
-
-    split = component_of(component_of(hubs, "u", "_cu"), "v", "_cv").where("_cu <> _cv").select("u", "v")
-    split = small(scratch.store(split, "split"))
-    apart = (F.greatest("doc_id", "hub") == F.col("u")) & (F.least("doc_id", "hub") == F.col("v"))
-    open_keys = small(scratch.store(shared.join(split, apart).select("key").distinct(), "open"))
-    member = shared.join(open_keys, "key", "left_semi")
-    member = member.select("key", F.explode(F.array("doc_id", "hub")).alias("doc_id")).distinct()
-    # the sketch goes with each row of a key, so that the join itself refuses most pairs
-    half = sigs.select("doc_id", "n", *[f"s{j}" for j in range(SKETCH)])
-    rest = component_of(scratch.store(member, "members"), "doc_id", "component").join(half, "doc_id")
-    a, b = rest.alias("a"), rest.alias("b")
-    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _near(bands, "a", "b", SKETCH)
-    pairs = a.join(b, across).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
-    more = scratch.store(candidates(scratch.store(pairs, "pairs")).select("u", "v"), "across")
+    # unless a row's ends are in two. The documents of those keys are joined across components.
+    split = small(scratch.store(_apart(hubs, found), "split"))
+    scratch.drop(hubs)
+    tie = (F.greatest("doc_id", "hub") == F.col("u")) & (F.least("doc_id", "hub") == F.col("v"))
+    open_keys = scratch.store(shared.join(split, tie).select("key").distinct(), "open")
+    ties = shared.where("doc_id <> hub").join(small(open_keys), "key", "left_semi")
+    member = ties.select("key", F.explode(F.array("doc_id", "hub")).alias("doc_id")).distinct()
+    member = scratch.store(_component(member, found, "doc_id", "component"), "members")
     scratch.drop(shared)
-    late = verify(more, docs, k, percent, scratch)
+    # two documents of a key are a hub and its member, which have been tried
+    blocks = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = small(scratch.store(blocks, "blocks"))
+    # the sketch goes with each row of a key, so that the join itself refuses most pairs
+    rest = member.join(blocks, "key").join(sigs.select("doc_id", "n", *[f"s{j}" for j in range(SKETCH)]), "doc_id")
+    left = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).alias("a")
+    right = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
+    across = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.doc_id") > F.col("b.doc_id"))
+    pairs = left.join(right, across & _near(bands, "a", "b")).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
+    pairs = scratch.store(pairs.join(tried.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
+    scratch.drop(tried, member)
+    late = verify(pairs, docs, k, percent, scratch)
     if not late.isEmpty():
-        found = scratch.store(components(links.unionByName(late), scratch), "components")
+        found = components(functools.reduce(DataFrame.unionByName, [*links, late]), scratch)
     return (
         sigs.select("doc_id", F.col("n").alias("n_shingles"))
         .join(found, F.col("doc_id") == F.col("node"), "left")

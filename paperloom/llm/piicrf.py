@@ -312,7 +312,7 @@ def training_texts(docs: DataFrame, bound: int) -> list[str]:
         docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id")
         .orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(bound)
     )
-    texts = docs.join(F.broadcast(rows), "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]).collect()
+    texts = docs.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     return [r.text for r in sorted(texts, key=lambda r: r.doc_id) if r.text]
 
 

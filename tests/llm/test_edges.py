@@ -183,6 +183,72 @@ def test_parity_parts_agree_at_the_largest_difference(percent):
                 assert len(np.intersect1d(parity.part_keys(left, bands), parity.part_keys(right, bands))), (a, b)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_parity_prefixes_meet_under_any_common_order(percent):
+    """Linked sets still have a common key after each has left out its last ones of one order of all keys."""
+    rng = np.random.default_rng(4)
+    bands = parity.Bands(percent, 1.5)
+    spared = 0
+    for b in [3, 8, 13, 20, 47, 120, 290, 500]:
+        for _ in range(30):
+            a = int(rng.integers(-(-percent * b // 100), b + 1))
+            common = -(-percent * (a + b) // (100 + percent))
+            if common > a:
+                continue
+            x = rng.integers(0, 1 << 63, a + b - common, dtype=np.uint64) * np.uint64(2)
+            salt = np.uint64(rng.integers(0, 1 << 63))
+            left = []
+            for g in (np.sort(x[:a]), np.sort(x[a - common :])):
+                keys, spare = parity.part_keys(g, bands), parity.spare_keys(g, bands)
+                spared += sum(spare)
+                for side in (0, 1):
+                    own = keys[(keys & np.uint64(3)) == side]
+                    own = own[np.argsort(parity.mix(own ^ salt))]
+                    left.append(own[: len(own) - spare[side]])
+            assert len(np.intersect1d(np.concatenate(left[:2]), np.concatenate(left[2:])))
+    assert spared > 100
+
+
+def test_jaccard_with_a_common_passage(spark, monkeypatch):
+    """Texts that share a passage, with keys that count as common from two batches on, against all pairs."""
+    monkeypatch.setattr(parity, "HOT_HEADS", 2)
+    monkeypatch.setattr(parity, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    passage = [f"common{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        own = [f"own{i}x{j}" for j in range(int(rng.integers(4, 60)))]
+        rows.append(passage + own)
+        if i % 3 == 0:
+            rows.append([*passage, *own[:-1], "changed"])
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in rows]
+    least = list(range(len(rows)))
+    near = [(a, b) for b in range(len(rows)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in parity.jaccard_components(df).collect()}
+    assert got == dict(enumerate(least)) and len(near) == 20
+
+
+def test_structured_words_do_not_collide(spark):
+    """Thue-Morse words and their complements, which any polynomial hash modulo 2^64 takes for equal."""
+    word = "a"
+    while len(word) < 65_536:
+        word += word.translate({97: 98, 98: 97})
+    pair = [[word[:n].translate({97: 98, 98: 97}) if flip else word[:n] for n in (1024, 2048, 65_536)] for flip in (0, 1)]
+    rows = [(i, f"{' '.join(pair[i])} {pair[i][0]}\n{pair[i][1]}\n{pair[1 - i][1]}") for i in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [(r.n_dup_lines, r.n_repeat_words) for r in linecrf.line_rules(df, none).collect()] == [(0, 0)] * 2
+    assert {r.component_id for r in parity.jaccard_components(df, k=1).collect()} == {0, 1}
+    code = pack.Encoder(TOKENIZER)
+    assert [x.tolist() for x in code.many(pa.array([t for _, t in rows]))] == [code.whole(t).tolist() for _, t in rows]
+    long = spark.createDataFrame([(i, " ".join([pair[i][0], *[f"w{j}" for j in range(19)]])) for i in (0, 1)], "doc_id long, text string")
+    assert [r.n_removed for r in phrases.remove_repeats(long).collect()] == [0, 0]
+
+
 def test_jaccard_links_short_texts_with_a_word_appended(spark):
     """Texts of 1 to 24 words and the same with one word more: J = (n - 1) / n of n shingles in the longer."""
     rows = []

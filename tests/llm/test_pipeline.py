@@ -115,3 +115,61 @@ def test_packing(stages):
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
     total = sum(r.length for r in got)
     assert len({r.sequence_id for r in got}) <= 1.1 * total / 4096 + 1
+
+
+EXTRA = ["score", "_id", "_times", "_copy", "_row", "_group", "_key", "key", "hub", "size", "taken", "piece", "length"]
+WORDS = [f"plain{i % 89} words{i % 37} of{i}" for i in range(400)]
+NASTY = [
+    (1, " ".join(WORDS[:60]), "a"), (2, " ".join(WORDS[:60]) + " tail", "a"), (2, " ".join(WORDS[100:180]), "a"), (2, " ".join(WORDS[100:180]), "a"),
+    (3, None, "a"), (3, None, "a"), (4, "", None), (5, " \n ", "b"), (None, " ".join(WORDS[200:260]), "b"), (None, " ".join(WORDS[200:260]), "b"),
+    (None, None, None), (6, " ".join(f"long{i}" for i in range(80_000)), "b"), (7, "mail a.b@example.org or 10.0.0.1", "c"), (8, "mail a.b@example.org or 10.0.0.1", "c"), (9, " ".join(WORDS[300:400]), None),
+]
+
+
+@pytest.fixture(scope="module")
+def nasty(spark):
+    schema = "doc_id long, text string, source string, lang string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
+    return spark.createDataFrame([(*r, "en", len(r[1] or ""), *["z"] * len(EXTRA)) for r in NASTY], schema).repartition(3)
+
+
+def pairs(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def test_quality_of_nasty_rows(nasty, spark, sf_dir, tmp_path):
+    got = corpus_pipeline.classify_quality(spark, nasty, sf_dir)
+    assert got.columns == nasty.columns and got.count() <= len(NASTY)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pairs(corpus_pipeline.classify_quality(spark, nasty, str(tmp_path))) == pairs(nasty)
+
+
+def test_near_copies_of_nasty_rows(nasty, spark):
+    got = corpus_pipeline.drop_near_copies(spark, nasty, "")
+    assert got.columns == nasty.columns
+    # 1 and the first 2 are near copies, as are the repeated rows with words; other texts of an id stay, and so do all rows without words
+    assert pairs(got) == sorted([NASTY[i][:2] for i in (0, 2, 4, 5, 6, 7, 8, 10, 11, 12, 14)], key=repr)
+
+
+def test_masking_of_nasty_rows(nasty, spark):
+    got = corpus_pipeline.mask_personal_data(spark, nasty, "")
+    assert got.columns == nasty.columns
+    assert pairs(got) == sorted([(i, t and t.replace("a.b@example.org", "[EMAIL]").replace("10.0.0.1", "[IP]")) for i, t, _ in NASTY], key=repr)
+
+
+def test_mix_of_nasty_rows(nasty, spark):
+    got = corpus_pipeline.mix_to_targets(spark, nasty, "")
+    assert got.columns == nasty.columns
+    rows = pairs(got)
+    assert set(rows) <= {r[:2] for r in NASTY if r[1] and r[1].strip()}
+    assert all(n <= 2 * sum(r[:2] == k for r in NASTY) for k, n in __import__("collections").Counter(rows).items())
+    assert pairs(corpus_pipeline.mix_to_targets(spark, nasty.repartition(5), "")) == rows
+
+
+def test_packing_of_nasty_rows(nasty, spark):
+    got = corpus_pipeline.pack_sequences(spark, nasty, "").collect()
+    assert sum(r.piece == 0 for r in got) == len(NASTY)
+
+
+def test_stages_of_an_empty_table(nasty, spark, sf_dir):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nasty.limit(0), sf_dir).count() == 0
