@@ -6,22 +6,26 @@ that covers it also starts earlier (smaller doc_id, or earlier in the document).
 1. Texts that equal an earlier text go whole, if they have a window; they take
    no further part.
 2. Each window picks the smallest hash among its ``phrase``-word grams. Equal
-   windows pick equal grams, so only windows whose gram recurs can recur. Grams
-   meet by hash in one shuffle; grams that recur within a batch are settled
+   windows pick equal grams, so only windows whose gram recurs can recur. Hashes, without
+   positions, meet in one shuffle; those that recur within a batch are settled
    there and send one row for all, so a passage that very many documents share
    does not gather in one task.
-3. Documents with recurring grams are streamed in shards of bounded text. A
-   shard's phrases are compiled to an Aho-Corasick automaton over word numbers,
-   which locates every occurrence in the shard's documents; the windows around
-   them are candidates.
-4. Window hashes meet in a minimum (combined before the shuffle), which gives
+3. The phrases behind recurring hashes meet again as words, which confirms them: a confirmed phrase stands twice or more
+   in the corpus, word for word. Each document gets the confirmed phrases that it shares.
+4. Documents are streamed in shards of bounded text. The confirmed phrases of a
+   shard's documents are compiled to an Aho-Corasick automaton over word numbers,
+   which locates every occurrence in all of them; nothing else knows positions. The windows
+   that pick a located phrase are candidates.
+5. Window digests of 128 bits meet in a minimum (combined before the shuffle), which gives
    each window's first occurrence. All other candidates are covered words.
 
-Words and windows are compared by 64-bit hashes.
+A document thus passes one automaton, whatever the size of the corpus: an
+automaton of all phrases, or shards of it that each see all documents, would cost the square of it.
 
 Edge cases: null, empty and short texts have no window and lose nothing;
-repeated rows (equal doc_id) count as one document, neither is earlier; null
-doc_ids are one document that comes last; an empty table gives an empty result.
+repeated rows (equal doc_id and text) count as one document, neither is earlier; other texts
+under one doc_id stand in the order of a hash of the text; null
+doc_ids are one document's that comes last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,13 +36,16 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, gram_hashes, lean, signed, slices, small, text_buffer, word_hashes, word_spans
+from .common import Scratch, fold, gram_hashes, lean, mix, signed, slices, small, text_buffer, word_hashes, word_spans
 
 _LAST = np.uint64((1 << 64) - 1)
 _NO_ID = (1 << 63) - 1
+#: Digests of texts that a task remembers at most.
+_REMEMBER = 200_000
 
 
 def _slide(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
@@ -85,96 +92,174 @@ class Windows:
         return np.flatnonzero(self.valid & (_slide(marked, self.reach, np.minimum) == self.low))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id, version of the rows whose text an earlier doc_id has.
+
+    A task knows a copy when it has met the text under a smaller id, so a text that very many documents have
+    sends about one row a task to its key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}
+        for batch in batches:
+            known = []
+            for doc, digest in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                before = least.get(digest)
+                known.append(before is not None and before < doc)
+                if before is None or doc < before:
+                    least[digest] = doc
+            if len(least) > _REMEMBER:
+                least.clear()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(known, pa.bool_())], names=["doc_id", "version", "digest", "known"])
+
+    digest = F.unhex(F.md5("text"))
+    rows = docs.select("doc_id", "version", digest.alias("digest")).mapInArrow(lean(run), "doc_id long, version int, digest binary, known boolean")
+    open_ = rows.where("not known")
+    first = open_.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    return rows.where("known").select("doc_id", "version").unionByName(open_.join(first, "digest").where("doc_id > first").select("doc_id", "version")).distinct()
+
+
+def _twice(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, known, tell) of a slice's occurrences: the first of each key in each document, whether the key stands
+    twice in the slice, and one row of each key that does."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    same = key[1:] == key[:-1]
+    known = np.zeros(len(key), bool)
+    known[1:] |= same
+    known[:-1] |= same
+    new = np.ones(len(key), bool)
+    new[1:] = ~same | (doc[1:] != doc[:-1])
+    head = known.copy()
+    head[1:] &= ~same
+    return order[new], known[new], order[head]
+
+
+_ROW = ["key", "doc_id", "version", "known"]
+
+
 def grams(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """key, doc_id, pos, known: picked grams; known rows recur in their batch, with one row of pos -1 to tell others."""
+    """key, doc_id, version, known: hashes of the phrases that windows pick, once a document; known rows stand twice in
+    their slice, with one row of version -1 to tell others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            raw, offsets, _ = text_buffer(batch.column(1))
+            ids, versions = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            raw, offsets, _ = text_buffer(batch.column(2))
             for lo, hi in slices(offsets):
                 w = Windows(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], window, phrase)
                 at = w.picked()
                 if not len(at):
                     continue
-                key = w.gram[at]
-                order = np.argsort(key, kind="stable")
-                key, at = key[order], at[order]
-                same = key[1:] == key[:-1]
-                known = np.zeros(len(key), bool)
-                known[1:] |= same
-                known[:-1] |= same
-                head = known.copy()
-                head[1:] &= ~same
-                doc = ids[lo:hi][w.doc[at]]
-                pos = at - w.first[w.doc[at]]
-                tell = np.flatnonzero(head)
+                key, doc = w.gram[at], w.doc[at]
+                rows, known, tell = _twice(key, doc)
+                doc = lo + doc[rows]
+                none = np.full(len(tell), -1)
                 yield pa.record_batch(
-                    [pa.array(signed(np.concatenate((key, key[tell])))), pa.array(np.concatenate((doc, doc[tell]))),
-                     pa.array(np.concatenate((pos, np.full(len(tell), -1))).astype(np.int32)), pa.array(np.concatenate((known, np.zeros(len(tell), bool))))],
-                    names=["key", "doc_id", "pos", "known"])
+                    [pa.array(signed(np.concatenate((key[rows], key[tell])))), pa.array(np.concatenate((ids[doc], none))),
+                     pa.array(np.concatenate((versions[doc], none)).astype(np.int32)), pa.array(np.concatenate((known, none == 0)))], names=_ROW)
+
+    return docs.mapInArrow(lean(run), "key long, doc_id long, version int, known boolean")
+
 
-    return docs.mapInArrow(lean(run), "key long, doc_id long, pos int, known boolean")
+def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """key (the words, with one space between), doc_id, version, known of the picked phrases of docs(doc_id, version, text,
+    keys) whose hash is among the document's keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, versions = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            raw, offsets, _ = text_buffer(batch.column(2))
+            for lo, hi in slices(offsets):
+                text = raw[offsets[lo] : offsets[hi]]
+                w = Windows(text, offsets[lo : hi + 1] - offsets[lo], window, phrase)
+                at = w.picked()
+                lists = pa.concat_arrays([batch.column(3).slice(lo, hi - lo)])
+                wanted = np.asarray(lists.flatten()).view(np.uint64)
+                owner = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(np.asarray(lists.offsets)))
+                at = at[np.isin(mix(w.gram[at] ^ mix(w.doc[at].astype(np.uint64))), mix(wanted ^ mix(owner)))] if len(at) else at
+                if not len(at):
+                    continue
+                data = text.tobytes()
+                words = [b" ".join(data[a:b].split()) for a, b in zip(w.starts[at].tolist(), w.ends[at + phrase - 1].tolist(), strict=True)]
+                number: dict[bytes, int] = {}
+                code = np.array([number.setdefault(x, len(number)) for x in words])
+                doc = w.doc[at]
+                rows, known, tell = _twice(code, doc)
+                doc = lo + doc[rows]
+                none = np.full(len(tell), -1)
+                yield pa.record_batch(
+                    [pa.array([words[i] for i in (*rows.tolist(), *tell.tolist())], pa.binary()), pa.array(np.concatenate((ids[doc], none))),
+                     pa.array(np.concatenate((versions[doc], none)).astype(np.int32)), pa.array(np.concatenate((known, none == 0)))], names=_ROW)
+
+    return docs.mapInArrow(lean(run), "key binary, doc_id long, version int, known boolean")
 
 
 def recurring(rows: DataFrame) -> DataFrame:
-    """doc_id, pos of rows that are known or whose key has another row; keys are streamed in order, no group is held."""
+    """key, doc_id, version of rows that are known or whose key has another row; keys are streamed in order, no group is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # (key, doc, pos, whether it has been written)
+        last: tuple | None = None  # a row of the last key, and whether it has been written
         for batch in batches:
-            known = np.asarray(batch.column(3))
-            key, doc, pos = (np.asarray(batch.column(j)) for j in range(3))
-            out_doc, out_pos = [doc[known]], [pos[known]]
-            key, doc, pos = key[~known], doc[~known], pos[~known]
-            if len(key):
+            known = batch.column(3)
+            out, rest = [batch.filter(known)], batch.filter(pc.invert(known))
+            if rest.num_rows:
+                key = rest.column(0)
                 same = np.zeros(len(key), bool)
-                same[1:] = key[1:] == key[:-1]
-                goes_on = last is not None and bool(key[0] == last[0])
-                if goes_on and not last[3]:
-                    out_doc.append(np.array([last[1]]))
-                    out_pos.append(np.array([last[2]]))
-                same[0] = goes_on
+                same[1:] = np.asarray(pc.equal(key.slice(1), key.slice(0, len(key) - 1)))
+                same[0] = last is not None and key[0].as_py() == last[0].column(0)[0].as_py()
+                if same[0] and not last[1]:
+                    out.append(last[0])
                 twice = same.copy()
                 twice[:-1] |= same[1:]
-                out_doc.append(doc[twice])
-                out_pos.append(pos[twice])
-                last = int(key[-1]), int(doc[-1]), int(pos[-1]), bool(twice[-1])
-            found_doc, found_pos = np.concatenate(out_doc), np.concatenate(out_pos).astype(np.int32)
-            real = found_pos >= 0
-            yield pa.record_batch([pa.array(found_doc[real]), pa.array(found_pos[real])], names=["doc_id", "pos"])
+                out.append(rest.filter(pa.array(twice)))
+                last = rest.slice(len(key) - 1), bool(twice[-1])
+            for found in out:
+                found = found.filter(pc.greater_equal(found.column(2), 0))
+                if found.num_rows:
+                    yield pa.RecordBatch.from_arrays(found.columns[:3], names=_ROW[:3])
 
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    route = F.when(F.col("known"), F.xxhash64("doc_id")).otherwise(F.col("key"))
-    return rows.withColumn("route", route).repartition(n, "route").sortWithinPartitions("route").select("key", "doc_id", "pos", "known").mapInArrow(lean(run), "doc_id long, pos int")
-
-
-def locate(w: Windows, hits: pa.ListArray) -> np.ndarray:
-    """Positions of every occurrence in the shard of the phrases at the documents' hits."""
-    number = np.unique(w.words, return_inverse=True)[1].tolist()
-    count = np.diff(np.asarray(hits.offsets))
-    at = np.asarray(hits.flatten()).astype(np.int64) + np.repeat(w.first[:-1], count)
-    at = at[np.unique(w.gram[at], return_index=True)[1]] if len(at) else at
-    if not len(at):
-        return at
+    route = F.when(F.col("known"), F.xxhash64("doc_id", "key")).otherwise(F.xxhash64("key"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.repartition(n, route).sortWithinPartitions("known", "key").mapInArrow(lean(run), f"key {kind}, doc_id long, version int")
+
+
+def locate(w: Windows, text: np.ndarray, offsets: np.ndarray, confirmed: list[list[bytes]]) -> np.ndarray:
+    """First words of every occurrence, in a shard's documents, of the confirmed phrases of any of them, word for word."""
+    number: dict[bytes, int] = {}
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for a in at.tolist():
-        automaton.add_word(tuple(number[a : a + w.phrase]))
+    for words in {p for own in confirmed for p in own}:
+        automaton.add_word(tuple([number.setdefault(x, len(number) + 1) for x in words.split(b" ")]))
+    if not number:
+        return np.zeros(0, np.int64)
     automaton.make_automaton()
-    ends = [end for end, _ in automaton.iter(tuple(number))]
-    begin = np.array(ends, np.int64) - w.phrase + 1
+    data, known = text.tobytes(), number.get
+    stream: list[int] = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        stream += [known(x, 0) for x in data[a:b].split()]
+    begin = np.array([end for end, _ in automaton.iter(tuple(stream))], np.int64) - w.phrase + 1
     return begin[w.doc[begin] == w.doc[begin + w.phrase - 1]]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], window: int, phrase: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, Windows, np.ndarray]]:
-    """(rows, raw text, windows, candidate window starts) of bounded shards of (doc_id, text, hits, ...)."""
+    """(rows, raw text, windows, candidate window starts) of bounded shards of (doc_id, version, text, phrases, ...)."""
     for batch in batches:
-        raw, offsets, _ = text_buffer(batch.column(1))
+        raw, offsets, _ = text_buffer(batch.column(2))
         for lo, hi in slices(offsets):
             rows = batch.slice(lo, hi - lo)
-            text = raw[offsets[lo] : offsets[hi]]
-            w = Windows(text, offsets[lo : hi + 1] - offsets[lo], window, phrase)
-            yield rows, text, w, w.around(locate(w, pa.concat_arrays([rows.column(2)]))) if w.any else np.zeros(0, np.int64)
+            text, own = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            w = Windows(text, own, window, phrase)
+            yield rows, text, w, w.around(locate(w, text, own, rows.column(3).to_pylist())) if w.any else np.zeros(0, np.int64)
+
+
+def _digests(w: Windows, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each window that starts at these words."""
+    a, b = np.full(len(at), 3, np.uint64), np.full(len(at), 5, np.uint64)
+    for j in range(w.window):
+        word = w.words[at + j]
+        a, b = fold(a, word), fold(b, word ^ (word >> np.uint64(31)))
+    return mix(a), mix(b)
 
 
 def _kept(text: np.ndarray, w: Windows, cover: np.ndarray) -> tuple[list[int], list[str]]:
@@ -200,41 +285,48 @@ def _kept(text: np.ndarray, w: Windows, cover: np.ndarray) -> tuple[list[int], l
 def remove_repeats(docs: DataFrame, window: int = 20, phrase: int = 8, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs(doc_id, text)."""
     scratch = scratch or Scratch(docs.sparkSession, "phrases")
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("version"), text.alias("text"))
+    row = ["doc_id", "version"]
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
     # 1. texts that an earlier document has
-    mark = docs.select("doc_id", F.md5("text").alias("m"), F.length("text").alias("n"))
-    first = mark.groupBy("m", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = scratch.store(mark.join(first, ["m", "n"]).where("doc_id > first").select("doc_id").distinct(), "copies")
-    copied = small(copies)
-    fresh = docs.join(copied, "doc_id", "left_anti")
-
-    # 2. recurring grams, by document
-    hits = recurring(grams(fresh, window, phrase)).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
-    hits = scratch.store(hits, "hits")
-    n_hits = hits.select("doc_id")
-
-    # 3. candidate windows
+    copied = small(scratch.store(copies(docs), "copies"))
+    fresh = docs.join(copied, row, "left_anti")
+
+    def with_texts(lists: DataFrame) -> DataFrame:
+        """The rows of a stored table with their texts; other texts stay out of the shuffle where the ids are few."""
+        return docs.join(small(lists.select(*row)), row, "left_semi").join(lists, row)
+
+    # 2. recurring hashes, 3. confirmed phrases, by document
+    keys = scratch.store(recurring(grams(fresh, window, phrase)).groupBy(*row).agg(F.collect_set("key").alias("keys")), "keys")
+    confirmed = recurring(phrases(with_texts(keys).select(*row, "text", "keys"), window, phrase)).groupBy(*row).agg(F.collect_set("key").alias("phrases"))
+    confirmed = scratch.store(confirmed, "confirmed")
+    scratch.drop(keys)
+
+    # 4. candidate windows; a shard sends each window's earliest
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, w, at in _shards(batches, window, phrase):
             if len(at):
-                ids = np.asarray(rows.column(0))
-                yield pa.record_batch(
-                    [pa.array(signed(_window_hash(w, at))), pa.array(ids[w.doc[at]]), pa.array((at - w.first[w.doc[at]]).astype(np.int32))],
-                    names=["key", "doc_id", "start"])
-
-    some = fresh.join(small(n_hits), "doc_id", "left_semi").join(hits, "doc_id").select("doc_id", "text", "hits")
-    seen = some.mapInArrow(lean(candidates), "key long, doc_id long, start int")
-    firsts = seen.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("at")).groupBy("at.doc_id").agg(F.collect_list("at.start").alias("firsts"))
-    firsts = scratch.store(firsts, "firsts")
-
-    # 4. what is left of the documents
+                a, b = _digests(w, at)
+                doc, version = np.asarray(rows.column(0))[w.doc[at]], np.asarray(rows.column(1)).astype(np.int64)[w.doc[at]]
+                spot = (version << 32) | (at - w.first[w.doc[at]])
+                order = np.lexsort((spot, doc, b, a))
+                new = np.ones(len(order), bool)
+                new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+                order = order[new]
+                yield pa.record_batch([pa.array(signed(a[order])), pa.array(signed(b[order])), pa.array(doc[order]), pa.array(spot[order])], names=["a", "b", "doc_id", "spot"])
+
+    seen = with_texts(confirmed).select(*row, "text", "phrases").mapInArrow(lean(candidates), "a long, b long, doc_id long, spot long")
+    firsts = seen.groupBy("a", "b").agg(F.min(F.struct("doc_id", "spot")).alias("at")).select("at.doc_id", F.shiftright("at.spot", 32).cast("int").alias("version"), F.col("at.spot").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("start"))
+    firsts = scratch.store(firsts.groupBy(*row).agg(F.collect_list("start").alias("firsts")), "firsts")
+
+    # 5. what is left of the documents
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, text, w, at in _shards(batches, window, phrase):
-            own = pa.concat_arrays([rows.column(3)])
-            keep = np.asarray(own.flatten()).astype(np.int64) + np.repeat(w.first[:-1], np.asarray(pa.compute.fill_null(pa.compute.list_value_length(own), 0)))
+            own = pa.concat_arrays([rows.column(4)])
+            keep = np.asarray(own.flatten()).astype(np.int64) + np.repeat(w.first[:-1], np.asarray(pc.fill_null(pc.list_value_length(own), 0)))
             again = np.setdiff1d(at, keep, assume_unique=False)
             edge = np.zeros(len(w.words) + 1, np.int64)
             np.add.at(edge, again, 1)
@@ -253,19 +345,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, phrase: int = 8, scratch:
             digests = [_EMPTY if g else d for g, d in zip(gone, digests, strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], names=names)
 
-    settled = some.join(firsts, "doc_id", "left").select("doc_id", "text", "hits", "firsts").mapInArrow(lean(settle), schema)
-    plain = docs.join(small(n_hits), "doc_id", "left_anti").join(copied.withColumn("whole", F.lit(True)), "doc_id", "left")
+    settled = with_texts(confirmed).join(firsts, row, "left").select(*row, "text", "phrases", "firsts").mapInArrow(lean(settle), schema)
+    plain = docs.join(small(confirmed.select(*row)), row, "left_anti").join(copied.withColumn("whole", F.lit(True)), row, "left")
     rest = plain.select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole")).mapInArrow(lean(untouched), schema)
     both = settled.unionByName(rest)
     return both.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
 
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
-
-
-def _window_hash(w: Windows, at: np.ndarray) -> np.ndarray:
-    """Hashes of the windows that start at these words."""
-    total = np.zeros(len(at), np.uint64)
-    for j in range(w.window):
-        total = total * np.uint64(0xD1342543DE82EF95) + w.words[at + j]
-    return total

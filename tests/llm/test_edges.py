@@ -405,6 +405,45 @@ def test_repeats(docs):
     assert len(nulls) == 2
 
 
+def test_automaton_locates_every_occurrence_word_for_word():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["a", "b", "ab", "c"], n)) for n in (0, 30, 200, 7, 90)]
+    raw, offsets, _ = linecrf.text_buffer(pa.array(texts))
+    w = phrases.Windows(raw, offsets, 6, 3)
+    confirmed = [[b"a b ab"], [], [b"c c a", b"a a a"], [b"none of these"], []]
+    want = []
+    for d, t in enumerate(texts):
+        words = t.split()
+        want += [int(w.first[d]) + i for i in range(len(words) - 2) if " ".join(words[i : i + 3]).encode() in {p for own in confirmed for p in own}]
+    assert sorted(phrases.locate(w, raw, offsets, confirmed).tolist()) == want and len(want) > 5
+    assert not len(phrases.locate(w, raw, offsets, [[]] * 5))
+
+
+def test_candidate_windows_come_from_the_automaton(monkeypatch):
+    """A shard knows no positions: its candidates are the windows around what the automaton locates, whatever the hashes."""
+    w = [f"w{i}" for i in range(60)]
+    texts = [" ".join(w[:40]), "x " + " ".join(w[5:45]), " ".join(w[::-1])]
+    for collide in (False, True):
+        if collide:
+            real = phrases.gram_hashes
+            monkeypatch.setattr(phrases, "gram_hashes", lambda h, k: real(h, k) % np.uint64(2) + np.uint64(1))
+        raw, offsets, _ = linecrf.text_buffer(pa.array(texts))
+        at = phrases.Windows(raw, offsets, 20, 8)
+        both = {" ".join(w[i : i + 8]).encode() for i in range(5, 33)}
+        batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([0, 0, 0], pa.int32()), pa.array(texts), pa.array([[*both], [*both], []], pa.list_(pa.binary()))], names=["doc_id", "version", "text", "phrases"])
+        ((_, _, _, starts),) = phrases._shards([batch], 20, 8)
+        shared = [*range(5, 21), *range(int(at.first[1]) + 1, int(at.first[1]) + 17)]
+        assert set(shared) <= set(starts.tolist()) and not (starts >= at.first[2]).any()
+    monkeypatch.setattr(phrases, "locate", lambda w, text, offsets, confirmed: np.zeros(0, np.int64))
+    assert not len(next(phrases._shards([batch], 20, 8))[3])
+
+
+def test_repeats_of_other_texts_under_one_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, f"start {b}"), (3, "short")], "doc_id long, text string")
+    assert rows(phrases.remove_repeats(df), "doc_id", "n_words", "n_removed") == [(1, 40, 0), (2, 40, 0), (2, 40, 40), (3, 1, 0), (3, 41, 40)]
+
+
 def test_warc(spark):
     pages = [(1, "http://a", "x" * 200), (2, None, "x" * 200), (2, "http://b", "x" * 200), (0, "http://é\r\nX: y", "x" * 200), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", "n" * 300), (7, "u", "n" * 300), (8, "u", "é" * 100 + "\r\n\r\n\0"), (9, "u", "big" * 7_000_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("d")).withColumn("size", F.lit(1)).repartition(3)
