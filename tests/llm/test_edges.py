@@ -1,6 +1,7 @@
 """Each operator on nasty rows: nulls, empty and long texts, ties, repeats, empty tables, clashing extra columns."""
 
 import hashlib
+import inspect
 import re
 import zlib
 from collections import Counter
@@ -349,6 +350,28 @@ def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     assert fit.place(2) == (3, 8)
 
 
+def test_bounded_best_fit_closes_bins_and_stays_near_the_least_sequences():
+    """Lengths as documents have them, in arrival order, under the production bound and a plain linear search."""
+    rng = np.random.default_rng(8)
+    sizes = np.minimum(4096, rng.lognormal(6.3, 1.0, 6000).astype(int) + 1).tolist()
+    limit = inspect.signature(pack.pack).parameters["open_bins"].default
+    fit, peak, bins = pack.BestFit(4096, limit), 0, {}
+    for n in sizes:
+        at, offset = fit.place(n)
+        open_ = {b: used for b, (used, live) in bins.items() if live}
+        fits = [used for used in open_.values() if used + n <= 4096]
+        if fits:
+            assert offset == max(fits)
+        else:
+            assert offset == 0 and at not in bins
+            if len(open_) >= limit:  # one of the fullest closed
+                bins[next(b for b, used in open_.items() if used == max(open_.values()))][1] = False
+        bins[at] = [offset + n, offset + n < 4096]
+        peak = max(peak, fit.open)
+    assert peak == limit and fit.closed > 0
+    assert fit.made <= 1.02 * sum(sizes) / 4096 + 1
+
+
 def test_personal_data(docs, spark):
     more = spark.createDataFrame([(50, "a.b@c.d.example.com, 10.0.0.300 10.0.0.30 4111 1111 1111 1111 +1 (212) 555-0199 é x_y%z@ex-ample.org_q@r.st"), (51, "1.2.3.4.5.6.7.8 @a.b a@b a@b.c@d.e 00010.0.0.1"), (52, "7" * 3000 + "." + "1.2.3"), (53, "+12345678 +123456789 +1 2345 6789 0123 4567 (x)")], "doc_id long, text string")
     both = docs.select("doc_id", "text", "n", "key").unionByName(more, allowMissingColumns=True)
