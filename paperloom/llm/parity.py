@@ -16,7 +16,7 @@ of its keys, as long as all documents leave out the last ones of one common orde
 keys that most batches have go first (a prefix filter). That takes the keys of
 passages that very many otherwise different documents share out of the join.
 
-Inside a key's group the first document is a
+Documents with equal sets are tied first and one of them stands for all. Inside a key's group the first document is a
 hub; hub pairs that pass the size and bit-parity tests are verified on the texts,
 one pair of each document first and then those that are still in two components.
 Keys whose documents are then still in several components are joined in full across
@@ -93,6 +93,8 @@ class Bands:
 
         P parts of a set of n elements hold about P exp(-n / P) empty ones; beside those of a set between the band's
         smallest partner and its lower end, P leaves D and two standard deviations, so that listing empty parts is rare.
+        Sets of about as many elements as the sketch has bits, and more, which the sketch tells apart badly, have so many
+        parts that partners agree in a quarter of D at least: long texts that share passages are then left out.
         """
         # differ() only grows over totals of the same parity, and two sizes may add up to either
         most = 2 * (self.low(k + 1) - 1)
@@ -101,7 +103,7 @@ class Bands:
         p = d + 1
         while d and p < least:
             bare = p * math.exp(-least / p)
-            if p - bare - 2 * math.sqrt(bare) > d:
+            if p - bare - 2 * math.sqrt(bare) > d + (d // 4 if least > 48 * SKETCH else 0):
                 break
             p += 1
         return d, p
@@ -182,22 +184,32 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array,
             yield own, np.asarray(own.fill_null(0)), np.asarray(own.is_null()), sets, [_digest(g) for g in sets]
 
 
+def parity_bits(g: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the number of elements with each value of the low bits, as longs; halves of a sketch XOR to the next smaller one."""
+    parity = np.bincount((g & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 def sign(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """doc_id, n, d1, d2 (digests of the set), s0.. (bit parity of the hashes' low bits), spare0, spare1."""
-    names = ["doc_id", "n", "d1", "d2", *[f"s{j}" for j in range(SKETCH)], "spare0", "spare1"]
+    """doc_id, n, d1, d2 (digests of the set), s0.. (bit parity of the hashes' low bits), spare0, spare1, wide (for sets of
+    more elements than that has bits: a sketch of at least a bit an element)."""
+    names = ["doc_id", "n", "d1", "d2", *[f"s{j}" for j in range(SKETCH)], "spare0", "spare1", "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, _, _, sets, digests in _sets(batches, k):
             out = np.zeros((len(sets), SKETCH + 2), np.int64)
+            wide = []
             for i, g in enumerate(sets):
+                wide.append(parity_bits(g, 1 << (len(g) - 1).bit_length()) if len(g) > 64 * SKETCH else None)
                 if len(g):
-                    parity = np.bincount((g & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-                    out[i, :SKETCH] = np.packbits(parity.astype(np.uint8)).view(np.int64)
+                    out[i, :SKETCH] = parity_bits(g, 64 * SKETCH)
                     out[i, SKETCH:] = spare_keys(g, bands)
             n = pa.array([len(g) for g in sets], pa.int64())
-            yield pa.record_batch([own, n, pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *[pa.array(out[:, j]) for j in range(SKETCH + 2)]], names=names)
+            yield pa.record_batch(
+                [own, n, pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), *[pa.array(out[:, j]) for j in range(SKETCH + 2)], pa.array(wide, pa.list_(pa.int64()))],
+                names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), ", ".join(f"{c} long" for c in names))
+    return docs.select("doc_id", "text").mapInArrow(lean(run), ", ".join(f"{c} long" for c in names[:-1]) + ", wide array<long>")
 
 
 def part_rows(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
@@ -286,19 +298,36 @@ def meet(keys: DataFrame) -> DataFrame:
     return dealt.select("key", "doc_id", "hub").mapInArrow(lean(run), "key long, doc_id long, hub long")
 
 
-def leave_out(shared: DataFrame, sigs: DataFrame, scratch: Scratch) -> DataFrame:
-    """shared without the commonest keys of each document, as many as it may leave out."""
-    rows = shared.where("doc_id is not null")
-    hot = small(scratch.store(shared.where("doc_id is null").select("key", F.col("hub").alias("heads")), "hot"))
-    spare = sigs.where("spare0 > 0 or spare1 > 0").groupBy("doc_id").agg(F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
+def one_of_equals(met: DataFrame, sigs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(links, rows): the ties (u, v) of equal sets, and met without them, where each document stands for all with its set."""
     side = F.col("key").bitwiseAND(F.lit(3))
-    commonest = W.partitionBy("doc_id", "side").orderBy(F.col("heads").desc(), "key")
-    ranked = (
-        rows.join(hot, "key").withColumn("side", side).join(spare, "doc_id", "left")
+    digest = sigs.select("doc_id", F.struct("n", "d1", "d2").alias("d")).distinct()
+    ties = met.where((side == WHOLE) & (F.col("doc_id") != F.col("hub"))).select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
+    a, b = digest.select(F.col("doc_id").alias("u"), F.col("d").alias("du")), digest.select(F.col("doc_id").alias("v"), F.col("d").alias("dv"))
+    links = scratch.store(ties.join(a, "u").join(b, "v").where("du = dv").select("u", "v").distinct(), "same")
+    copies = components(links, scratch).where("node <> component")
+    copies = small(scratch.store(copies, "copies"))
+
+    def stand_in(rows: DataFrame, column: str) -> DataFrame:
+        there = copies.select(F.col("node").alias(column), F.col("component").alias("_rep"))
+        return rows.join(there, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
+
+    # a key's rows are in one partition of met, so that copies fall together before the shuffle
+    rows = stand_in(stand_in(met.where((side != WHOLE) & F.col("doc_id").isNotNull()), "doc_id"), "hub")
+    return links, rows.select("key", "doc_id", "hub").distinct()
+
+
+def leave_out(rows: DataFrame, hot: DataFrame, sigs: DataFrame) -> DataFrame:
+    """rows without the commonest keys of each document, as many as it may leave out; a document with no more shared keys
+    than that has no partner and goes. Keys of few batches stand in the order of their hashes."""
+    spare = sigs.where("spare0 > 0 or spare1 > 0").groupBy("doc_id").agg(F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
+    commonest = W.partitionBy("doc_id", "side").orderBy(F.coalesce("heads", F.lit(0)).desc(), "key")
+    return (
+        rows.join(hot, "key", "left").withColumn("side", F.col("key").bitwiseAND(F.lit(3))).join(spare, "doc_id", "left")
         .withColumn("place", F.dense_rank().over(commonest))
-        .where((F.col("side") == WHOLE) | (F.col("place") > F.coalesce(F.when(F.col("side") == 0, F.col("spare0")).otherwise(F.col("spare1")), F.lit(0))))
+        .where(F.col("place") > F.coalesce(F.when(F.col("side") == 0, F.col("spare0")).otherwise(F.col("spare1")), F.lit(0)))
+        .select("key", "doc_id", "hub")
     )
-    return rows.join(hot, "key", "left_anti").unionByName(ranked.select("key", "doc_id", "hub"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -354,6 +383,22 @@ def _near(bands: Bands, a: str, b: str) -> F.Column:
     return (100 * F.least(na, nb) >= p * F.greatest(na, nb)) & (na > 0) & ((100 + p) * _differ(a, b) <= (100 - p) * (na + nb))
 
 
+def _wide_near(pairs: DataFrame, sigs: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (u, v, ...) that pass the bit-parity bound of their wide sketches, where both have one. Linked sets differ little in
+    size, so their sketches are equally long or one has twice the other's length."""
+    side = sigs.where("wide is not null").select("doc_id", "n", "wide")
+    a, b = (side.select(F.col("doc_id").alias(c), F.col("n").alias(f"_n{c}"), F.col("wide").alias(f"_w{c}")) for c in ("u", "v"))
+
+    def folded(column: str, longs: F.Column) -> F.Column:
+        halves = F.zip_with(F.slice(column, F.lit(1), longs), F.slice(column, longs + 1, longs), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(column) > longs, halves).otherwise(F.col(column))
+
+    longs = F.least(F.size("_wu"), F.size("_wv"))
+    differ = F.aggregate(F.zip_with(folded("_wu", longs), folded("_wv", longs), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    fits = (100 + bands.percent) * differ <= (100 - bands.percent) * (F.col("_nu") + F.col("_nv"))
+    return pairs.join(a, "u", "left").join(b, "v", "left").where(F.col("_wu").isNull() | F.col("_wv").isNull() | fits).select(*pairs.columns).distinct()
+
+
 def _component(rows: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
     there = found.select(F.col("node").alias(column), F.col("component").alias(name))
     return rows.join(there, column, "left").withColumn(name, F.coalesce(name, column))
@@ -372,20 +417,22 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
     # the texts are read again for the keys: storing those would cost more disk than the text itself
     sigs = scratch.store(sign(docs, k, bands), "sigs")
     met = scratch.store(meet(part_rows(docs, k, bands)), "met")
-    shared = scratch.store(leave_out(met, sigs, scratch), "shared")
+    hot = small(scratch.store(met.where("doc_id is null").select("key", F.col("hub").alias("heads")), "hot"))
+    same, rows = one_of_equals(met, sigs, scratch)
+    shared = scratch.store(leave_out(rows, hot, sigs), "shared")
     scratch.drop(met)
 
     hubs = scratch.store(shared.where("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct(), "hubs")
     a, b = sigs.alias("a"), sigs.alias("b")
-    same = (F.col("a.n") == F.col("b.n")) & (F.col("a.d1") == F.col("b.d1")) & (F.col("a.d2") == F.col("b.d2"))
     tried = hubs.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).where(_near(bands, "a", "b"))
-    tried = scratch.store(tried.select("u", "v", same.alias("same"), _differ("a", "b").alias("differ")), "tried")
+    tried = scratch.store(tried.select("u", "v", _differ("a", "b").alias("differ")), "tried")
 
-    links = [scratch.store(tried.where("same").select("u", "v").distinct(), "same")]
-    found = scratch.store(components(links[0], scratch), "components")
+    links = [same]
+    unlike = scratch.store(_wide_near(tried, sigs, bands), "unlike")
+    found = scratch.store(components(same, scratch), "components")
     # first the nearest hub of each document, then those that this leaves in another component
     for nearest in (True, False):
-        rest = _apart(tried.where("not same"), found)
+        rest = _apart(unlike, found)
         if nearest:
             rest = rest.groupBy("u").agg(F.min_by("v", F.struct("differ", "v")).alias("v"))
         rest = scratch.store(rest.select("u", "v").distinct(), "rest")
@@ -414,6 +461,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
     pairs = left.join(right, across & _near(bands, "a", "b")).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
     pairs = scratch.store(pairs.join(tried.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
     scratch.drop(tried, member)
+    pairs = scratch.store(_wide_near(pairs, sigs, bands), "near")
     late = verify(pairs, docs, k, percent, scratch)
     if not late.isEmpty():
         found = components(functools.reduce(DataFrame.unionByName, [*links, late]), scratch)
