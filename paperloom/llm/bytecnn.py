@@ -58,14 +58,21 @@ class ByteCnn:
         n = (len(x) // self.embed - self.width) // self.stride
         return np.lib.stride_tricks.as_strided(x, (n, self.width * self.embed), (self.stride * self.embed * 4, 4))
 
-    def halves(self, padded: np.ndarray) -> np.ndarray:
+    def across(self) -> int:
+        """Windows at a text's end that begin in its padding and reach into the next text; they count as padding."""
+        return (self.width - 1) // self.stride
+
+    def halves(self, padded: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Each filter's largest rectified response in each half chunk, in steps of bounded memory."""
         unit = self.half * self.stride
+        last = np.zeros(first[-1], bool)
+        last[first[1:] - 1] = True
         out = []
         for lo in range(0, len(padded) - self.width, unit * 128):
             part = padded[lo : lo + unit * 128 + self.width]
-            z = self.windows(self.p["e"][part].reshape(-1)) @ self.p["w"]
-            out.append(z.reshape(-1, self.half, z.shape[1]).max(1))
+            z = (self.windows(self.p["e"][part].reshape(-1)) @ self.p["w"]).reshape(-1, self.half, len(self.p["b"]))
+            z[last[lo // unit : lo // unit + len(z)], self.half - self.across() :] = 0
+            out.append(z.max(1))
         return np.maximum(np.concatenate(out) + self.p["b"], 0)
 
     @staticmethod
@@ -80,7 +87,7 @@ class ByteCnn:
 
     def logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         padded, first = self.pad(raw, offsets)
-        h = self.halves(padded)
+        h = self.halves(padded, first)
         a, b = self.chunks(h, first)
         z = np.maximum(h[a], h[b]) @ self.p["v"] + self.p["c"][0]
         owner = np.searchsorted(first, a, side="right") - 1
@@ -92,6 +99,7 @@ class ByteCnn:
         x = self.p["e"][padded].reshape(-1)
         win = self.windows(x)
         z = (win @ self.p["w"] + self.p["b"]).reshape(-1, self.half, len(self.p["b"]))
+        z[first[1:] - 1, self.half - self.across() :] = self.p["b"]
         arg = z.argmax(1)
         top = np.take_along_axis(z, arg[:, None], 1)[:, 0]
         h = np.maximum(top, 0)
@@ -110,13 +118,16 @@ class ByteCnn:
         half, filt = np.nonzero(dh)
         g = dh[half, filt]
         at = half * self.half + arg[half, filt]
-        seen = win[at]
+        foreign = np.zeros(len(z) * self.half, bool).reshape(-1, self.half)
+        foreign[first[1:] - 1, self.half - self.across() :] = True
+        own = ~foreign.reshape(-1)[at]
+        seen = win[at] * own[:, None]
         dw = np.zeros_like(self.p["w"])
         for f in range(dw.shape[1]):
             mine = filt == f
             dw[:, f] = g[mine] @ seen[mine]
         de = np.zeros_like(self.p["e"])
-        back = (g[:, None] * self.p["w"].T[filt]).reshape(-1, self.width, self.embed)
+        back = ((g * own)[:, None] * self.p["w"].T[filt]).reshape(-1, self.width, self.embed)
         for j in range(self.width):
             np.add.at(de, padded[at * self.stride + j], back[:, j])
         de[0] = 0

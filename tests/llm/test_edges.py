@@ -307,6 +307,64 @@ def test_language(docs):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_entropies_equal_a_plain_kneser_ney():
+    """Cross-entropies against a dictionary implementation of the recursion, text by text."""
+    learnt, order = ["the cat and the hat", "that hat", "a cat"], 3
+    clean = lambda t: "  " + t + " "
+    counts = [{} for _ in range(order + 1)]
+    for t in learnt:
+        c = clean(t)
+        for i in range(len(c) - order + 1):
+            counts[order][c[i : i + order]] = counts[order].get(c[i : i + order], 0) + 1
+    for k in range(order - 1, 0, -1):
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+
+    def discount(k):
+        once, twice = (sum(n == j for n in counts[k].values()) for j in (1, 2))
+        return min(max(once / (once + 2 * twice) if once + twice else 0.5, 0.1), 0.9)
+
+    def prob(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        k, ctx = len(g), g[:-1]
+        inside = [n for h, n in counts[k].items() if h[:-1] == ctx]
+        if not inside:
+            return prob(g[1:])
+        d = discount(k)
+        return max(counts[k].get(g, 0) - d, 0) / sum(inside) + d * len(inside) / sum(inside) * prob(g[1:])
+
+    grams = np.array([[0 if c == " " else ord(c) for c in g] for g in counts[order]], np.uint32)
+    models = langid.Models({"en": langid.CharModel(grams, np.array(list(counts[order].values())))}, order)
+    texts = ["the hat", "xyz cat", "THAT!! cat", "q"]
+    h, _ = models.entropies(pa.array(texts))
+    for t, got in zip(["the hat", "xyz cat", "that cat", "q"], h[:, 0], strict=True):
+        c = clean(t)
+        parts = [c[i : i + order] for i in range(len(c) - order + 1)]
+        assert abs(got + sum(np.log(prob(g)) for g in parts) / len(parts)) < 1e-6
+
+
+def test_forward_pass_equals_plain_loops():
+    """The network's probability against loops over windows and chunks."""
+    rng = np.random.default_rng(12)
+    net = bytecnn.ByteCnn(filters=3, width=4, stride=2, embed=2, half=4)
+    net.p["b"] = rng.normal(size=3).astype(np.float32)
+    texts = ["", "short", "a longer text of some words, " * 5, "é" * 40]
+    raw, offsets, _ = linecrf.text_buffer(pa.array(texts))
+    got = net.logits(raw, offsets)
+    for t, z in zip(texts, got, strict=True):
+        data, unit = t.encode(), 4 * 2
+        halves = (len(data) + 4 + unit - 1) // unit
+        data = data + bytes(halves * unit + 4 - len(data))
+        top = []
+        for h in range(halves):
+            best = [max(sum(float(net.p["e"][data[s + j]] @ net.p["w"][2 * j : 2 * j + 2, f]) for j in range(4)) for s in range(h * unit, (h + 1) * unit, 2)) + float(net.p["b"][f]) for f in range(3)]
+            top.append([max(b, 0.0) for b in best])
+        pairs = [(i, i + 1) for i in range(halves - 1)] or [(0, 0)]
+        plain = np.mean([sum(max(x, y) * float(v) for x, y, v in zip(top[i], top[j], net.p["v"], strict=True)) + float(net.p["c"][0]) for i, j in pairs])
+        assert abs(plain - z) < 1e-4
+
+
 def test_kneser_ney_sums_to_one():
     text = np.array([ord(c) if c != " " else 0 for c in "   the cat and the hat and that    " * 3], np.uint32)
     grams, counts = np.unique(np.lib.stride_tricks.sliding_window_view(text, 3), axis=0, return_counts=True)
@@ -516,7 +574,7 @@ def test_repeats_of_other_texts_under_one_id(spark):
 def test_warc(spark):
     pages = [(1, "http://a", "x" * 200), (2, None, "x" * 200), (2, "http://b", "x" * 200), (0, "http://é\r\nX: y", "x" * 200), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", "n" * 300), (7, "u", "n" * 300), (8, "u", "é" * 100 + "\r\n\r\n\0"), (9, "u", "big" * 7_000_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("d")).withColumn("size", F.lit(1)).repartition(3)
-    got = warc.archive(df, per_file=4).collect()
+    got = warc.archive(df, per_file=2, chunk_bytes=500).collect()
     assert len(got) == len(pages)
     for r in got:
         assert any(p[0] == r.page_id and hashlib.sha256((p[2] or "").encode()).hexdigest() == r.payload_digest and len((p[2] or "").encode()) == r.payload_bytes for p in pages)
