@@ -1,6 +1,6 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-All training texts are counted: character n-grams of order ``order`` per
+All training texts but those kept for calibration are counted: character n-grams of order ``order`` per
 language, combined per batch before they meet. Letters are lower-cased, runs of
 anything else are one space. Lower orders follow from the distinct n-grams
 (continuation counts), as Kneser-Ney asks. Each language's model is a set of
@@ -10,8 +10,9 @@ n-grams are hashed to 64 bits.
 A text's score under a language is its mean negative log-probability per
 character; the lowest wins. ``score`` is the winner's share of the normalised
 likelihoods. ``rejected`` marks texts whose best cross-entropy lies above the
-language's calibrated limit (``limit_quantile`` of all its training texts plus a
-margin).
+language's calibrated limit: ``limit_quantile`` of the cross-entropies of the language's calibration texts, which are one in
+``calibrate`` of the texts that may be learnt from (by crc32 of the id) and which no model has counted, plus a margin.
+Languages without such texts reject nothing.
 
 The models are kept on the driver and sent to the executors; their size is that of the
 languages' distinct n-grams, which saturates with the corpus. Every occurrence counts.
@@ -218,14 +219,21 @@ class Models:
         return out, has
 
 
-def learn(docs: DataFrame, order: int = 4, limit_quantile: float = 0.999, margin: float = 0.5) -> Models | None:
-    """Models from all texts of docs(doc_id, text, lang) with a language, but those with crc32(doc_id) mod 4 of 2."""
+def learn(docs: DataFrame, order: int = 4, limit_quantile: float = 0.995, margin: float = 0.1, calibrate: int = 16) -> Models | None:
+    """Models from all texts of docs(doc_id, text, lang) with a language, but those with crc32(doc_id) mod 4 of 2, and limits
+    from those of them that are kept for calibration."""
     known = docs.where(~held_out(F.col("doc_id"), 4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    table = count_grams(known, order).toPandas()
+    kept = F.coalesce(F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 4) % calibrate == 0, F.lit(False))
+    table = count_grams(known.where(~kept), order).toPandas()
     models = {}
     for lang, part in table.groupby("lang"):
         flat = np.frombuffer("".join(part["gram"]).encode("utf-32-le"), "<u4").reshape(-1, order)
         models[lang] = CharModel(np.where(flat == 32, 0, flat), part["n"].to_numpy())
+    if not models:  # nothing but calibration texts
+        table = count_grams(known, order).toPandas()
+        for lang, part in table.groupby("lang"):
+            flat = np.frombuffer("".join(part["gram"]).encode("utf-32-le"), "<u4").reshape(-1, order)
+            models[lang] = CharModel(np.where(flat == 32, 0, flat), part["n"].to_numpy())
     if not models:
         return None
     out = Models(models, order)
@@ -236,11 +244,12 @@ def learn(docs: DataFrame, order: int = 4, limit_quantile: float = 0.999, margin
             langs = np.asarray(batch.column(1))
             for lo, hi in slices(offsets):
                 h, has = out.entropies(batch.column(0).slice(lo, hi - lo))
-                own = np.array([out.langs.index(x) for x in langs[lo:hi]])
+                own = np.array([out.langs.index(x) if x in out.langs else 0 for x in langs[lo:hi]])
+                has &= np.isin(langs[lo:hi].astype(object), out.langs)
                 yield pa.record_batch([batch.column(1).slice(lo, hi - lo).filter(pa.array(has)), pa.array(h[np.arange(hi - lo), own][has])], names=["lang", "h"])
 
-    limits = known.select("text", "lang").mapInArrow(lean(run), "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", limit_quantile, 10000).alias("q")).collect()
-    for r in limits:
+    limits = known.where(kept).select("text", "lang").mapInArrow(lean(run), "lang string, h double").groupBy("lang").agg(F.percentile_approx("h", limit_quantile, 10000).alias("q")).collect()
+    for r in limits:  # one row a language
         out.limit[out.langs.index(r.lang)] = r.q + margin
     return out
 
