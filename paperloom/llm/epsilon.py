@@ -10,8 +10,9 @@ dimensions lie more than eps apart hold no pair.
 The sorted sequence is cut into blocks of at most ``block`` rows. Block boxes
 meet by their cells in the first two dimensions; pairs of blocks that may hold
 links are joined recursively: an interval pair splits in halves until it is
-small or provably distant, and what is left is compared by exact cosines in
-double precision. Each block pair returns its link counts and a spanning forest
+small or provably distant, and what is left is compared by cosines in
+double precision; a pair within 1e-12 of the threshold, where unit vectors may round to the other side, is decided by the dot
+product of the vectors as they are over the product of their lengths. Each block pair returns its link counts and a spanning forest
 of its links, not the links, so dense groups stay linear.
 
 Edge cases: null vectors, zero vectors and vectors with null or non-finite
@@ -37,7 +38,7 @@ from .components import components
 LEAF = 64
 
 
-def _unit(rows: list) -> np.ndarray:
+def _unit(rows: list | np.ndarray) -> np.ndarray:
     """Rows of equal length as unit vectors in double precision."""
     x = np.array(rows, np.float64)
     x /= np.abs(x).max(1, keepdims=True)
@@ -87,12 +88,12 @@ def project(vectors: DataFrame, axes: dict[int, np.ndarray], eps: float) -> Data
 
 
 def cut(ordered: DataFrame, axes: dict[int, np.ndarray], block: int) -> DataFrame:
-    """Blocks of the sorted sequence: label, dim, block, size, ids, ns, m (unit vectors, doubles), lo, hi (box)."""
+    """Blocks of the sorted sequence: label, dim, block, size, ids, ns, m (vectors as doubles), lo, hi (box)."""
     names = ["label", "dim", "block", "size", "ids", "ns", "m", "lo", "hi"]
 
     def close(held: list[dict], number: int) -> pa.RecordBatch:
-        x = _unit([r["v"] for r in held])
-        z = x @ axes[held[0]["dim"]]
+        x = np.array([r["v"] for r in held], np.float64)
+        z = _unit(x) @ axes[held[0]["dim"]]
         return pa.record_batch(
             [pa.array([held[0]["label"]]), pa.array([held[0]["dim"]], pa.int32()), pa.array([number]), pa.array([len(held)]),
              pa.array([np.array([r["rep"] for r in held], np.int64).tobytes()]), pa.array([np.array([r["n"] for r in held], np.int64).tobytes()]), pa.array([x.tobytes()]),
@@ -159,10 +160,12 @@ class _Forest:
         return True
 
 
-def join_blocks(x: np.ndarray, y: np.ndarray | None, zx: np.ndarray, zy: np.ndarray, nx: np.ndarray, ny: np.ndarray, cosine: float, eps: float):
-    """Links between two blocks (y None: within one): weighted counts per row of each, and forest edges (i, j)."""
-    same = y is None
-    y, far = (x, 0) if same else (y, len(x))
+def join_blocks(raw_x: np.ndarray, raw_y: np.ndarray | None, axes: np.ndarray, nx: np.ndarray, ny: np.ndarray, cosine: float, eps: float):
+    """Links between two blocks of vectors (raw_y None: within one): weighted counts per row of each, and forest edges (i, j)."""
+    same = raw_y is None
+    x = _unit(raw_x)
+    raw_y, y, far = (raw_x, x, 0) if same else (raw_y, _unit(raw_y), len(x))
+    zx, zy = x @ axes, y @ axes
     cx, cy = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
     forest, edges = _Forest(len(x) + (0 if same else len(y))), []
     stack = [(0, len(x), 0, len(y))]
@@ -181,7 +184,11 @@ def join_blocks(x: np.ndarray, y: np.ndarray | None, zx: np.ndarray, zy: np.ndar
             else:
                 stack += [(a, b, c, q), (a, b, q, d)]
             continue
-        near = x[a:b] @ y[c:d].T >= cosine
+        value = x[a:b] @ y[c:d].T
+        near = value >= cosine
+        for i, j in zip(*np.nonzero(np.abs(value - cosine) < 1e-12), strict=True):
+            p, q = raw_x[a + i], raw_y[c + j]
+            near[i, j] = (p @ q) / (np.sqrt(p @ p) * np.sqrt(q @ q)) >= cosine
         if same and (a, b) == (c, d):
             np.fill_diagonal(near, False)
             cx[a:b] += near @ nx[a:b]
@@ -229,11 +236,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, leading: int = 6,
                 d = r["dim"]
                 ids, ns, m = np.frombuffer(r["ia"], np.int64), np.frombuffer(r["na"], np.int64), np.frombuffer(r["ma"]).reshape(-1, d)
                 if r["a"] == r["b"]:
-                    other, nb, mb, zb = ids, ns, None, m @ axes[d]
+                    other, nb, mb = ids, ns, None
                 else:
                     other, nb, mb = np.frombuffer(r["ib"], np.int64), np.frombuffer(r["nb"], np.int64), np.frombuffer(r["mb"]).reshape(-1, d)
-                    zb = mb @ axes[d]
-                ca, cb, edges = join_blocks(m, mb, m @ axes[d], zb, ns, nb, cosine, eps)
+                ca, cb, edges = join_blocks(m, mb, axes[d], ns, nb, cosine, eps)
                 u = [ids[i] for i, _ in edges]
                 v = [other[j] for _, j in edges]
                 sa, sb = np.flatnonzero(ca), np.flatnonzero(cb)
