@@ -3,14 +3,16 @@
 Writing: a page's payload is its html in UTF-8. Payloads of at least
 ``min_bytes`` that occur more than once are stored once, as a response under
 the smallest page_id; the other pages become revisit records that refer to it.
-Records are made in batches and written by Spark's text writer, which is given
-a member without its last byte and appends that byte as line separator: a
+Records are made in batches, joined to chunks of about ``chunk_bytes`` and written by Spark's text writer, which is given
+a chunk without its last byte and appends that byte as line separator: a
 member's last byte is the high byte of its 32-bit length, 0 for records below
 16 MiB, and a larger record gets an empty member behind it. So archives go to any
 file system that Spark can write to, and lost tasks are repeated by its commit
-protocol.
+protocol. An archive holds ``per_file`` chunks at most, which bounds its bytes (a larger record is a chunk of its own); the
+files are gzip files under Spark's names.
 
-Reading: archives are read one after another; a member is inflated in steps
+Reading: Spark reads the archives, since only it may reach their store; a task holds one of bounded size and goes through
+its members in order. A member is inflated in steps
 of ``step`` bytes, its header is parsed, the block is framed by Content-Length
 and block and payload digests are checked against the header.
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small
 
 _CRLF = b"\r\n"
 
@@ -46,7 +48,7 @@ def plan_records(pages: DataFrame, min_bytes: int, scratch: Scratch) -> DataFram
         .where("n > 1")
         .select(F.col("digest").alias("_digest"), F.col("first.page_id").alias("_page"))
     )
-    firsts = scratch.store(firsts, "firsts")
+    firsts = small(scratch.store(firsts, "firsts"))
     joined = base.join(firsts, (F.col("digest") == F.col("_digest")) & (F.length("payload") >= min_bytes), "left")
     again = F.col("_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_page"))
     return joined.select(
@@ -89,15 +91,19 @@ def _gzip(data: bytes, level: int) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def write_archives(records: DataFrame, path: str, per_file: int) -> None:
+def write_archives(records: DataFrame, path: str, per_file: int, chunk_bytes: int) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bytearray()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256).to_pylist()
-                out = [
-                    write_record(r["record_type"], r["page_id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"])[:-1] for r in rows
-                ]
-                yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+            for lo in range(0, batch.num_rows, 64):
+                for r in batch.slice(lo, 64).to_pylist():
+                    member = write_record(r["record_type"], r["page_id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"])
+                    if held and len(held) + len(member) > chunk_bytes:
+                        yield pa.record_batch([pa.array([bytes(held[:-1])], pa.binary())], names=["value"])
+                        held.clear()
+                    held += member
+        if held:
+            yield pa.record_batch([pa.array([bytes(held[:-1])], pa.binary())], names=["value"])
 
     made = records.select("record_type", "page_id", "url", "payload", "size", "digest", "refers_to").mapInArrow(run, "value binary")
     (made.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\x00").option("compression", "none")
@@ -171,10 +177,10 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     return files.mapInArrow(run, schema)
 
 
-def archive(pages: DataFrame, min_bytes: int = 100, per_file: int = 5_000, scratch: Scratch | None = None) -> DataFrame:
+def archive(pages: DataFrame, min_bytes: int = 100, per_file: int = 8, chunk_bytes: int = 4 << 20, scratch: Scratch | None = None) -> DataFrame:
     """Writes pages(page_id, url, html) as archives in the shared folder and reads them back, a row per record."""
     spark = pages.sparkSession
     scratch = scratch or Scratch(spark, "warc")
     path = f"{scratch.path}/archives"
-    write_archives(plan_records(pages, min_bytes, scratch), path, per_file)
+    write_archives(plan_records(pages, min_bytes, scratch), path, per_file, chunk_bytes)
     return read_archives(spark, path)
