@@ -150,6 +150,11 @@ def restore_terms(c: Column, terms: Mapping[str, str]) -> Column:
     return c
 
 
+#: Words that no spoken language's entry has, and words of lines that bled in from other sections (fixed values; patterns of whole words).
+TOOL_WORDS = ("git", "aws", "java", "spring", "docker", "jenkins", "tools", "platforms")
+BLEED_WORDS = (r"led\s+[0-9]+", "mentored", "championship", r"table\s+tennis", r"core\s+committee", r"teaching\s+assistant", "conference", "doubles")
+
+
 def split_collapsed(c: Column) -> Column:
     """Spaces where a small letter meets a capital and where letters meet digits; texts under 24 characters stay."""
     out = F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")

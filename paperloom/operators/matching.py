@@ -24,13 +24,43 @@ def entity_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*SUFFIXES)))
 
 
+def entity_key(name: Column) -> Column:
+    """All lower-cased words of a name but company suffixes, joined by spaces."""
+    found = F.split(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), " ")
+    return F.array_join(F.filter(found, lambda w: ~w.isin(*SUFFIXES)), " ")
+
+
+def _spaced(c: str) -> Column:
+    return F.concat(F.lit(" "), F.col(c), F.lit(" "))
+
+
 def entity_pairs(left: DataFrame, right: DataFrame, ratio: float = 0.6) -> DataFrame:
-    """(l, r) of left(l, name) and right(r, name): equal keys, or shared tokens of at least ``ratio`` of the smaller set."""
-    a = left.select("l", entity_tokens(F.col("name")).alias("ta"))
-    b = right.select("r", entity_tokens(F.col("name")).alias("tb"))
-    met = a.withColumn("t", F.explode("ta")).join(b.withColumn("t", F.explode("tb")), "t").groupBy("l", "r").agg(
-        F.count(F.lit(1)).alias("common"), F.first(F.least(F.size("ta"), F.size("tb"))).alias("least"))
-    return met.where(F.col("common") >= ratio * F.col("least")).select("l", "r", (F.col("common") / F.col("least")).alias("share"))
+    """(l, r, share) of the distinct names left(l) and right(r): share is 1 for equal keys or keys of which one contains the other as
+    words; other names match that share at least ``ratio`` of the smaller one's tokens, and share says how much.
+
+    Tokens meet by a prefix filter: the smaller name's rarest tokens, so many that one must be shared. Keys meet by the
+    first word of the one that is contained.
+    """
+    a = left.select("l", entity_tokens(F.col("l")).alias("ta"), entity_key(F.col("l")).alias("ka")).distinct()
+    b = right.select("r", entity_tokens(F.col("r")).alias("tb"), entity_key(F.col("r")).alias("kb")).distinct()
+    both = a.select(F.explode("ta").alias("t")).unionByName(b.select(F.explode("tb").alias("t"))).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefixes(names: DataFrame, name: str, tokens: str) -> DataFrame:
+        ranked = names.select(name, F.explode(tokens).alias("t")).join(both, "t").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("x"))
+        n = F.size("x")
+        return ranked.select(name, F.explode(F.slice(F.col("x.t"), F.lit(1), (n - F.ceil(ratio * n - 1e-9) + 1).cast("int"))).alias("t"))
+
+    every = prefixes(a, "l", "ta").join(b.select("r", F.explode("tb").alias("t")), "t").select("l", "r")
+    every = every.unionByName(a.select("l", F.explode("ta").alias("t")).join(prefixes(b, "r", "tb"), "t").select("l", "r"))
+    first = lambda c: F.split(c, " ")[0].alias("w")
+    words = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("w")
+    named_a, named_b = a.where("ka <> ''"), b.where("kb <> ''")
+    every = every.unionByName(named_a.select("l", first("ka")).join(named_b.select("r", words("kb")), "w").select("l", "r"))
+    every = every.unionByName(named_a.select("l", words("ka")).join(named_b.select("r", first("kb")), "w").select("l", "r"))
+    whole = (F.col("ka") != "") & (F.col("kb") != "") & (_spaced("ka").contains(_spaced("kb")) | _spaced("kb").contains(_spaced("ka")))
+    common = F.size(F.array_intersect("ta", "tb"))
+    share = F.when(whole, 1.0).otherwise(common / F.least(F.size("ta"), F.size("tb")))
+    return every.distinct().join(a, "l").join(b, "r").select("l", "r", share.alias("share"), common.alias("_common")).where((F.col("share") >= ratio) & ((F.col("_common") > 0) | (F.col("share") == 1))).drop("_common")
 
 
 def backfill(found: DataFrame, source: DataFrame, key: str) -> DataFrame:
@@ -88,16 +118,38 @@ def prefix_traced(rows: DataFrame, source: DataFrame, text: str, length: int = 6
     return rows.withColumn("_k", key).join(keys, "_k", "left_semi").drop("_k")
 
 
-def first_contained(rows: DataFrame, names: DataFrame, text: str) -> DataFrame:
-    """Left join on containment: the first name (by rank) of names(rank, name) that the text contains as words.
+def first_contained(rows: DataFrame, names: DataFrame, text: str, key: str) -> DataFrame:
+    """Left join on containment: the first name (by rank) of names(rank, name) that the text contains as words, or that contains
+    the text. Rows are known by their ``key``.
 
-    The name's first word meets the text's words; the whole name is then checked.
+    The first word of the one that is contained meets the other's words; the whole is then checked.
     """
-    keyed = names.withColumn("_w", F.split(F.lower("name"), " ")[0])
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    met = numbered.withColumn("_w", F.explode(F.array_distinct(T.words(F.lower(text))))).join(keyed, "_w").where(F.concat(F.lit(" "), F.lower(text), F.lit(" ")).contains(F.concat(F.lit(" "), F.lower("name"), F.lit(" "))))
-    best = met.groupBy("_row").agg(F.min(F.struct("rank", "name")).alias("b"))
-    return numbered.join(best, "_row", "left").select(*rows.columns, F.col("b.name").alias("matched"))
+    there, here = F.col(text), F.col("name")
+    spaced = lambda c: F.concat(F.lit(" "), F.lower(c), F.lit(" "))
+    each = lambda c: F.explode(F.array_distinct(T.words(F.lower(c))))
+    first = lambda c: F.get(T.words(F.lower(c)), F.lit(0))
+    some = rows.select(key, text)
+    met = some.withColumn("_w", each(there)).join(names.withColumn("_w", first(here)), "_w").where(spaced(there).contains(spaced(here)))
+    back = some.withColumn("_w", first(there)).join(names.withColumn("_w", each(here)), "_w").where(spaced(here).contains(spaced(there)))
+    best = met.select(key, "rank", "name").unionByName(back.select(key, "rank", "name")).groupBy(key).agg(F.min(F.struct("rank", "name")).alias("b"))
+    return rows.join(best, key, "left").select(*rows.columns, F.col("b.name").alias("matched"))
+
+
+def contained_in_source(rows: DataFrame, source: DataFrame, whole: str, part: str, prefix: int = 12, grams: int = 5) -> DataFrame:
+    """Rows that the source grounds, or all of the source if none is: the row's ``whole`` key, or the first ``prefix`` characters of its
+    ``part`` key, stands in a source row's joined keys (or they are equal). Blank keys ground nothing.
+
+    A wanted string meets the keys by its first ``grams`` characters, which a key that contains it has as a gram.
+    """
+    norm = lambda c: T.alnum_key(F.col(c))
+    keys = source.select(F.concat(norm(whole), norm(part)).alias("k")).distinct()
+    gram = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(grams)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("k") - n + 1)), lambda i: F.substring(F.col("k"), i, n))))))
+    wanted = rows.select(whole, part, F.explode(F.array(norm(whole), F.substring(norm(part), 1, prefix))).alias("_s")).where("_s <> ''")
+    hit = wanted.withColumn("_g", F.substring("_s", 1, grams)).join(keys.withColumn("_g", gram), "_g").where(F.col("k").contains(F.col("_s"))).select(whole, part).distinct()
+    kept = rows.join(hit, (rows[whole].eqNullSafe(hit[whole])) & (rows[part].eqNullSafe(hit[part])), "left_semi")
+    none = kept.agg(F.count(F.lit(1)).alias("_n"))
+    return kept.unionByName(source.select(*rows.columns).join(F.broadcast(none), F.col("_n") == 0).drop("_n"))
 
 
 def lost_details(source: DataFrame, output: DataFrame, key: str, least: int = 4, share: float = 0.6, floor: int = 3) -> DataFrame:

@@ -8,19 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Words that raise a line's score (fixed values): verbs of work, common technologies, and words of high signal.
+VERBS = ("led", "architected", "designed", "implemented", "developed", "optimized", "delivered", "built", "engineered")
+TECHNOLOGIES = ("aws", "azure", "kafka", "kubernetes", "spring", "microservices", "react", "angular", "python", "java")
+SIGNALS = (
+    "mulesoft", "camp", "forge", "bedrock", "oauth", "graphql", "terraform", "eks", "fargate", "databricks", "anypoint", "raml", "dataweave", "wcag", "openai", "langgraph",
+    "langchain", "aws", "azure", "kafka", "kubernetes", "spring", "microservices", "react", "angular", "python", "java", "docker", "jenkins", "salesforce", "snowflake",
+    "redshift", "dynamodb", "postgres", "mongodb", "spark", "flink", "airflow", "redis", "elasticsearch", "rabbitmq", "grpc", "webpack", "nextjs",
+)
 
 
+def any_word(words: Sequence[str]) -> str:
+    """Pattern of lower-case text that has one of the words, whole."""
+    return rf"(^|[^\p{{L}}\p{{N}}_])({'|'.join(words)})([^\p{{L}}\p{{N}}_]|$)"
 
-def line_score(line: Column, verbs: Sequence[str] = (), signals: Sequence[str] = ()) -> Column:
-    """3 for a digit, 2 for a leading verb, 2.5 for a signal word, 2 for 80 to 280 characters (0.5 above), -1 for filler."""
-    n = F.length(line)
+
+def line_score(line: Column, verbs: Sequence[str] = VERBS, technologies: Sequence[str] = TECHNOLOGIES, signals: Sequence[str] = SIGNALS) -> Column:
+    """3 for a digit, 2 for a verb, 1 for a technology, 2.5 for a word of high signal, 2 for 80 to 280 characters (0.5 above), -1 for filler."""
+    n, low = F.length(line), F.lower(line)
     score = F.when(line.rlike("[0-9]"), 3.0).otherwise(0.0) + F.when(n.between(80, 280), 2.0).when(n > 280, 0.5).otherwise(0.0)
-    score = score - F.when(F.lower(line).rlike("responsible for|worked on"), 1.0).otherwise(0.0)
-    if verbs:
-        score = score + F.when(F.lower(line).rlike(f"^({'|'.join(verbs)})\\b"), 2.0).otherwise(0.0)
-    if signals:
-        score = score + F.when(F.lower(line).rlike(f"\\b({'|'.join(signals)})\\b"), 2.5).otherwise(0.0)
-    return score
+    for words, points in ((verbs, 2.0), (technologies, 1.0), (signals, 2.5)):
+        if words:
+            score = score + F.when(low.rlike(any_word(words)), points).otherwise(0.0)
+    return score - F.when(low.contains("responsible for") | low.contains("worked on"), 1.0).otherwise(0.0)
 
 
 def top_k(df: DataFrame, group: Sequence[str], k: Column | int, order: Sequence[Column]) -> DataFrame:
@@ -34,14 +44,32 @@ def recency_caps(rank: Column) -> Column:
     return F.when(rank <= 0, 12).when(rank == 1, 11).when(rank <= 3, 10).when(rank <= 5, 8).otherwise(6).cast("long")
 
 
-def recency_quota(df: DataFrame, group: str, order: Sequence[Column], budget: int, least: int = 6, most: int = 24) -> DataFrame:
-    """Adds each row's share of a group's budget, weighed by recency (n for the newest, 1 for the oldest), rounded half to even and clamped."""
+def recency_quota(df: DataFrame, group: str, order: Sequence[Column], available: str, budget: int, least: int = 6, most: int = 24) -> DataFrame:
+    """Adds each row's share of a group's budget, weighed by recency (n for the newest, 1 for the oldest), rounded half to
+    even and clamped, then balanced: what is above the budget is taken back from the oldest rows first, down to ``least``; what is
+    below it, and available, is dealt out one at a time, newest first, up to ``most`` and to what the row has."""
     w = W.partitionBy(group)
+    along = w.orderBy("rank")
     ranked = df.withColumn("rank", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("_n", F.count(F.lit(1)).over(w))
     weight = F.col("_n") - F.col("rank") + 1
     total = F.col("_n") * (F.col("_n") + 1) / 2
-    quota = F.bround(budget * weight / total).cast("long")
-    return ranked.withColumn("quota", F.greatest(F.lit(least).cast("long"), F.least(F.lit(most).cast("long"), quota))).drop("_n")
+    share = F.least(F.lit(most).cast("long"), F.greatest(F.lit(least).cast("long"), F.bround(budget * weight / total).cast("long")))
+    spare = F.col("_q") - least
+    older = F.coalesce(F.sum("_spare").over(along.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
+    cut = (
+        ranked.withColumn("_q", share).withColumn("_spare", spare)
+        .withColumn("_back", F.sum("_q").over(w) - budget - older)
+        .withColumn("_q", F.col("_q") - F.greatest(F.lit(0), F.least(F.col("_back"), F.col("_spare"))))
+        .withColumn("_sum", F.sum("_q").over(w))
+        .withColumn("_goal", F.least(F.lit(budget), F.sum(available).over(w)))
+        .withColumn("_room", F.least(F.lit(most), F.col(available)) - F.col("_q"))
+    )
+    # a seat is the k-th that a row gets; rounds go by k, within a round by rank
+    seats = cut.withColumn("_k", F.explode_outer(F.when(F.col("_room") > 0, F.sequence(F.lit(1).cast("long"), F.col("_room").cast("long")))))
+    so_far = F.count("_k").over(w.orderBy("_k", "rank").rowsBetween(W.unboundedPreceding, 0))
+    rounds = F.count("_k").over(w.orderBy("_k").rangeBetween(W.unboundedPreceding, -1))
+    given = F.col("_k").isNotNull() & (F.col("_sum") + so_far - 1 < budget) & (F.col("_sum") + rounds < F.col("_goal"))
+    return seats.withColumn("_given", given.cast("long")).groupBy(*df.columns, "rank").agg((F.first("_q") + F.sum("_given")).cast("long").alias("quota"))
 
 
 def with_must_keep(lines: DataFrame, quota: int, score: Column, must: Column) -> DataFrame:

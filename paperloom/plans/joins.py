@@ -19,13 +19,19 @@ def _long(c: F.Column) -> F.Column:
     return c.cast("long")
 
 
-@query(f"""WITH a AS (SELECT p_partkey AS l, p_name AS name FROM part WHERE p_partkey < 300), b AS (SELECT DISTINCT p_name || ' inc' AS r FROM part),
-  x AS (SELECT l, unnest({_ENT.format("name")}) AS t, len({_ENT.format("name")}) AS n FROM a), y AS (SELECT r, unnest({_ENT.format("r")}) AS t, len({_ENT.format("r")}) AS n FROM b)
-  SELECT l, r, count(*) / any_value(least(x.n, y.n)) AS share FROM x JOIN y USING (t) GROUP BY l, r HAVING count(*) >= 0.6 * any_value(least(x.n, y.n))""")
+_ENT_KEY = "array_to_string(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('inc','llc','ltd','limited','corp','corporation','co','company','gmbh','pvt','private')), ' ')"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT p_name AS l FROM part), b AS (SELECT DISTINCT p_name || ' ' || p_type || ' inc' AS r FROM part),
+  x AS (SELECT l, {_ENT.format("l")} AS t, {_ENT_KEY.format("l")} AS k FROM a), y AS (SELECT r, {_ENT.format("r")} AS t, {_ENT_KEY.format("r")} AS k FROM b),
+  m AS (SELECT l, r, len(list_intersect(x.t, y.t)) AS common, CASE WHEN x.k <> '' AND y.k <> '' AND (contains(' ' || x.k || ' ', ' ' || y.k || ' ') OR contains(' ' || y.k || ' ', ' ' || x.k || ' ')) THEN 1.0::DOUBLE
+    ELSE len(list_intersect(x.t, y.t)) / least(len(x.t), len(y.t)) END AS share FROM x, y)
+  SELECT p_partkey, r, share FROM m JOIN part ON p_name = l WHERE share >= 0.6 AND (common > 0 OR share = 1)""")
 def entity_match(t: Tables) -> DataFrame:
-    left = t.part.where("p_partkey < 300").select(F.col("p_partkey").alias("l"), F.col("p_name").alias("name"))
-    right = t.part.select(F.concat("p_name", F.lit(" inc")).alias("r")).distinct().withColumn("name", F.col("r"))
-    return M.entity_pairs(left, right)
+    """All parts against all labelled names; distinct names are matched and the parts joined to them."""
+    right = t.part.select(F.concat_ws(" ", "p_name", "p_type", F.lit("inc")).alias("r"))
+    found = M.entity_pairs(t.part.select(F.col("p_name").alias("l")), right)
+    return t.part.select("p_partkey", F.col("p_name").alias("l")).join(found, "l").select("p_partkey", "r", "share")
 
 
 @query(f"""WITH a AS (SELECT s_suppkey AS l, s_name AS name FROM supplier), b AS (SELECT c_custkey AS r, c_name AS name FROM customer),
@@ -77,12 +83,24 @@ def last_wins_lookup(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey").join(M.last_wins(e, "c_custkey", "p").drop("p"), "c_custkey", "left")
 
 
-@query("""WITH n AS (SELECT p_name AS name, min(p_partkey) AS rank FROM part WHERE p_partkey < 40 GROUP BY p_name)
+@query("""WITH n AS (SELECT p_name AS name, min(p_partkey) AS rank FROM part GROUP BY p_name)
   SELECT p.p_partkey, p.p_type || ' ' || p.p_name || ' kit' AS label, (SELECT n.name FROM n WHERE contains(' ' || lower(p.p_type || ' ' || p.p_name || ' kit') || ' ', ' ' || lower(n.name) || ' ') ORDER BY n.rank LIMIT 1) AS matched FROM part p""")
 def first_contained(t: Tables) -> DataFrame:
-    names = t.part.where("p_partkey < 40").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("rank"))
+    names = t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("rank"))
     rows = t.part.select("p_partkey", F.concat_ws(" ", "p_type", "p_name", F.lit("kit")).alias("label"))
-    return M.first_contained(rows, names, "label")
+    return M.first_contained(rows, names, "label", "p_partkey")
+
+
+@query(r"""WITH s AS (SELECT DISTINCT p_name AS whole, p_type AS part, regexp_replace(lower(p_name || p_type), '[^a-z0-9]+', '', 'g') AS k FROM part WHERE p_size > 25),
+  r AS (SELECT DISTINCT p_name || CASE WHEN p_size % 3 = 0 THEN ' plus' ELSE '' END AS whole, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'none of them' END AS part FROM part WHERE p_size <= 25),
+  k AS (SELECT r.* FROM r WHERE EXISTS (SELECT 1 FROM s WHERE contains(s.k, regexp_replace(lower(r.whole), '[^a-z0-9]+', '', 'g')) OR contains(s.k, substring(regexp_replace(lower(r.part), '[^a-z0-9]+', '', 'g'), 1, 12))))
+  SELECT whole, part FROM k UNION ALL SELECT whole, part FROM s WHERE NOT EXISTS (SELECT 1 FROM k)""")
+def contained_rows(t: Tables) -> DataFrame:
+    """Rewritten (name, type) rows that the source rows ground by containment of their keys."""
+    source = t.part.where("p_size > 25").select(F.col("p_name").alias("whole"), F.col("p_type").alias("part")).distinct()
+    plus = F.when(F.col("p_size") % 3 == 0, " plus").otherwise("")
+    rows = t.part.where("p_size <= 25").select(F.concat("p_name", plus).alias("whole"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("none of them").alias("part")).distinct()
+    return M.contained_in_source(rows, source, "whole", "part")
 
 
 @query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
@@ -93,8 +111,10 @@ def benchmark_missing(t: Tables) -> DataFrame:
     glue = lambda a, b: F.concat(a, F.lit(" "), b)
     grams = F.zip_with(F.zip_with(w, F.slice(w, F.lit(2), at_most), glue), F.slice(w, F.lit(3), at_most), glue)
     keyed = t.benchmark.select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", " "), 2, 3), " ").alias("g"))
-    docs = t.documents.where(F.size(w) >= 3).select("text", F.explode(F.array_distinct(F.array_compact(grams))).alias("g"))
-    hit = docs.join(keyed, "g").where(F.contains("text", F.col("item"))).select("item_id").distinct()
+    docs = t.documents.where(F.size(w) >= 3).select("doc_id", F.explode(F.array_distinct(F.array_compact(grams))).alias("g"))
+    # grams meet without the texts, which only what has met is joined to again
+    met = docs.join(keyed, "g").select("doc_id", "item_id", "item").distinct()
+    hit = t.documents.select("doc_id", "text").join(met, "doc_id").where(F.contains("text", F.col("item"))).select("item_id").distinct()
     return t.benchmark.join(hit, "item_id", "left_anti").select("item_id")
 
 
@@ -139,12 +159,13 @@ def section_order_check(t: Tables) -> DataFrame:
     return R.in_expected_order(h, expected, "page_id")
 
 
-@query(f"WITH {LINE}, d AS (SELECT doc_id, string_agg(line, ' ' ORDER BY ln) FILTER (ln <= 3) AS head, string_agg(line, ' ' ORDER BY ln) FILTER (ln <= 6) AS body FROM line GROUP BY doc_id), k AS (SELECT doc_id, head, body, {_CT.format('body')} AS t FROM d) SELECT doc_id, length(head) >= greatest(80, 0.55 * length(body)) AND len(list_intersect(t, {_CT.format('head')})) >= greatest(3, floor(0.45 * len(t))) AS covered FROM k WHERE head IS NOT NULL")
+@query(f"WITH {LINE}, d AS (SELECT doc_id, string_agg(line, ' ' ORDER BY ln) FILTER (ln <= 3) AS head, string_agg(line, ' ' ORDER BY ln) AS body FROM line GROUP BY doc_id), k AS (SELECT doc_id, head, body, {_CT.format('body')} AS t FROM d) SELECT doc_id, length(head) >= greatest(80, 0.55 * length(body)) AND len(list_intersect(t, {_CT.format('head')})) >= greatest(3, floor(0.45 * len(t))) AS covered FROM k WHERE head IS NOT NULL")
 def coverage_ratio(t: Tables) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.when(F.col("ln") <= 6, F.struct("ln", "line"))))
+    """Whether a document's first three lines keep the detail of its whole text."""
+    rows = F.array_sort(F.collect_list(F.struct("ln", "line")))
     d = L.lines(t.documents).groupBy("doc_id").agg(rows.alias("r"))
-    join = lambda n: F.array_join(F.transform(F.filter("r", lambda x: x["ln"] <= n), lambda x: x["line"]), " ")
-    d = d.select("doc_id", join(3).alias("head"), join(6).alias("body")).where("head <> ''")
+    head = F.array_join(F.transform(F.filter("r", lambda x: x["ln"] <= 3), lambda x: x["line"]), " ")
+    d = d.select("doc_id", head.alias("head"), F.array_join("r.line", " ").alias("body")).where("head <> ''")
     return d.select("doc_id", ranking.covered(F.col("body"), F.col("head")).alias("covered"))
 
 
@@ -199,7 +220,7 @@ def document_rules() -> list[R.Rule]:
         R.Rule("short", "body", "critical", "fewer than 50 words", n < 50),
         R.Rule("symbols", "body", "critical", "symbols in over a fifth of the words", marks * 5 > n),
         R.Rule("long_line", "layout", "warn", "a line of 2000 characters or more", F.array_max(F.transform(F.split(c, "\n"), lambda x: F.length(x))) >= 2000),
-        R.Rule("contact", "header", "warn", "an address is in the text", c.rlike(T.EMAIL)),
+        R.Rule("contact", "header", "warn", "an address is in the text", c.contains("@") & c.rlike(T.EMAIL)),
         R.Rule("license", "body", "warn", "a licence line is in the text", F.lower(c).contains("licensed under")),
     ]
 

@@ -216,20 +216,21 @@ def conversation_blob(t: Tables) -> DataFrame:
 _TOK = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+.#-]{2,}'))"
 
 
-@query(f"""WITH s AS (SELECT doc_id, {_TOK} AS tokens FROM documents WHERE n_chars BETWEEN 25 AND 1500), e AS (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS token FROM s),
+@query(f"""WITH s AS (SELECT doc_id, {_TOK} AS tokens FROM documents WHERE length(text) >= 25), e AS (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS token FROM s),
   c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n + b.n) AS both_n FROM e a JOIN e b ON a.token = b.token AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.58 * greatest(a.n, b.n) GROUP BY 1, 2)
   SELECT a, b, common::BIGINT AS common, (both_n - common)::BIGINT AS total FROM c WHERE common >= 0.58 * (both_n - common)""")
 def near_dup_pairs(t: Tables) -> DataFrame:
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9][a-z0-9+.#-]{2,})"), F.lit(1)))
-    short = t.documents.where(F.col("n_chars").between(25, 1500))
-    return dedupe.shared_token_pairs(short.select(F.col("doc_id").alias("id"), tokens.alias("tokens")), 0.58)
+    return dedupe.shared_token_pairs(t.documents.where(F.length("text") >= 25).select(F.col("doc_id").alias("id"), tokens.alias("tokens")), 0.58)
 
 
 @query()
 def near_dup_collapse(t: Tables) -> DataFrame:
-    """Greedy collapse of each document's lines (a fold in line order; tests hold it against a plain loop)."""
+    """Greedy collapse of each document's lines (a fold in line order; tests hold the operator against a plain loop)."""
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9][a-z0-9+.#-]{2,})"), F.lit(1)))
-    items = L.lines(t.documents).where("length(line) >= 25").select("doc_id", F.col("ln").alias("pos"), tokens.alias("tokens"), ranking.line_score(F.col("line")).alias("score"))
+    words = F.split(F.lower("line"), r"[^\p{L}\p{N}_]+")
+    signals = F.array_distinct(F.filter(words, lambda w: w.isin(*ranking.SIGNALS)))
+    items = L.lines(t.documents).where("length(line) >= 25").select("doc_id", F.col("ln").alias("pos"), tokens.alias("tokens"), signals.alias("signals"), _long(F.length("line")).alias("size"), ranking.line_score(F.col("line")).alias("score"))
     return dedupe.collapse_greedy(items, 0.58, "doc_id")
 
 
@@ -254,10 +255,20 @@ def topk_with_quota(t: Tables) -> DataFrame:
     return ranking.with_must_keep(rows, 4, ranking.line_score(F.col("line")), F.col("line").rlike("[0-9]")).select("doc_id", "ln", "score", "must_keep", "rank")
 
 
-@query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER w::BIGINT AS rank, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey))
-  SELECT o_custkey, o_orderkey, rank, greatest(6, least(24, round_even(70 * (n - rank + 1) / (n * (n + 1) / 2), 0)))::BIGINT AS quota, CASE WHEN rank <= 1 THEN 12 WHEN rank = 2 THEN 11 WHEN rank <= 4 THEN 10 WHEN rank <= 6 THEN 8 ELSE 6 END::BIGINT AS cap FROM r""")
+@query("""WITH li AS (SELECT l_orderkey, count(*) * 3 AS available FROM lineitem GROUP BY 1), o AS (SELECT o_custkey, o_orderkey, o_orderdate, coalesce(available, 0) AS available FROM orders LEFT JOIN li ON l_orderkey = o_orderkey),
+  r AS (SELECT *, row_number() OVER w::BIGINT AS rank, count(*) OVER (PARTITION BY o_custkey) AS n FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)),
+  q AS (SELECT *, greatest(6, least(24, round_even(70 * (n - rank + 1) / (n * (n + 1) / 2), 0)))::BIGINT AS q FROM r),
+  b AS (SELECT *, q - greatest(0, least(q - 6, sum(q) OVER (PARTITION BY o_custkey) - 70 - coalesce(sum(q - 6) OVER (PARTITION BY o_custkey ORDER BY rank ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0))) AS kept FROM q),
+  s AS (SELECT *, sum(kept) OVER (PARTITION BY o_custkey) AS total, least(70, sum(available) OVER (PARTITION BY o_custkey)) AS goal, least(24, available) - kept AS room FROM b),
+  e AS (SELECT o_custkey, o_orderkey, rank, total, goal, unnest(range(1, greatest(room, 0)::BIGINT + 1)) AS k FROM s),
+  g AS (SELECT o_orderkey, (total + row_number() OVER (PARTITION BY o_custkey ORDER BY k, rank) - 1 < 70 AND total + (SELECT count(*) FROM e f WHERE f.o_custkey = e.o_custkey AND f.k < e.k) < goal) AS given FROM e),
+  a AS (SELECT o_orderkey, count(*) FILTER (given) AS more FROM g GROUP BY 1)
+  SELECT s.o_custkey, s.o_orderkey, s.rank, (s.kept + coalesce(a.more, 0))::BIGINT AS quota, CASE WHEN rank <= 1 THEN 12 WHEN rank = 2 THEN 11 WHEN rank <= 4 THEN 10 WHEN rank <= 6 THEN 8 ELSE 6 END::BIGINT AS cap FROM s LEFT JOIN a ON a.o_orderkey = s.o_orderkey""")
 def recency_quota(t: Tables) -> DataFrame:
-    got = ranking.recency_quota(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", [F.desc("o_orderdate"), F.col("o_orderkey")], 70)
+    """Quotas of each customer's orders in a budget of 70, newest first; an order can use three a line item."""
+    li = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.count(F.lit(1)) * 3).alias("available"))
+    orders = t.orders.select("o_custkey", "o_orderkey", "o_orderdate").join(li, "o_orderkey", "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    got = ranking.recency_quota(orders, "o_custkey", [F.desc("o_orderdate"), F.col("o_orderkey")], "available", 70)
     return got.select("o_custkey", "o_orderkey", "rank", "quota", ranking.recency_caps(F.col("rank") - 1).alias("cap"))
 
 
@@ -286,11 +297,11 @@ def ordered_assembly(t: Tables) -> DataFrame:
     return ranking.assemble(order, payload, ["NATION_0", "NATION_1", "NATION_2"])
 
 
-@query("SELECT p_partkey, p_type, p_size, CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'PROMO' THEN 1 ELSE 2 END::BIGINT AS level, row_number() OVER (ORDER BY CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'PROMO' THEN 1 ELSE 2 END, p_size DESC, p_partkey)::BIGINT AS place FROM part ORDER BY place LIMIT 100")
+@query("SELECT p_partkey, p_type, p_size, CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'PROMO' THEN 1 ELSE 2 END::BIGINT AS level FROM part ORDER BY level, p_size DESC, p_partkey")
 def level_sort(t: Tables) -> DataFrame:
+    """All rows in order: a range-partitioned sort."""
     level = F.when(F.col("p_type") == "ECONOMY", 0).when(F.col("p_type") == "PROMO", 1).otherwise(2)
-    top = t.part.select("p_partkey", "p_type", "p_size", _long(level).alias("level")).orderBy("level", F.desc("p_size"), "p_partkey").limit(100)
-    return top.withColumn("place", _long(F.row_number().over(W.orderBy("level", F.desc("p_size"), "p_partkey"))))
+    return t.part.select("p_partkey", "p_type", "p_size", _long(level).alias("level")).orderBy("level", F.desc("p_size"), "p_partkey")
 
 
 @query("""SELECT o_custkey, o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) <= CASE o_orderpriority WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 1 ELSE 1000000 END""")

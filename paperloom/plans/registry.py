@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.ranking import SIGNALS, TECHNOLOGIES, VERBS, any_word
 from ..sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,7 +56,8 @@ def heading(c: str) -> str:
 
 
 def score(c: str) -> str:
+    words = " + ".join(f"CASE WHEN regexp_matches(lower({c}), '{any_word(w)}') THEN {p} ELSE 0.0 END" for w, p in ((VERBS, "2.0"), (TECHNOLOGIES, "1.0"), (SIGNALS, "2.5")))
     return (
-        f"(CASE WHEN regexp_matches({c}, '[0-9]') THEN 3.0 ELSE 0.0 END + CASE WHEN length({c}) BETWEEN 80 AND 280 THEN 2.0 WHEN length({c}) > 280 THEN 0.5 ELSE 0.0 END"
+        f"({words} + CASE WHEN regexp_matches({c}, '[0-9]') THEN 3.0 ELSE 0.0 END + CASE WHEN length({c}) BETWEEN 80 AND 280 THEN 2.0 WHEN length({c}) > 280 THEN 0.5 ELSE 0.0 END"
         f" - CASE WHEN regexp_matches(lower({c}), 'responsible for|worked on') THEN 1.0 ELSE 0.0 END)::DOUBLE"
     )

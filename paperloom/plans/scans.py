@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from ..operators.lines import lines
+from ..operators.ranking import any_word
 from ..sources import profiles
 from ..sources.tables import Tables
 from .registry import LINE, key, query, squash, words
@@ -48,10 +49,10 @@ def object_keys(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.object_key(F.col("url")).alias("object_key"), T.file_name(F.col("url")).alias("file_name"))
 
 
-@query("SELECT page_id, substring(html, 1, 240) AS preview, row_number() OVER (ORDER BY length(html) DESC, page_id)::BIGINT AS place FROM pages ORDER BY place LIMIT 50")
+@query("SELECT page_id, substring(html, 1, 240) AS preview, length(html)::BIGINT AS n FROM pages ORDER BY n DESC, page_id")
 def profile_listing(t: Tables) -> DataFrame:
-    top = t.pages.select("page_id", F.substring("html", 1, 240).alias("preview"), F.length("html").alias("n")).orderBy(F.desc("n"), "page_id").limit(50)
-    return top.select("page_id", "preview", _long(F.row_number().over(W.orderBy(F.desc("n"), "page_id"))).alias("place"))
+    """All pages with a preview, the longest first."""
+    return t.pages.select("page_id", F.substring("html", 1, 240).alias("preview"), _long(F.length("html")).alias("n")).orderBy(F.desc("n"), "page_id")
 
 
 @query("""SELECT section, rank::BIGINT AS rank, label FROM (VALUES ('summary',1,'Summary'),('skills',2,'Skill Set Overview'),('education',3,'Education'),
@@ -163,10 +164,26 @@ def title_audit(t: Tables) -> DataFrame:
     return h.withColumn("valid", (F.length(c) <= 55) & ~c.contains("@") & ~c.rlike("[0-9]{7,}") & ~F.lower(c).rlike(r"\b(inc|llc|ltd)\b"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_slice(list_filter({words('text')}, lambda w: length(w) <= 40 AND regexp_matches(w, '^[A-Z][a-z]+$')), 1, 8), ',') AS names FROM documents")
+_TOOLS = any_word(T.TOOL_WORDS)
+
+
+@query(rf"""SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(string_split(regexp_replace(text, '\s+', ' ', 'g'), ','), lambda x: trim(x)),
+  lambda x: x <> '' AND length(x) <= 40 AND len(string_split(x, ' ')) <= 5 AND NOT regexp_matches(lower(x), '{_TOOLS}')), 1, 8), ',') AS names FROM documents""")
 def first_eight_names(t: Tables) -> DataFrame:
-    found = F.filter(T.words(F.col("text")), lambda w: (F.length(w) <= 40) & w.rlike("^[A-Z][a-z]+$"))
-    return t.documents.select("doc_id", F.array_join(F.slice(found, 1, 8), ",").alias("names"))
+    """The first eight entries of a comma-separated list that are short (40 characters, five words) and name no tool."""
+    items = F.transform(F.split(F.regexp_replace("text", r"\s+", " "), ","), lambda x: F.trim(x))
+    short = F.filter(items, lambda x: (x != "") & (F.length(x) <= 40) & (F.size(F.split(x, " ")) <= 5) & ~F.lower(x).rlike(_TOOLS))
+    return t.documents.select("doc_id", F.array_join(F.slice(short, 1, 8), ",").alias("names"))
+
+
+_BLED = any_word(T.BLEED_WORDS)
+
+
+@query(rf"WITH {LINE} SELECT doc_id, ln, line FROM line WHERE NOT regexp_matches(lower(line), '{_BLED}') AND NOT regexp_full_match(lower(trim(line)), 'specialization(\s*\([^)]*\))?')")
+def bleed_filter(t: Tables) -> DataFrame:
+    """Lines that have not bled in from another section, and are no bare fragments."""
+    line = F.col("line")
+    return lines(t.documents).where(~F.lower(line).rlike(_BLED) & ~F.lower(F.trim(line)).rlike(r"^specialization(\s*\([^)]*\))?$")).select("doc_id", "ln", "line")
 
 
 @query("""SELECT n.n_nationkey, n.n_name, coalesce(s.n, 0)::BIGINT AS n_suppliers, s.n IS NULL AS backfilled FROM nation n LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1) s ON s.s_nationkey = n.n_nationkey""")
@@ -246,7 +263,8 @@ def location_first(t: Tables) -> DataFrame:
     return lines(t.documents).where(F.col("line").rlike(p)).groupBy("doc_id").agg(F.min_by(F.regexp_extract("line", p, 1), "ln").alias("place"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT p_partkey, list_filter(list_transform(regexp_extract_all(p_name || ' (a, b), ' || p_type || '; ' || p_brand, '(?:\([^)]*\)|[^(),;|•*])+'), lambda x: trim(x)), lambda x: x <> '') AS x FROM part)
+  SELECT p_partkey, unnest(range(0, len(x)))::INTEGER AS pos, unnest(x) AS item FROM p""")
 def paren_split(t: Tables) -> DataFrame:
     """Part names with a parenthesized group, split outside it (a fold: order-dependent)."""
     made = F.concat("p_name", F.lit(" (a, b), "), "p_type", F.lit("; "), "p_brand")
@@ -262,10 +280,10 @@ def lookup_normalize(t: Tables) -> DataFrame:
     return w.withColumn("canonical", T.lookup(F.col("word"), _SYN))
 
 
-@query(r"""WITH c AS (SELECT doc_id, regexp_replace(substring(text, 1, 300), ' ', '', 'g') AS c FROM documents)
+@query(r"""WITH c AS (SELECT doc_id, regexp_replace(text, ' ', '', 'g') AS c FROM documents)
   SELECT doc_id, CASE WHEN length(c) < 24 THEN c ELSE regexp_replace(regexp_replace(regexp_replace(c, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g') END AS text FROM c""")
 def space_repair(t: Tables) -> DataFrame:
-    c = t.documents.select("doc_id", F.regexp_replace(F.substring("text", 1, 300), " ", "").alias("c"))
+    c = t.documents.select("doc_id", F.regexp_replace("text", " ", "").alias("c"))
     return c.select("doc_id", T.split_collapsed(F.col("c")).alias("text"))
 
 

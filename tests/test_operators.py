@@ -1,6 +1,7 @@
 """Operators on small hand-written tables: tie-breaks, order, edge rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,23 +71,86 @@ def test_union_priority(spark):
 
 
 def test_collapse_greedy_equals_a_loop(spark):
-    items = [(1, 0, ["a", "b", "c"], 1.0), (1, 1, ["a", "b", "c", "d"], 2.0), (1, 2, ["x", "y"], 1.0), (1, 3, ["a", "b"], 0.5), (2, 0, ["q"], 1.0)]
+    rng = random.Random(3)
+    words = [f"t{i}" for i in range(14)]
+    items = [(g, p, sorted(rng.sample(words, rng.randint(0, 9))), sorted(rng.sample(["java", "spark", "redis"], rng.randint(0, 3))), rng.randint(25, 80), float(rng.randint(0, 4))) for g in (1, 2, 3) for p in range(25)]
 
-    def loop(rows, t):
+    def near(a, b):
+        common, share = len(set(a[1]) & set(b[1])), len(set(a[1]) & set(b[1])) / max(1, len(set(a[1]) | set(b[1])))
+        both = len(set(a[2]) & set(b[2]))
+        return bool(a[1] and b[1]) and (share >= 0.58 or (common >= 5 and share >= 0.42) or (both >= 2 and share >= 0.28) or (a[2] == b[2] and both >= 2 and share >= 0.18))
+
+    def loop(rows):
         kept = []
-        for pos, tok, score in rows:
-            near = next((i for i, k in enumerate(kept) if len(set(k[1]) & set(tok)) >= t * max(1, len(set(k[1]) | set(tok)))), None)
-            if near is None:
-                kept.append((pos, tok, score))
-            elif score > kept[near][2]:
-                kept[near] = (pos, tok, score)
-        return [k[0] for k in kept]
-
-    df = spark.createDataFrame(items, "g long, pos long, tokens array<string>, score double")
+        for r in rows:
+            at = next((i for i, k in enumerate(kept) if near(k, r)), None)
+            if at is None:
+                kept.append(r)
+            elif r[4] > kept[at][4] or (r[3] > kept[at][3] + 20 and r[4] >= kept[at][4] - 0.5):
+                kept[at] = r
+        return sorted(k[0] for k in kept)
+
+    df = spark.createDataFrame(items, "g long, pos long, tokens array<string>, signals array<string>, size long, score double")
     got = {}
     for r in dedupe.collapse_greedy(df, 0.58, "g").collect():
         got.setdefault(r.g, []).append(r.pos)
-    assert got == {g: loop([i[1:] for i in items if i[0] == g], 0.58) for g in (1, 2)}
+    assert {g: sorted(v) for g, v in got.items()} == {g: loop([i[1:] for i in items if i[0] == g]) for g in (1, 2, 3)}
+
+
+def test_recency_quota_equals_the_rounds(spark):
+    rng = random.Random(4)
+    rows = [(g, i, rng.choice([0, 3, 9, 30])) for g in range(12) for i in range(rng.randint(1, 14))]
+
+    def rounds(available, budget, least=6, most=24):
+        n = len(available)
+        q = [min(most, max(least, round(budget * (n - i) / (n * (n + 1) / 2)))) for i in range(n)]
+        while sum(q) > budget and any(x > least for x in q):
+            q[max(i for i in range(n) if q[i] > least)] -= 1
+        while sum(q) < min(budget, sum(available)):
+            before = list(q)
+            for i in range(n):
+                if q[i] < min(most, available[i]):
+                    q[i] += 1
+                    if sum(q) >= budget:
+                        break
+            if q == before:
+                break
+        return q
+
+    df = spark.createDataFrame(rows, "g long, i long, a long")
+    for budget in (30, 70, 160):
+        got = {(r.g, r.i): r.quota for r in ranking.recency_quota(df, "g", [F.col("i")], "a", budget).collect()}
+        for g in range(12):
+            mine = [a for k, _, a in rows if k == g]
+            assert [got[g, i] for i in range(len(mine))] == rounds(mine, budget)
+
+
+def test_line_score_counts_whole_words(spark):
+    score = lambda t: one(spark, ranking.line_score(F.lit(t)))
+    assert score("Built 3 services with Kafka") == 3 + 2 + 1 + 2.5
+    assert score("responsible for rebuilt javascript") == -1
+    assert score("Docker") == 2.5
+
+
+def test_entities_match_by_key_containment_or_tokens(spark):
+    left = spark.createDataFrame([("3M",), ("Acme Data Labs",), ("Red Blue",), ("Inc",)], "l string")
+    right = spark.createDataFrame([("3m Inc",), ("data labs",), ("blue green white",), ("Acme Labs Works",), ("",)], "r string")
+    got = {(r.l, r.r, round(r.share, 3)) for r in M.entity_pairs(left, right).collect()}
+    assert got == {("3M", "3m Inc", 1.0), ("Acme Data Labs", "data labs", 1.0), ("Acme Data Labs", "Acme Labs Works", 0.667)}
+
+
+def test_first_contained_either_way(spark):
+    names = spark.createDataFrame([(2, "big ring"), (1, "ring"), (3, "small blue ring set")], "rank long, name string")
+    rows = spark.createDataFrame([(1, "a big ring kit"), (2, "blue ring"), (3, "rings"), (4, "")], "k long, t string")
+    got = {r.k: r.matched for r in M.first_contained(rows, names, "t", "k").collect()}
+    assert got == {1: "ring", 2: "ring", 3: None, 4: None}
+
+
+def test_contained_rows_or_the_source(spark):
+    source = spark.createDataFrame([("State University", "Bachelor of Science"), ("City College", "Master")], "whole string, part string")
+    rows = spark.createDataFrame([("state univ.", "x"), ("Elsewhere", "bachelor of science (hons)"), ("Nowhere", "PhD"), ("", "")], "whole string, part string")
+    assert {r.whole for r in M.contained_in_source(rows, source, "whole", "part").collect()} == {"state univ.", "Elsewhere"}
+    assert {r.whole for r in M.contained_in_source(rows.where("part = 'PhD'"), source, "whole", "part").collect()} == {"State University", "City College"}
 
 
 def test_sections_and_first_block(spark):
