@@ -19,8 +19,8 @@ passages that very many otherwise different documents share out of the join.
 Documents with equal sets are tied first and one of them stands for all. Inside a key's group the first document is a
 hub; hub pairs that pass the size and bit-parity tests are verified on the texts,
 one pair of each document first and then those that are still in two components.
-Keys whose documents are then still in several components are joined in full across
-components, in blocks, with the size and parity bounds as
+Documents of keys whose documents are then still in several components meet a few drawn ones of their key, of which the nearest
+is verified; keys that this leaves in several components are joined in full across components, in blocks, with the size and parity bounds as
 join conditions, and verified too: no link between components is missed.
 Documents of one batch with a common key meet their hub before the shuffle, so
 a group of copies costs a shuffled row per batch, not per copy.
@@ -57,6 +57,8 @@ HOT_HEADS = 8
 WHOLE = 2
 #: Members of a hub that are verified in one group, and of an open key that are joined in one block.
 BLOCK = 256
+#: Rounds in which the documents of open keys meet further hubs, and hubs drawn from each key in a round.
+ROUNDS, DRAWS = 2, 4
 
 
 class Bands:
@@ -383,6 +385,15 @@ def _near(bands: Bands, a: str, b: str) -> F.Column:
     return (100 * F.least(na, nb) >= p * F.greatest(na, nb)) & (na > 0) & ((100 + p) * _differ(a, b) <= (100 - p) * (na + nb))
 
 
+def _drawn_hubs(member: DataFrame, seed: int) -> DataFrame:
+    """Distinct pairs (u, v) of the keys' documents with DRAWS drawn ones of their key, across components. Draws go by a hash of the
+    document, so that keys with much the same documents draw the same."""
+    draw = [F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(DRAWS * seed + j))) for j in range(DRAWS)]
+    hubs = member.groupBy("key").agg(F.array_distinct(F.array(*draw)).alias("drawn"))
+    pairs = member.join(hubs, "key").withColumn("h", F.explode("drawn")).where("component <> h.component")
+    return pairs.select(F.greatest("doc_id", "h.doc_id").alias("u"), F.least("doc_id", "h.doc_id").alias("v")).distinct()
+
+
 def _wide_near(pairs: DataFrame, sigs: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (u, v, ...) that pass the bit-parity bound of their wide sketches, where both have one. Linked sets differ little in
     size, so their sketches are equally long or one has twice the other's length."""
@@ -441,7 +452,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
         found = scratch.store(components(functools.reduce(DataFrame.unionByName, links), scratch), "components")
 
     # A key's rows tie all its documents to each other through hubs, so its documents are in one component
-    # unless a row's ends are in two. The documents of those keys are joined across components.
+    # unless a row's ends are in two. The documents of those keys meet further hubs of theirs, then each other, across components.
     split = small(scratch.store(_apart(hubs, found), "split"))
     scratch.drop(hubs)
     tie = (F.greatest("doc_id", "hub") == F.col("u")) & (F.least("doc_id", "hub") == F.col("v"))
@@ -450,16 +461,27 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
     member = ties.select("key", F.explode(F.array("doc_id", "hub")).alias("doc_id")).distinct()
     member = scratch.store(_component(member, found, "doc_id", "component"), "members")
     scratch.drop(shared)
+    tested = [tried.select("u", "v")]
+    for seed in range(ROUNDS):
+        drawn = scratch.store(_drawn_hubs(member, seed).join(functools.reduce(DataFrame.unionByName, tested), ["u", "v"], "left_anti"), "drawn")
+        near = drawn.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).where(_near(bands, "a", "b")).select("u", "v", _differ("a", "b").alias("differ"))
+        near = _wide_near(near, sigs, bands).groupBy("u").agg(F.min_by("v", F.struct("differ", "v")).alias("v"))
+        tested.append(scratch.store(near.select("u", "v"), "nearest"))
+        scratch.drop(drawn)
+        links.append(verify(tested[-1], docs, k, percent, scratch))
+        found = scratch.store(components(functools.reduce(DataFrame.unionByName, links), scratch), "components")
+        before, member = member, scratch.store(_component(member.select("key", "doc_id"), found, "doc_id", "component"), "members")
+        scratch.drop(before)
     # two documents of a key are a hub and its member, which have been tried
-    blocks = member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    blocks = small(scratch.store(blocks, "blocks"))
+    blocks = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low < high")
+    blocks = small(scratch.store(blocks.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "blocks"))
     # the sketch goes with each row of a key, so that the join itself refuses most pairs
     rest = member.join(blocks, "key").join(sigs.select("doc_id", "n", *[f"s{j}" for j in range(SKETCH)]), "doc_id")
     left = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).alias("a")
     right = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
     across = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.doc_id") > F.col("b.doc_id"))
     pairs = left.join(right, across & _near(bands, "a", "b")).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
-    pairs = scratch.store(pairs.join(tried.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
+    pairs = scratch.store(pairs.join(functools.reduce(DataFrame.unionByName, tested), ["u", "v"], "left_anti"), "pairs")
     scratch.drop(tried, member)
     pairs = scratch.store(_wide_near(pairs, sigs, bands), "near")
     late = verify(pairs, docs, k, percent, scratch)
