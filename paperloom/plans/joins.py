@@ -250,7 +250,21 @@ def quality_score(t: Tables) -> DataFrame:
     return got.join(t.labels.select("doc_id", _long(F.col("quality")).alias("quality")), "doc_id", "left")
 
 
-@query()
+def _judged(source: str, k: int) -> str:
+    n = r"len(list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda w: w <> ''))"
+    yes = lambda c: f"coalesce(({c})::INT, 0)"
+    critical = f"{yes(f'{n} < 50')} + " + yes(f"(length(text) - length(regexp_replace(text, '[#$%&*<>|]', '', 'g'))) * 5 > {n}")
+    warn = " + ".join(yes(c) for c in ("list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) >= 2000", f"regexp_matches(text, '{T.EMAIL}')", "contains(lower(text), 'licensed under')"))
+    return f"j{k} AS (SELECT doc_id, text, critical, greatest(0, 100 - 12 * critical - 2 * warn)::BIGINT AS score, {k}::BIGINT AS round FROM (SELECT doc_id, text, {critical} AS critical, {warn} AS warn FROM {source}))"
+
+
+def _fixed(k: int) -> str:
+    c = r"regexp_replace(text, '(?i)(^|\n)[^\n]*licensed under[^\n]*', '', 'g')"
+    return f"f{k} AS (SELECT doc_id, regexp_replace(regexp_replace({c}, '{T.EMAIL}', '[EMAIL]', 'g'), '[#$%&*<>|]+', '', 'g') AS text FROM j{k - 1} WHERE score < 85 OR critical > 0)"
+
+
+@query(f"""WITH {_judged('documents', 0)}, {_fixed(1)}, {_judged('f1', 1)}, {_fixed(2)}, {_judged('f2', 2)}, a AS (SELECT * FROM j0 UNION ALL SELECT * FROM j1 UNION ALL SELECT * FROM j2)
+  SELECT doc_id, score, round FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, round) = 1""")
 def repair_rounds(t: Tables) -> DataFrame:
     """Two rounds: licence lines and symbol-laden words go, addresses are masked; the best draft of each document stays."""
     def fix(df: DataFrame) -> DataFrame:

@@ -58,8 +58,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; only where none is named (tests), a local one is set."""
+    """A reliable checkpoint in the session's shared folder; where a local session names none (tests), one is made; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-checkpoint-"))
     return df.checkpoint()
