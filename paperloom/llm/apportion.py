@@ -10,8 +10,9 @@
    not one per block. A source's seats are dealt to its shards the same way, by
    shard size; shards hold about ``shard_docs`` documents each, so a source with
    a third of all rows is many shards.
-3. Inside a shard, documents stand in a seeded order; the quota takes blocks
-   along that order, in whole passes first and then a part of one.
+3. Inside a shard, documents stand in a seeded order, end to end; the quota takes the first blocks
+   along that order, in whole passes first and then a part of one. So the seed selects the blocks, and a document's
+   blocks stay together.
 
 Edge cases: null or blank texts have size 0 and take 0; a null source is a
 source of its own (last); repeated rows each count; null doc_ids are kept; an

@@ -119,6 +119,26 @@ def test_mix(docs):
     assert rows(got, *got.columns) == rows(again, *again.columns)
 
 
+def test_targets_equal_plain_resharing(spark):
+    """Targets against the contract's words: weighted shares, stopped at twice the source's size, the excess reshared by weight."""
+    rng = np.random.default_rng(13)
+    for n in (1, 2, 5, 11):
+        size = {f"s{i:02d}": int(x) for i, x in enumerate(rng.lognormal(5, 2, n))}
+        names = sorted(size)
+        weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+        left, target, free = 1.5 * sum(size.values()), {}, set(names)
+        while free:
+            share = {s: left * weight[s] / sum(weight[t] for t in free) for s in free}
+            over = {s for s in free if share[s] > 2 * size[s]}
+            for s in over or free:
+                target[s] = 2 * size[s] if over else share[s]
+            left -= sum(target[s] for s in over)
+            free -= over or free
+        df = spark.createDataFrame(list(size.items()), "source string, source_size long")
+        got = {r.source: r.target for r in apportion.targets(df, (5, 2, 1), 1.5, 2).collect()}
+        assert got.keys() == target.keys() and all(abs(got[s] - target[s]) < 1e-6 * max(1, target[s]) for s in got)
+
+
 def test_seats_equal_highest_quotients(spark):
     votes = [("a", 53.0), ("b", 24.0), ("c", 23.0), ("d", 0.0), ("e", 1.5)]
     for total in (0, 1, 7, 101):
