@@ -71,26 +71,32 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, code: int, run: str) -> int:
-        parts = []
-        for piece in self.pieces(run):
-            got = self.of_piece.get(piece)
-            if got is None:
-                if len(self.of_piece) >= _REMEMBER:
-                    self.of_piece.clear()
-                tokens = self.tokenizer.model.tokenize(piece.translate(self.symbol))
-                got = self.of_piece[piece] = np.array([t.id for t in tokens], np.uint32).tobytes()
-            parts.append(got)
-        ids = np.frombuffer(b"".join(parts), np.uint32)
-        at = self.known[code] = len(self.known)
-        if at >= len(self.lo):
-            self.lo, self.n = np.resize(self.lo, 2 * at), np.resize(self.n, 2 * at)
-        while self.used + len(ids) > len(self.flat):
+    def _piece(self, piece: str) -> list[int]:
+        if len(self.of_piece) >= _REMEMBER:
+            self.of_piece.clear()
+        got = self.of_piece[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.symbol))]
+        return got
+
+    def _learn(self, codes: list[int], runs: list[str]) -> np.ndarray:
+        """Slots of runs not met before."""
+        ids: list[int] = []
+        ends: list[int] = []
+        known, pieces = self.of_piece.get, self.pieces
+        for run in runs:
+            for piece in pieces(run):
+                ids += known(piece) or self._piece(piece)
+            ends.append(len(ids))
+        first, n, end = len(self.known), len(runs), self.used + len(ids)
+        self.known.update(zip(codes, range(first, first + n), strict=True))
+        while first + n > len(self.lo):
+            self.lo, self.n = np.resize(self.lo, 2 * len(self.lo)), np.resize(self.n, 2 * len(self.n))
+        while end > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.lo[at], self.n[at] = self.used, len(ids)
-        self.used += len(ids)
-        return at
+        self.flat[self.used : end] = ids
+        cuts = np.array([0, *ends])
+        self.lo[first : first + n], self.n[first : first + n] = self.used + cuts[:-1], np.diff(cuts)
+        self.used = end
+        return np.arange(first, first + n)
 
     def many(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a string column."""
@@ -110,9 +116,11 @@ class Encoder:
         codes, at, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
         known = self.known
         slot = np.array([known.get(c, -1) for c in codes.tolist()], np.int64)
-        for i in np.flatnonzero(slot < 0).tolist():
-            j = at[i]
-            slot[i] = self._learn(int(codes[i]), raw[starts[j] : ends[j]].tobytes().decode())
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            data = raw.tobytes()
+            runs = [data[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+            slot[new] = self._learn(codes[new].tolist(), runs)
         slot = slot[inverse]
         n = self.n[slot]
         total = np.concatenate(([0], np.cumsum(n)))
