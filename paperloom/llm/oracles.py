@@ -55,3 +55,25 @@ OP9 = f"""WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(tex
 OP10 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
   SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN strlen(h) >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN strlen(h) >= 100 AND first <> page_id THEN first END AS refers_to FROM f"""
+
+
+def _assign(k: int) -> str:
+    """Entry and distance of each part against the codebook b<k>."""
+    return f"""a{k} AS MATERIALIZED (SELECT vec_id, p, min(far)::BIGINT AS far, arg_min(e, (far, e)) AS e FROM (SELECT x.vec_id, x.p, b.e, list_sum(list_transform(list_zip(x.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far
+    FROM parts x JOIN b{k} b ON b.p = x.p) GROUP BY vec_id, p)"""
+
+
+def _move(k: int) -> str:
+    """Codebook b<k + 1> from b<k>: floors of the means, unused entries as they were."""
+    floor = "((s - ((s % n) + n) % n) // n)"
+    return f"""b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (SELECT p, e, list({floor}::BIGINT ORDER BY j) AS x FROM
+    (SELECT a.p, a.e, j, sum(x.x[j])::BIGINT AS s, count(*)::BIGINT AS n FROM a{k} a JOIN parts x ON x.vec_id = a.vec_id AND x.p = a.p, (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS j) GROUP BY 1, 2, 3) GROUP BY p, e) m ON m.p = b.p AND m.e = b.e)"""
+
+
+OP12 = f"""WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+  parts AS MATERIALIZED (SELECT vec_id, p, x[p * len(x) // 16 + 1 : (p + 1) * len(x) // 16] AS x FROM v, (SELECT unnest(range(0, 16)) AS p)),
+  b0 AS MATERIALIZED (SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, x FROM parts WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+  {_assign(0)}, {_move(0)}, {_assign(1)}, {_move(1)}, {_assign(2)},
+  coded AS (SELECT vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM a2 GROUP BY vec_id),
+  book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM b2)
+  SELECT c.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY v.label))::BIGINT AS label_error, book.h AS codebooks_sha256 FROM coded c JOIN v USING (vec_id), book"""

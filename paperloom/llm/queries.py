@@ -15,9 +15,11 @@ from .langid import identify, learn
 from .linecrf import line_rules
 from .pack import pack
 from .parity import jaccard_components
+from .partcodes import compress
 from .phrases import remove_repeats
 from .piicrf import detect
 from .warc import archive
+from .whiten import whiten
 
 
 def tokenizer_path() -> str:
@@ -68,6 +70,14 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_skip_chain_pii,
         op9_phrase_automata,
         op10_warc_round_trip,
+        op12_part_codes,
+        op13_lobpcg_whitening,
     )
 }
 
@@ -90,4 +102,5 @@ ORACLES: dict[str, str] = {
     "op4_parity_jaccard": oracles.OP4,
     "op9_phrase_automata": oracles.OP9,
     "op10_warc_round_trip": oracles.OP10,
+    "op12_part_codes": oracles.OP12,
 }

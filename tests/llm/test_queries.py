@@ -15,6 +15,9 @@ COLUMNS = {
     8: ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     9: ["doc_id", "n_words", "n_removed", "kept_sha256"],
     10: ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    11: ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    12: ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    13: ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
 }
 
 
