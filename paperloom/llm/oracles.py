@@ -56,6 +56,16 @@ OP10 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (
   SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN strlen(h) >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN strlen(h) >= 100 AND first <> page_id THEN first END AS refers_to FROM f"""
 
+#: Bytes are pairs of hexadecimal digits; removed runs are joined, and what lies between them is kept.
+OP11 = """WITH d AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  g AS (SELECT doc_id, p, md5(substring(h, 2 * p + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d)),
+  r AS (SELECT doc_id, p FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1),
+  i AS (SELECT doc_id, p, p > coalesce(max(p) OVER o, -1000) + 100 AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  s AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM i) GROUP BY doc_id, k),
+  t AS (SELECT s.doc_id, a, b, coalesce(lag(b) OVER o, 0) AS z, d.n, h, lead(a) OVER o IS NULL AS last FROM s JOIN d USING (doc_id) WINDOW o AS (PARTITION BY s.doc_id ORDER BY a)),
+  k AS (SELECT doc_id, sum(b - a)::BIGINT AS gone, count(*) AS spans, string_agg(substring(h, 2 * z + 1, 2 * (a - z)) || CASE WHEN last THEN substring(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS h FROM t GROUP BY doc_id)
+  SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(k.gone, 0)::BIGINT AS n_removed, coalesce(k.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
 
 def _assign(k: int) -> str:
     """Entry and distance of each part against the codebook b<k>."""

@@ -18,6 +18,7 @@ from .parity import jaccard_components
 from .partcodes import compress
 from .phrases import remove_repeats
 from .piicrf import detect
+from .runindex import remove_substrings
 from .warc import archive
 from .whiten import whiten
 
@@ -70,6 +71,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_substrings(table(spark, sf_dir, "documents"))
+
+
 def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_skip_chain_pii,
         op9_phrase_automata,
         op10_warc_round_trip,
+        op11_run_length_index,
         op12_part_codes,
         op13_lobpcg_whitening,
     )
@@ -102,5 +108,6 @@ ORACLES: dict[str, str] = {
     "op4_parity_jaccard": oracles.OP4,
     "op9_phrase_automata": oracles.OP9,
     "op10_warc_round_trip": oracles.OP10,
+    "op11_run_length_index": oracles.OP11,
     "op12_part_codes": oracles.OP12,
 }
