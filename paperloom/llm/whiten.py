@@ -49,7 +49,7 @@ def _span(basis: list[np.ndarray], new: np.ndarray, floor: float) -> np.ndarray:
     return np.linalg.qr(u)[0] if u.shape[1] else u
 
 
-def lobpcg(product: Callable[[np.ndarray], np.ndarray], dim: int, wanted: int, guard: int = 4, passes: int = 600) -> tuple[np.ndarray, np.ndarray, float]:
+def lobpcg(product: Callable[[np.ndarray], np.ndarray], dim: int, wanted: int, guard: int = 8, passes: int = 600) -> tuple[np.ndarray, np.ndarray, float]:
     """(eigenvalues falling, unit eigenvectors as columns, largest certified residual relative to the largest eigenvalue)
     of the symmetric operator behind product, which multiplies a (dim, block) array in one pass.
 
@@ -78,10 +78,13 @@ def lobpcg(product: Callable[[np.ndarray], np.ndarray], dim: int, wanted: int, g
         if left <= TOLERANCE or e[0] <= 0:
             break
         p = ap = np.zeros((dim, 0))
+        least, idle = left, 0
         while spent < passes:
             r = ax - x * e
             near = np.linalg.norm(r, axis=0)[:wanted].max() / scale
-            if near <= TOLERANCE / 2:
+            # what rounding has put into the recurrence stops it: start again from new products
+            least, idle = min(near, least), 0 if near < 0.7 * least else idle + 1
+            if near <= TOLERANCE / 2 or idle > (3 if near < 1e-11 else 60):
                 break
             w = _span([x, p], r / scale, 1e-15)
             if not w.shape[1]:
