@@ -86,4 +86,4 @@ def tree_sum(stored: DataFrame, part: Callable[[int, np.ndarray], object]) -> di
             a[d] = tuple(p + q for p, q in zip(a[d], sums, strict=True)) if d in a else sums
         return a
 
-    return stored.select("dim", "size", "data").rdd.treeAggregate({}, add, merge, depth=3)
+    return stored.select("dim", "size", "data").rdd.treeAggregate({}, add, merge)

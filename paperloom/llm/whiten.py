@@ -190,7 +190,9 @@ def whiten(vectors: DataFrame, components: int = 4, scratch: Scratch | None = No
     scratch = scratch or Scratch(vectors.sparkSession, "whiten")
     rows = vectors.where(whole("embedding")).select("vec_id", scaled("embedding").alias("x"))
     # equal vectors meet as one row a task, so a vector that very many rows hold does not gather
-    fits = fit(blocks(rows.select("x").distinct(), "x", scratch), components)
+    # written before it is cut into blocks, so that many small parts become few files for the passes to read
+    distinct = scratch.store(rows.select("x").distinct(), "distinct")
+    fits = fit(blocks(distinct, "x", scratch), components)
     names = ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error", "residual"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
