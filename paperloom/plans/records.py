@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from ..operators import dedupe, lines as L, ranking
+from ..operators import dedupe, greedy, lines as L, ranking
 from ..sources.tables import Tables
 from .registry import LINE, heading, key, query, score, squash, words
 
@@ -224,14 +224,80 @@ def near_dup_pairs(t: Tables) -> DataFrame:
     return dedupe.shared_token_pairs(t.documents.where(F.length("text") >= 25).select(F.col("doc_id").alias("id"), tokens.alias("tokens")), 0.58)
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, list_sort({_TOK}) AS tokens FROM documents WHERE length(text) >= 25), g AS MATERIALIZED (SELECT tokens, min(doc_id) AS id, count(*) AS n FROM s WHERE len(tokens) > 0 GROUP BY tokens),
+  x AS (SELECT id, len(tokens) AS n, unnest(tokens) AS token FROM g),
+  c AS (SELECT a.id AS a, b.id AS b, count(*) AS common, any_value(a.n + b.n) AS both_n FROM x a JOIN x b ON a.token = b.token AND a.id <> b.id AND least(a.n, b.n) >= 0.58 * greatest(a.n, b.n) GROUP BY 1, 2),
+  e AS MATERIALIZED (SELECT a, b FROM c WHERE common >= 0.58 * (both_n - common)), reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+  low AS (SELECT a, min(b) AS m FROM reach GROUP BY a), k AS (SELECT e.a, sum(g.n) AS n FROM e JOIN g ON g.id = e.b GROUP BY e.a)
+  SELECT s.doc_id, least(coalesce(low.m, g.id), coalesce(g.id, s.doc_id)) AS class_id, (coalesce(g.n, 1) - 1 + coalesce(k.n, 0))::BIGINT AS n_links FROM s LEFT JOIN g ON g.tokens = s.tokens LEFT JOIN low ON low.a = g.id LEFT JOIN k ON k.a = g.id""")
+def near_dup_classes(t: Tables) -> DataFrame:
+    """Near-duplicate classes of documents with link counts: what near_dup_pairs says, without a row a pair."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9][a-z0-9+.#-]{2,})"), F.lit(1)))
+    got = dedupe.near_classes(t.documents.where(F.length("text") >= 25).select(F.col("doc_id").alias("id"), tokens.alias("tokens")), 0.58)
+    return got.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+def _in(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _features(text: str) -> str:
+    """SQL of tokens, signals, themes, size and score of a text."""
+    tokens = rf"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(lower({text}), '[a-z0-9][a-z0-9+.#-]{{2,}}'), lambda x: string_split(trim(x, '.-+'), '.')[1]), lambda x: length(x) >= 3 AND x NOT IN ({_in(greedy.STOP)}))))"
+    signals = rf"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}_]+'), lambda w: w IN ({_in(ranking.SIGNALS)}))))"
+    return f"{tokens} AS tokens, {signals} AS signals, length({text})::BIGINT AS size, {score(text)} AS score"
+
+
+_HAS = "list_has_any({0}, [{1}])"
+_THEMES = (
+    f"CASE WHEN {_HAS.format('tokens', _in(greedy.ACCESS))} THEN list_transform(list_filter(tokens, lambda x: x IN ({_in(greedy.STACKS)})), lambda x: 'access:' || x) ELSE [] END || "
+    f"CASE WHEN NOT {_HAS.format('tokens', _in(greedy.INTEGRATION))} THEN [] " + " ".join(f"WHEN {_HAS.format('tokens', _in(w))} THEN ['integration:{n}']" for n, w in greedy.SUBTHEMES.items()) + " ELSE [] END AS themes")
+
+
+def _near(a: str, b: str) -> str:
+    common, both = f"len(list_intersect({a}.tokens, {b}.tokens))", f"len(list_intersect({a}.signals, {b}.signals))"
+    share = f"({common} / (len({a}.tokens) + len({b}.tokens) - {common}))"
+    return (
+        f"(len({a}.tokens) > 0 AND len({b}.tokens) > 0 AND ({share} >= 0.58 OR ({common} >= 5 AND {share} >= 0.42) OR ({both} >= 2 AND {share} >= 0.28)"
+        f" OR ({both} >= 2 AND {a}.signals = {b}.signals AND {share} >= 0.18) OR list_has_any({a}.themes, {b}.themes)))")
+
+
+def _better(new: str, old: str) -> str:
+    return f"({new}.score > {old}.score OR ({new}.size > {old}.size + 20 AND {new}.score >= {old}.score - 0.5))"
+
+
+@query(f"""WITH RECURSIVE {LINE}, f AS (SELECT doc_id, ln, {_features('line')} FROM line WHERE length(line) >= 25), t AS (SELECT *, {_THEMES} FROM f),
+  l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS k FROM t),
+  e AS MATERIALIZED (SELECT b.doc_id, b.k, list(a.k) AS met, list(a.k) FILTER ({_better('b', 'a')}) AS won FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.k < b.k AND {_near('a', 'b')} GROUP BY b.doc_id, b.k),
+  i AS MATERIALIZED (SELECT l.doc_id, l.k, coalesce(met, []) AS met, coalesce(won, []) AS won FROM l LEFT JOIN e ON e.doc_id = l.doc_id AND e.k = l.k),
+  z AS (SELECT doc_id, k, [k] AS kept FROM i WHERE k = 1 UNION ALL
+    SELECT i.doc_id, i.k, CASE WHEN len(hit) = 0 THEN z.kept || [i.k] WHEN list_contains(i.won, hit[1]) THEN list_transform(z.kept, lambda h: CASE WHEN h = hit[1] THEN i.k ELSE h END) ELSE z.kept END
+    FROM z JOIN i ON i.doc_id = z.doc_id AND i.k = z.k + 1, LATERAL (SELECT list_filter(z.kept, lambda h: list_contains(i.met, h)) AS hit)),
+  r AS (SELECT doc_id, unnest(arg_max(kept, k)) AS k FROM z GROUP BY doc_id)
+  SELECT l.doc_id, l.ln AS pos, l.score FROM r JOIN l ON l.doc_id = r.doc_id AND l.k = r.k""")
 def near_dup_collapse(t: Tables) -> DataFrame:
-    """Greedy collapse of each document's lines (a fold in line order; tests hold the operator against a plain loop)."""
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit("([a-z0-9][a-z0-9+.#-]{2,})"), F.lit(1)))
-    words = F.split(F.lower("line"), r"[^\p{L}\p{N}_]+")
-    signals = F.array_distinct(F.filter(words, lambda w: w.isin(*ranking.SIGNALS)))
-    items = L.lines(t.documents).where("length(line) >= 25").select("doc_id", F.col("ln").alias("pos"), tokens.alias("tokens"), signals.alias("signals"), _long(F.length("line")).alias("size"), ranking.line_score(F.col("line")).alias("score"))
-    return dedupe.collapse_greedy(items, 0.58, "doc_id")
+    """Greedy collapse of each document's lines, in line order, with signals and themes."""
+    items = greedy.featured(L.lines(t.documents), F.col("line"), ranking.line_score(F.col("line")), "doc_id", F.col("ln").alias("pos"))
+    return greedy.collapse_groups(items, "doc_id")
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT doc_id, {_features('text')} FROM documents WHERE length(text) >= 25), d AS MATERIALIZED (SELECT *, {_THEMES} FROM f),
+  o AS MATERIALIZED (SELECT *, min(doc_id) OVER (PARTITION BY tokens, signals, score, size, CASE WHEN len(tokens) = 0 THEN doc_id END) AS first FROM d),
+  l AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS k FROM o WHERE first = doc_id),
+  x AS (SELECT k, len(tokens) AS n, unnest(tokens) AS token FROM l), y AS (SELECT k, unnest(themes) AS theme FROM l),
+  p AS (SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.token = b.token AND a.k < b.k GROUP BY 1, 2 HAVING count(*) >= 0.17 * (any_value(a.n + b.n) - count(*)) UNION SELECT a.k, b.k FROM y a JOIN y b ON a.theme = b.theme AND a.k < b.k),
+  e AS MATERIALIZED (SELECT b.k, list(a.k) AS met, list(a.k) FILTER ({_better('b', 'a')}) AS won FROM p JOIN l a ON a.k = p.a JOIN l b ON b.k = p.b WHERE {_near('a', 'b')} GROUP BY b.k),
+  i AS MATERIALIZED (SELECT l.k, coalesce(met, []) AS met, coalesce(won, []) AS won FROM l LEFT JOIN e ON e.k = l.k),
+  z AS (SELECT k, [{{'s': k, 'h': k}}] AS kept, k AS slot FROM i WHERE k = 1 UNION ALL
+    SELECT i.k, CASE WHEN len(hit) = 0 THEN z.kept || [{{'s': i.k, 'h': i.k}}] WHEN list_contains(i.won, hit[1].h) THEN list_transform(z.kept, lambda q: CASE WHEN q.s = hit[1].s THEN {{'s': q.s, 'h': i.k}} ELSE q END) ELSE z.kept END,
+      CASE WHEN len(hit) = 0 THEN i.k ELSE hit[1].s END
+    FROM z JOIN i ON i.k = z.k + 1, LATERAL (SELECT list_filter(z.kept, lambda q: list_contains(i.met, q.h)) AS hit)),
+  r AS (SELECT unnest(arg_max(kept, k)).h AS k FROM z)
+  SELECT o.doc_id, s.doc_id AS slot, o.doc_id = o.first AND r.k IS NOT NULL AS kept FROM o JOIN l ON l.doc_id = o.first JOIN z ON z.k = l.k JOIN l s ON s.k = z.slot LEFT JOIN r ON r.k = l.k""")
+def near_dup_greedy(t: Tables) -> DataFrame:
+    """Greedy keep-better choice among all documents, by rounds."""
+    items = greedy.featured(t.documents, F.col("text"), ranking.line_score(F.col("text")), F.col("doc_id").alias("id"))
+    return greedy.choose(items).select(F.col("id").alias("doc_id"), "slot", "kept")
 
 
 # ---------------------------------------------------------------- ranking

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -58,10 +59,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; where a local session names none (tests), one is made; on a cluster that is an error."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+    """df as a table in the session's shared folder, which cuts its lineage; where a local session names no folder (tests), one is made; on
+    a cluster that is an error. A table rather than checkpoint(): a checkpoint carries its plan's constraints along, and over the rounds
+    of a loop they grow with every expression. The tables go when the JVM ends."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-checkpoint-"))
-    return df.checkpoint()
+        root = f"file://{tempfile.mkdtemp(prefix='paperloom-checkpoint-')}"
+    path = f"{root.rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)

@@ -70,33 +70,6 @@ def test_union_priority(spark):
     assert got == [("x", 0, 1), ("y", 1, 5)]
 
 
-def test_collapse_greedy_equals_a_loop(spark):
-    rng = random.Random(3)
-    words = [f"t{i}" for i in range(14)]
-    items = [(g, p, sorted(rng.sample(words, rng.randint(0, 9))), sorted(rng.sample(["java", "spark", "redis"], rng.randint(0, 3))), rng.randint(25, 80), float(rng.randint(0, 4))) for g in (1, 2, 3) for p in range(25)]
-
-    def near(a, b):
-        common, share = len(set(a[1]) & set(b[1])), len(set(a[1]) & set(b[1])) / max(1, len(set(a[1]) | set(b[1])))
-        both = len(set(a[2]) & set(b[2]))
-        return bool(a[1] and b[1]) and (share >= 0.58 or (common >= 5 and share >= 0.42) or (both >= 2 and share >= 0.28) or (a[2] == b[2] and both >= 2 and share >= 0.18))
-
-    def loop(rows):
-        kept = []
-        for r in rows:
-            at = next((i for i, k in enumerate(kept) if near(k, r)), None)
-            if at is None:
-                kept.append(r)
-            elif r[4] > kept[at][4] or (r[3] > kept[at][3] + 20 and r[4] >= kept[at][4] - 0.5):
-                kept[at] = r
-        return sorted(k[0] for k in kept)
-
-    df = spark.createDataFrame(items, "g long, pos long, tokens array<string>, signals array<string>, size long, score double")
-    got = {}
-    for r in dedupe.collapse_greedy(df, 0.58, "g").collect():
-        got.setdefault(r.g, []).append(r.pos)
-    assert {g: sorted(v) for g, v in got.items()} == {g: loop([i[1:] for i in items if i[0] == g]) for g in (1, 2, 3)}
-
-
 def test_recency_quota_equals_the_rounds(spark):
     rng = random.Random(4)
     rows = [(g, i, rng.choice([0, 3, 9, 30])) for g in range(12) for i in range(rng.randint(1, 14))]
