@@ -142,27 +142,11 @@ def lookup(c: Column, names: Mapping[str, str]) -> Column:
     return F.coalesce(F.element_at(table, F.lower(c)), c)
 
 
-def restore_terms(c: Column, terms: Mapping[str, str]) -> Column:
-    """Ordered case-insensitive replacements of whole terms, the longest first."""
-    for old in sorted(terms, key=lambda t: (-len(t), t)):
-        pattern = "(?i)\\b" + "".join(f"\\{ch}" if not ch.isalnum() and ch != " " else ch for ch in old) + "\\b"
-        c = F.regexp_replace(c, pattern, terms[old])
-    return c
-
-
 #: Words that no spoken language's entry has, and words of lines that bled in from other sections (fixed values; patterns of whole words).
 TOOL_WORDS = ("git", "aws", "java", "spring", "docker", "jenkins", "tools", "platforms")
 BLEED_WORDS = (r"led\s+[0-9]+", "mentored", "championship", r"table\s+tennis", r"core\s+committee", r"teaching\s+assistant", "conference", "doubles")
 
 
-def split_collapsed(c: Column) -> Column:
-    """Spaces where a small letter meets a capital and where letters meet digits; texts under 24 characters stay."""
-    out = F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")
-    out = F.regexp_replace(out, "([A-Za-z])([0-9])", "$1 $2")
-    out = F.regexp_replace(out, "([0-9])([A-Za-z])", "$1 $2")
-    return F.when(F.length(c) < 24, c).otherwise(out)
-
-
 def sentences(c: Column) -> Column:
     """Sentences with their end marks; blank ones go."""
     found = F.regexp_extract_all(F.regexp_replace(c, r"\s+", " "), F.lit(r"([^.!?]+[.!?]*)"), F.lit(1))
