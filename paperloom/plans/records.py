@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from ..operators import dedupe, greedy, lines as L, ranking
+from ..operators import dedupe, greedy, lines as L, ranking, roles
 from ..sources.tables import Tables
 from .registry import LINE, heading, key, query, score, squash, words
 
@@ -50,6 +50,37 @@ def dated_records(t: Tables) -> DataFrame:
     return L.dated_records(L.lines(t.documents), "[0-9]{4}")
 
 
+@query("""WITH i AS (SELECT l_orderkey, string_agg('Shipped part ' || l_partkey || ' from shelf ' || l_linenumber || '.', ' / ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS items FROM lineitem GROUP BY l_orderkey)
+  SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rec, 'Lead ' || o_orderkey || CASE WHEN o_orderkey % 4 = 0 THEN ' | Desk ' || substring(o_orderpriority, 1, 1) ELSE '' END AS title,
+    'Firm ' || o_orderkey AS company, CASE o_orderkey % 4 WHEN 0 THEN 'Irving, TX' WHEN 2 THEN 'Pune' ELSE '' END AS location, strftime(o_orderdate, '%b %Y') || ' - ' || strftime(o_orderdate + INTERVAL 5 MONTH, '%b %Y') AS duration,
+    'Java, Tool ' || o_orderkey % 7 AS technologies, i.items FROM orders JOIN i ON l_orderkey = o_orderkey""")
+def role_records(t: Tables) -> DataFrame:
+    """Customers' orders written as dated roles in four layouts, with places and titles on lines of their own, wrapped items and other
+    sections, and read back by the record builder."""
+    k = F.col("o_orderkey").cast("string")
+    month = lambda d: F.date_format(d, "MMM yyyy")
+    dates = F.concat(month(F.col("o_orderdate")), F.lit(" - "), month(F.add_months("o_orderdate", 5)))
+    lead, firm, say = F.concat(F.lit("Lead "), k), F.concat(F.lit("Firm "), k), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    head = (
+        F.when(F.col("o_orderkey") % 4 == 0, F.array(say(firm, " ", dates), F.lit("Irving, TX"), say(lead, " | Desk ", F.substring("o_orderpriority", 1, 1))))
+        .when(F.col("o_orderkey") % 4 == 1, F.array(say(lead, " | ", firm, " ", dates)))
+        .when(F.col("o_orderkey") % 4 == 2, F.array(lead, say(firm, ", Pune ", dates)))
+        .otherwise(F.array(say(lead, " at ", firm, " ", dates)))
+    )
+    tools = F.array(say("Environment: Java, Tool ", (F.col("o_orderkey") % 7).cast("string")))
+    shelf = lambda x: say("from shelf ", x["l_linenumber"].cast("string"), ".")
+    part = lambda x: say("\u2022 Shipped part ", x["l_partkey"].cast("string"))
+    item = lambda x: F.when(x["l_linenumber"] % 2 == 0, F.array(part(x), shelf(x))).otherwise(F.array(say(part(x), " ", shelf(x))))
+    shipped = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("r"))
+    written = t.orders.join(shipped, "o_orderkey").select("o_custkey", "o_orderdate", "o_orderkey", F.concat(head, tools, F.flatten(F.transform("r", item))).alias("block"))
+    blocks = written.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "block"))).alias("r"))
+    around = lambda *x: F.array(*[F.lit(v) for v in x])
+    text = F.concat(around("A Customer", "PROFESSIONAL EXPERIENCE", ""), F.flatten("r.block"), around("", "EDUCATION", "Diploma 2001 - 2003", "School of Trade"))
+    rows = blocks.select("doc_id", F.posexplode(text).alias("ln", "line"))
+    got = roles.roles(roles.section_of(rows, "experience"))
+    return got.select("doc_id", "rec", "title", "company", "location", "duration", F.array_join("technologies", ", ").alias("technologies"), F.array_join("items", " / ").alias("items"))
+
+
 @query(rf"""WITH {LINE}, n AS (SELECT *, sum(contains(line, '|')::INT) OVER (PARTITION BY doc_id ORDER BY ln ROWS UNBOUNDED PRECEDING)::BIGINT AS rec FROM line)
   SELECT doc_id, rec, min(ln)::BIGINT AS ln, count(*)::BIGINT AS n_lines, string_agg(line, ' ' ORDER BY ln) AS text FROM n WHERE rec > 0 GROUP BY doc_id, rec""")
 def keyword_islands(t: Tables) -> DataFrame:
