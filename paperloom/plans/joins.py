@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedupe, lines as L, matching as M, ranking, rules as R
+from ..operators import assign, dedupe, lines as L, matching as M, ranking, rules as R
 from ..session import written
 from ..sources.tables import Tables
 from ..streaming.events import sessionize, windowed
-from .registry import LINE, query, score, squash
+from .registry import LINE, key, query, score, squash
 
 _ENT = "list_distinct(list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND w NOT IN ('inc','llc','ltd','limited','corp','corporation','co','company','gmbh','pvt','private')))"
 
@@ -77,6 +77,24 @@ def greedy_pairing(t: Tables) -> DataFrame:
     return M.pair_in_order(left, right, "k", ["o_orderdate", "o_orderkey"], ["ts", "event_id"]).select("k", "nth", "o_orderkey", "event_id")
 
 
+@query(f"""WITH RECURSIVE o AS (SELECT *, {key('o_orderpriority')} AS company, {key('o_orderstatus')} AS title FROM orders),
+  s AS MATERIALIZED (SELECT o_custkey AS g, o_orderkey AS pos, title, company, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM o),
+  c AS MATERIALIZED (SELECT o_custkey AS g, 1000000000 - o_orderkey AS pos, title || CASE WHEN o_orderkey % 2 = 0 THEN 'lead' ELSE '' END AS title, company || CASE WHEN o_orderkey % 3 = 0 THEN 'group' ELSE '' END AS company FROM o WHERE o_orderkey % 5 <> 0),
+  l AS MATERIALIZED (SELECT g, list({{'pos': pos, 'title': title, 'company': company}} ORDER BY pos) AS cs FROM c GROUP BY g),
+  z AS (SELECT g, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS s, NULL::BIGINT AS c FROM (SELECT DISTINCT g FROM s) UNION ALL
+    SELECT z.g, s.k, CASE WHEN len(hit) > 0 THEN z.used || [hit[1].pos] ELSE z.used END, s.pos, hit[1].pos FROM z JOIN s ON s.g = z.g AND s.k = z.k + 1 LEFT JOIN l ON l.g = z.g,
+    LATERAL (SELECT CASE WHEN len(l.cs) >= greatest(1, floor(0.75 * s.n)) THEN list_filter(l.cs, lambda x: NOT list_contains(z.used, x.pos) AND (x.company = s.company OR (contains(x.title, s.title) AND contains(x.company, s.company)))) ELSE [] END AS hit))
+  SELECT g AS k, s AS o_orderkey, 1000000000 - c AS rewritten FROM z WHERE k > 0""")
+def merged_records(t: Tables) -> DataFrame:
+    """Each customer's orders matched one to one with rewritten ones (a fifth is missing, companies and titles grow, the order is reversed)."""
+    title, company = T.alnum_key(F.col("o_orderstatus")), T.alnum_key(F.col("o_orderpriority"))
+    source = t.orders.select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("pos"), title.alias("title"), company.alias("company"))
+    longer = lambda c, k, word: F.concat(c, F.when(F.col("o_orderkey") % k == 0, F.lit(word)).otherwise(""))
+    rewritten = t.orders.where("o_orderkey % 5 <> 0").select(F.col("o_custkey").alias("g"), (1_000_000_000 - F.col("o_orderkey")).alias("pos"), longer(title, 2, "lead").alias("title"), longer(company, 3, "group").alias("company"))
+    got = assign.assign_first_free(source, rewritten)
+    return got.select(F.col("g").alias("k"), F.col("s").alias("o_orderkey"), (1_000_000_000 - F.col("c")).alias("rewritten"))
+
+
 @query("""WITH d AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id) SELECT c.c_custkey, d.last_type FROM customer c LEFT JOIN d ON d.user_id = c.c_custkey""")
 def last_wins_lookup(t: Tables) -> DataFrame:
     e = t.events.select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("last_type"), F.struct("ts", "event_id").alias("p"))
