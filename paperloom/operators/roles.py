@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
 #: Section headings, by section (fixed values).
@@ -193,11 +195,12 @@ class Builder:
         if len(self.wait) > AHEAD:
             self._step()
 
-    def close(self) -> list[Role]:
+    def close(self) -> list[tuple]:
         while self.wait:
             self._step()
         self._save()
-        return [_promoted(r) for r in _richest(self.roles)]
+        found = map(_promoted, _richest(self.roles))
+        return [(r.title, r.company, r.location, r.duration, r.technologies, r.items) for r in found]
 
     def _save(self) -> None:
         role, self.role = self.role, None
@@ -341,39 +344,50 @@ def heading_of(line: Column, section: str | None = None) -> Column:
     return (k != "") & (k.isin(*names) | longer)
 
 
-def section_of(rows: DataFrame, section: str) -> DataFrame:
-    """Lines (doc_id, ln, line) between the section's first heading and the next other heading, and all lines of documents where those hold no dates."""
+def section_of(rows: DataFrame, section: str, dated: bool = True) -> DataFrame:
+    """Lines (doc_id, ln, line) between the section's first heading and the next other heading; dated: and all lines of documents where those hold no dates."""
     doc = W.partitionBy("doc_id")
     marked = rows.withColumn("_t", heading_of(F.col("line"), section)).withColumn("_k", heading_of(F.col("line")))
     marked = marked.withColumn("_from", F.min(F.when(F.col("_t"), F.col("ln"))).over(doc))
     marked = marked.withColumn("_to", F.min(F.when(F.col("_k") & ~F.col("_t") & (F.col("ln") > F.col("_from")), F.col("ln"))).over(doc))
     inside = F.coalesce((F.col("ln") > F.col("_from")) & (F.col("_to").isNull() | (F.col("ln") < F.col("_to"))) & ~F.col("_t"), F.lit(False))
+    if not dated:
+        return marked.where(inside).select("doc_id", "ln", "line")
     marked = marked.withColumn("_in", inside).withColumn("_dated", F.max(F.col("_in") & F.col("line").rlike(DATES)).over(doc))
     return marked.where("_in or not _dated").select("doc_id", "ln", "line")
 
 
-def roles(rows: DataFrame) -> DataFrame:
-    """doc_id, rec, title, company, location, duration, technologies, items of the roles in lines(doc_id, ln, line), blank lines included."""
-    names = ["title", "company", "location", "duration", "technologies", "items"]
-    kinds = [pa.string()] * 4 + [pa.list_(pa.string())] * 2
+def transduce(rows: DataFrame, machine: Callable[[], object], columns: str) -> DataFrame:
+    """doc_id, rec (from 1) and the columns of the records that a machine finds in each document of lines(doc_id, ln, line).
+
+    One shuffle by document and a sort; then lines stream through, blank ones included, and the machine of the document at hand is all that is held.
+    A machine has ``feed(line)`` and ``close()``, which gives its records' columns.
+    """
+    schema = f"doc_id long, rec long, {columns}"
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found, strict=True), kinds, strict=True)], names=kinds.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, machine, done = None, None, []
+        at, now = None, None
+        closed = lambda: [(at, i, *r) for i, r in enumerate(now.close(), 1)] if now else []
         for batch in batches:
+            done: list[tuple] = []
             for doc, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if machine is None or doc != at:
-                    done += [(at, i, r) for i, r in enumerate(machine.close(), 1)] if machine else []
-                    at, machine = doc, Builder()
-                machine.feed(line or "")
+                if now is None or doc != at:
+                    done += closed()
+                    at, now = doc, machine()
+                now.feed(line or "")
             if done:
                 yield out(done)
-                done = []
-        if machine and (done := [(at, i, r) for i, r in enumerate(machine.close(), 1)]):
+        if done := closed():
             yield out(done)
 
-    def out(found: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array([getattr(r, n) for _, _, r in found], k) for n, k in zip(names, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in found], pa.int64()), pa.array([i for _, i, _ in found], pa.int64()), *columns], names=["doc_id", "rec", *names])
-
     ordered = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ln", "line").repartition("doc_id").sortWithinPartitions("doc_id", "ln").select("doc_id", "line")
-    return ordered.mapInArrow(run, "doc_id long, rec long, title string, company string, location string, duration string, technologies array<string>, items array<string>")
+    return ordered.mapInArrow(run, schema)
+
+
+def roles(rows: DataFrame) -> DataFrame:
+    """doc_id, rec, title, company, location, duration, technologies, items of the roles in lines(doc_id, ln, line), blank lines included."""
+    return transduce(rows, Builder, "title string, company string, location string, duration string, technologies array<string>, items array<string>")

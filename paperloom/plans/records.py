@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from ..operators import dedupe, greedy, lines as L, ranking, roles
+from ..operators import dedupe, degrees, greedy, lines as L, ranking, roles
 from ..sources.tables import Tables
 from .registry import LINE, heading, key, query, score, squash, words
 
@@ -81,6 +81,40 @@ def role_records(t: Tables) -> DataFrame:
     return got.select("doc_id", "rec", "title", "company", "location", "duration", F.array_join("technologies", ", ").alias("technologies"), F.array_join("items", " / ").alias("items"))
 
 
+@query("""WITH k AS (SELECT p_brand, p_partkey, p_type, p_size, floor(p_retailprice)::BIGINT AS price FROM part)
+  SELECT replace(p_brand, 'Brand#', '')::BIGINT AS doc_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rec, 'Part' || p_partkey || ' – ' || p_type AS name, 'Java, Size ' || p_size AS technologies,
+  'Costs ' || price || ' in all and no more.' || CASE WHEN p_partkey % 2 = 0 THEN ' / Weighs nothing.' ELSE '' END AS items FROM k""")
+def project_records(t: Tables) -> DataFrame:
+    """Brands' parts written as projects, closed by blank lines or by the next title, and read back by the record builder."""
+    say = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    even = F.col("p_partkey") % 2 == 0
+    lines = F.concat(
+        F.array(say("Part", F.col("p_partkey"), " – ", F.col("p_type"), " (Java, Size ", F.col("p_size"), ")"), say("- Costs ", F.floor("p_retailprice"), " in all"), F.lit("and no more.")),
+        F.when(even, F.array(F.lit("* Weighs nothing."), F.lit(""))).otherwise(F.array().cast("array<string>")))
+    brand = _long(F.regexp_replace("p_brand", "Brand#", ""))
+    docs = t.part.groupBy(brand.alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", lines.alias("lines")))).alias("r"))
+    text = F.concat(F.array(F.lit("A Brand"), F.lit("KEY PROJECTS")), F.flatten("r.lines"), F.array(F.lit("LANGUAGES"), F.lit("Latin – Old")))
+    got = degrees.projects(docs.select("doc_id", F.posexplode(text).alias("ln", "line")))
+    return got.select("doc_id", "rec", "name", F.array_join("technologies", ", ").alias("technologies"), F.array_join("items", " / ").alias("items"))
+
+
+@query("""SELECT s_nationkey::BIGINT AS doc_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rec, 'Diploma No ' || s_suppkey AS degree, 'College of Trade ' || s_suppkey AS institution,
+  CASE s_suppkey % 2 WHEN 0 THEN '20' || lpad((s_suppkey % 20)::VARCHAR, 2, '0') || ' - 20' || lpad((s_suppkey % 20 + 3)::VARCHAR, 2, '0') ELSE '19' || lpad((s_suppkey % 90)::VARCHAR, 2, '0') END AS year,
+  CASE s_suppkey % 2 WHEN 0 THEN (s_suppkey % 10) || '.5/10' ELSE '' END AS grade, 'Sold ' || s_name AS details FROM supplier""")
+def education_records(t: Tables) -> DataFrame:
+    """Nations' suppliers written as degrees in two layouts and read back by the record builder."""
+    say = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    k = F.col("s_suppkey")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    school, sold = say("Collegeof Trade ", k), say("• Sold ", F.col("s_name"))
+    lines = F.when(k % 2 == 0, F.array(say("Diploma No ", k, "|CGPA:", k % 10, ".5/10 20", two(k % 20), " - 20", two(k % 20 + 3)), school, sold)).otherwise(
+        F.array(say("Diploma No ", k), school, say("in 19", two(k % 90)), sold))
+    docs = t.supplier.groupBy(_long(F.col("s_nationkey")).alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", lines.alias("lines")))).alias("r"))
+    text = F.concat(F.array(F.lit("A Nation"), F.lit("EDUCATION")), F.flatten("r.lines"), F.array(F.lit("AWARDS"), F.lit("Best of 2001")))
+    got = degrees.education(docs.select("doc_id", F.posexplode(text).alias("ln", "line")))
+    return got.select("doc_id", "rec", "degree", "institution", "year", "grade", F.array_join("details", " / ").alias("details"))
+
+
 @query(rf"""WITH {LINE}, n AS (SELECT *, sum(contains(line, '|')::INT) OVER (PARTITION BY doc_id ORDER BY ln ROWS UNBOUNDED PRECEDING)::BIGINT AS rec FROM line)
   SELECT doc_id, rec, min(ln)::BIGINT AS ln, count(*)::BIGINT AS n_lines, string_agg(line, ' ' ORDER BY ln) AS text FROM n WHERE rec > 0 GROUP BY doc_id, rec""")
 def keyword_islands(t: Tables) -> DataFrame:

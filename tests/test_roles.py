@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import roles
+from paperloom.operators import degrees, roles
 
 
 def read(spark, *texts):
@@ -117,3 +117,70 @@ def test_headings(spark):
     lines = ["EXPERIENCE", "Work Experience:", "Experience in software firms", "Experience of ten long years in software", "Skills, tools", "", "Languages & Frameworks: Java, Go, Rust, C"]
     df = spark.createDataFrame([(x,) for x in lines], "line string")
     assert [r.k for r in df.select(roles.heading_of(F.col("line")).alias("k")).collect()] == [roles._known(roles.heading_key(x)) for x in lines]
+
+
+def lines_of(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+
+
+CLEAN = """EDUCATION
+Master of Technology(M.Tech) in Infrastructure Design Management|CGPA:9.09/10 Aug 2022—May 2024
+Indian Institute of Technology(IIT) Kharagpur
+Bachelor of Technology(B.Tech) in Civil Engineering|CGPA:8.16/10 Aug 2017—May 2021
+Government College of Engineering Amravati
+"""
+MASHED = """EDUCATION
+Bachelorof Technology(B.Tech) in Civil Engineering|CGPA:8.16/10 Aug 2017—May 2021
+Government Collegeof Engineering Amravati
+Masterof Technology(M.Tech) in Infrastructure Design Management|CGPA:9.09/10 Aug 2022—May 2024
+Indian Instituteof Technology(IIT) Kharagpur
+"""
+
+
+def test_education_of_clean_and_mashed_lines(spark):
+    got = degrees.education(lines_of(spark, CLEAN, MASHED)).orderBy("doc_id", "rec").collect()
+    clean, mashed = ([r for r in got if r.doc_id == i] for i in (0, 1))
+    assert [(r.institution, r.year, r.grade) for r in clean] == [
+        ("Indian Institute of Technology (IIT) Kharagpur", "Aug 2022—May 2024", "9.09/10"), ("Government College of Engineering Amravati", "Aug 2017—May 2021", "8.16/10")]
+    assert [r.degree for r in clean] == ["Master of Technology (M.Tech) in Infrastructure Design Management", "Bachelor of Technology (B.Tech) in Civil Engineering"]
+    assert [tuple(r)[2:6] for r in mashed] == [tuple(r)[2:6] for r in reversed(clean)]
+
+
+def test_education_elsewhere_details_and_repeats(spark):
+    got = degrees.education(lines_of(spark, """Bachelors @ Hill University 2011
+EDUCATION
+Diploma in Sales
+Hill School
+2009
+GPA: 3.5/4
+- Prize for Latin
+preferred: remote
+Diploma in Sales
+Hill School
+SKILLS
+Master of Arts
+""", "Master of Science, River University 2004")).orderBy("doc_id", "rec").collect()
+    assert [tuple(r)[:6] for r in got[:2]] == [(0, 1, "Diploma in Sales", "Hill School", "2009", "3.5/4"), (0, 2, "Bachelors", "Hill University 2011", "2011", "")]
+    assert len(got) == 3 and got[0].details == ["Prize for Latin"] and got[2].year == "2004" and "River University" in got[2].institution
+
+
+def test_projects(spark):
+    text = """PROJECTS
+RetrieveIQ – Search over papers (Python, Redis)
+• Reads papers
+and ranks them.
+PredictAI–Loan scores
+- Scored loans with care.
+Held up well in use. StoreKit - Small shop
+- Sold things
+
+Plain Title
+- Work
+SKILLS
+Not – A project
+"""
+    got = degrees.projects(lines_of(spark, text, "no section")).orderBy("rec").collect()
+    assert [(r.name, r.technologies, r["items"]) for r in got] == [
+        ("RetrieveIQ – Search over papers", ["Python", "Redis"], ["Reads papers and ranks them."]), ("PredictAI–Loan scores", [], ["Scored loans with care.", "Held up well in use."]),
+        ("StoreKit - Small shop", [], ["Sold things"]), ("Plain Title", [], ["Work"])]
