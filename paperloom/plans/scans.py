@@ -12,7 +12,8 @@ from ..functions import glossary, spacing
 from ..functions import text as T
 from ..operators.lines import lines
 from ..operators.ranking import any_word
-from ..sources import profiles
+from ..session import shared_path
+from ..sources import files, profiles
 from ..sources.tables import Tables
 from .registry import LINE, key, query, squash, words
 
@@ -58,6 +59,20 @@ def profile_listing(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.substring("html", 1, 240).alias("preview"), _long(F.length("html")).alias("n")).orderBy(F.desc("n"), "page_id")
 
 
+@query(r"""WITH d AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'docx' WHEN 1 THEN 'dat' ELSE 'txt' END AS suffix, coalesce(text, '') AS text FROM documents),
+  l AS (SELECT doc_id, trim(x, ' ' || chr(9) || chr(13)) AS x, p FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), chr(10))) AS x, generate_subscripts(string_split(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), chr(10)), 1) AS p FROM d WHERE suffix = 'docx')),
+  j AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY p) AS text FROM l WHERE x <> '' GROUP BY doc_id)
+  SELECT d.doc_id, d.suffix, CASE WHEN d.suffix = 'docx' THEN coalesce(j.text, '') ELSE regexp_replace(d.text, '^\s+|\s+$', '', 'g') END AS text FROM d LEFT JOIN j USING (doc_id) WHERE d.suffix = 'docx' OR (d.suffix = 'txt' AND strlen(d.text) BETWEEN 1 AND 10000000)""")
+def file_round_trip(t: Tables) -> DataFrame:
+    """All documents written as files (.docx, .txt and an unknown kind) and read back; suffix and length are filtered before a file is opened."""
+    files.register(t.spark)
+    folder = shared_path(t.spark, "documents")
+    kind = F.when(F.col("doc_id") % 10 == 0, "docx").when(F.col("doc_id") % 10 == 1, "dat").otherwise("txt")
+    t.documents.select(F.concat(F.col("doc_id").cast("string"), F.lit("."), kind).alias("name"), "text").write.format("documents").mode("append").save(folder)
+    got = t.spark.read.format("documents").load(folder).where(F.col("suffix").isin("docx", "txt") & F.col("length").between(1, 10_000_000))
+    return got.select(_long(F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1)).alias("doc_id"), "suffix", "text")
+
+
 @query("""SELECT section, rank::BIGINT AS rank, label FROM (VALUES ('summary',1,'Summary'),('skills',2,'Skill Set Overview'),('education',3,'Education'),
   ('certifications',4,'Certifications'),('experience',5,'Experience')) v(section, rank, label)""")
 def template_sections(t: Tables) -> DataFrame:

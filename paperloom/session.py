@@ -58,19 +58,24 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the session's shared folder, which cuts its lineage; where a local session names no folder (tests), one is made; on
-    a cluster that is an error. A table rather than checkpoint(): a checkpoint carries its plan's constraints along, and over the rounds
-    of a loop they grow with every expression. The tables go when the JVM ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the session's shared folder, which goes when the JVM ends; where a local session names no folder (tests), one is
+    made; on a cluster that is an error."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='paperloom-checkpoint-')}"
-    path = f"{root.rstrip('/')}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the session's shared folder, which cuts its lineage. A table rather than checkpoint(): a checkpoint carries
+    its plan's constraints along, and over the rounds of a loop they grow with every expression."""
+    path = shared_path(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

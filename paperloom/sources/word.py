@@ -8,6 +8,7 @@ programs that a query engine does not bring; ``extract`` takes readers by suffix
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator, Mapping
 from xml.etree import ElementTree
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 #: Fixed: the format's namespace.
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -30,7 +32,8 @@ def read_docx(content: bytes) -> str | None:
         return None
 
     def text(node: ElementTree.Element) -> str:
-        return "".join(t.text or "" for t in node.iter(f"{_W}t")).strip()
+        parts = (c.text or "" if c.tag == f"{_W}t" else "\t" if c.tag == f"{_W}tab" else "" for r in node.iter(f"{_W}r") for c in r)
+        return "".join(parts).strip()
 
     if body is None:
         return ""
@@ -53,6 +56,36 @@ def write_docx(lines: list[str]) -> bytes:
     return out.getvalue()
 
 
+#: A line that ends in dates, which stand at the right edge.
+_DATED = re.compile(rf"^(.*?\S)\s+\(?((?:{_MONTHS}\s+)?(?:19|20)\d{{2}}\s*(?:[-–—]|to)\s*(?:Present|Current|(?:{_MONTHS}\s+)?(?:19|20)\d{{2}}))\)?$", re.I)
+
+
+def paragraph(line: str, edge: int = 9360) -> str:
+    """A line as a paragraph; dates at its end go to a right tab at ``edge`` (twentieths of a point)."""
+    say = lambda t: f'<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r>'
+    dated = _DATED.match(line)
+    if not dated:
+        return f"<w:p>{say(line)}</w:p>"
+    return f'<w:p><w:pPr><w:tabs><w:tab w:val="right" w:pos="{edge}"/></w:tabs></w:pPr>{say(dated[1])}<w:r><w:tab/></w:r>{say(dated[2])}</w:p>'
+
+
+def fill_docx(skeleton: bytes, lines: list[str]) -> bytes:
+    """The skeleton package with these lines as its body; styles, headers, footers and the page's section stay."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(skeleton)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for part in old.infolist():
+            data = old.read(part)
+            if part.filename == "word/document.xml":
+                text = data.decode("utf-8")
+                body = re.search(r"(<w:body[^>]*>)(.*)(</w:body>)", text, re.S)
+                if body is None:
+                    raise ValueError("the skeleton has no body")
+                page = re.findall(r"<w:sectPr\b(?:(?!<w:sectPr\b).)*?(?:</w:sectPr>|/>)\s*$", body[2], re.S)
+                data = (text[: body.end(1)] + "".join(map(paragraph, lines)) + "".join(page) + text[body.start(3) :]).encode()
+            new.writestr(part.filename, data)
+    return out.getvalue()
+
+
 def extract(files: DataFrame, readers: Mapping[str, Callable[[bytes], str | None]] | None = None) -> DataFrame:
     """path, text of files(path, content): the reader of the path's suffix decides; unknown suffixes give blank texts."""
     use = {"docx": read_docx, "txt": lambda b: b.decode("utf-8", "replace"), **(readers or {})}
