@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import assign, dedupe, lines as L, matching as M, ranking, rules as R
+from ..operators import assign, dedupe, facts, lines as L, matching as M, plugins, ranking, rules as R
 from ..session import written
 from ..sources.tables import Tables
 from ..streaming.events import sessionize, windowed
@@ -221,6 +223,18 @@ def fact_table(t: Tables) -> DataFrame:
     return o.unionByName(li)
 
 
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+  b AS (SELECT doc_id, i, unnest(string_split(line, '. ')) AS text, generate_subscripts(string_split(line, '. '), 1) - 1 AS j FROM l)
+  SELECT doc_id, 'exp' || i || '.b' || j AS fact_id, 'exp' || i AS parent, j::BIGINT AS pos, text FROM b WHERE trim(text) <> ''
+  UNION ALL SELECT doc_id, 'exp' || i || '.size.chars', 'exp' || i, NULL, length(line)::VARCHAR FROM l
+  UNION ALL SELECT doc_id, 'meta.lang', '', NULL, lang FROM documents WHERE trim(lang) <> '' UNION ALL SELECT doc_id, 'meta.source', '', NULL, source FROM documents WHERE trim(source) <> ''""")
+def nested_fact_table(t: Tables) -> DataFrame:
+    """Documents as nested records (lines with their sentences and sizes, and what is known of the document), taken apart into facts."""
+    line = lambda x: F.struct(F.split(x, r"\. ").alias("b"), F.struct(F.length(x).alias("chars")).alias("size"))
+    store = F.to_variant_object(F.struct(F.transform(F.split("text", "\n"), line).alias("exp"), F.struct("lang", "source").alias("meta")))
+    return facts.nested_facts(t.documents.select("doc_id", store.alias("store")), "doc_id", "store")
+
+
 @query("""WITH s AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_name, ' ') AS w FROM part), e AS (SELECT p_partkey, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM s), f AS (SELECT p_partkey, x, min(p) AS p FROM e GROUP BY ALL)
   SELECT p_partkey, string_agg(x, ' ' ORDER BY p) AS merged FROM f GROUP BY p_partkey""")
 def ordered_distinct_concat(t: Tables) -> DataFrame:
@@ -256,6 +270,27 @@ def quality_findings(t: Tables) -> DataFrame:
     return R.findings(t.documents, document_rules())
 
 
+def document_validators() -> list[plugins.Validator]:
+    """The same rules as plug-ins, over a document's lines."""
+    marks, address = re.compile("[#$%&*<>|]"), re.compile(T.EMAIL)
+    n_words = lambda lines: sum(len([w for w in re.split("[ \t\n\x0b\f\r]+", x) if w]) for x in lines)
+    return [
+        plugins.Validator("short", "body", "critical", "fewer than 50 words", lambda lines: n_words(lines) < 50),
+        plugins.Validator("symbols", "body", "critical", "symbols in over a fifth of the words", lambda lines: 5 * sum(len(marks.findall(x)) for x in lines) > n_words(lines)),
+        plugins.Validator("long_line", "layout", "warn", "a line of 2000 characters or more", lambda lines: max(map(len, lines)) >= 2000),
+        plugins.Validator("contact", "header", "warn", "an address is in the text", lambda lines: any("@" in x and address.search(x) for x in lines)),
+        plugins.Validator("license", "body", "warn", "a licence line is in the text", lambda lines: any("licensed under" in x.lower() for x in lines)),
+    ]
+
+
+@query(f"WITH {_FIND} SELECT * FROM f")
+def plugin_findings(t: Tables) -> DataFrame:
+    """The findings of quality_findings, said by validators that are called from SQL."""
+    plugins.register(t.spark, "document_validators", document_validators())
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
+    return plugins.validate(rows, "document_validators", "doc_id", "ln", "line")
+
+
 @query(f"WITH {_FIND} SELECT rule_id, severity, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs FROM f GROUP BY rule_id, severity")
 def findings_rollup(t: Tables) -> DataFrame:
     return R.roll_up(R.findings(t.documents, document_rules()), "rule_id", "severity")

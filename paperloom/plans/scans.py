@@ -11,8 +11,9 @@ from pyspark.sql.window import Window as W
 from ..functions import glossary, spacing
 from ..functions import text as T
 from ..operators.lines import lines
+from ..operators.observed import Stages
 from ..operators.ranking import any_word
-from ..session import shared_path
+from ..session import shared_path, written
 from ..sources import files, profiles
 from ..sources.tables import Tables
 from .registry import LINE, key, query, squash, words
@@ -96,6 +97,19 @@ def stage_counters(t: Tables) -> DataFrame:
     return t.documents.agg(F.count(F.lit(1)).alias("n_docs"), F.count("text").alias("n_texts"), _long(F.coalesce(F.sum(F.length("text")), F.lit(0))).alias("n_chars"), F.countDistinct("source").alias("n_sources"))
 
 
+@query(f"""WITH {LINE}, c AS (SELECT doc_id, ln, line FROM line WHERE length(line) >= 25), d AS (SELECT doc_id, line, count(*) AS n FROM c GROUP BY doc_id, line)
+  SELECT stage, metric, value::BIGINT AS value FROM (SELECT 'lines' AS stage, 'n_rows' AS metric, count(*) AS value FROM line UNION ALL SELECT 'lines', 'n_chars', sum(length(line)) FROM line
+  UNION ALL SELECT 'long', 'n_rows', count(*) FROM c UNION ALL SELECT 'long', 'longest', max(length(line)) FROM c UNION ALL SELECT 'distinct', 'n_rows', count(*) FROM d UNION ALL SELECT 'distinct', 'n_repeats', sum(n - 1) FROM d)""")
+def observed_stages(t: Tables) -> DataFrame:
+    """What three stages of one run have seen, gathered while it ran."""
+    stages = Stages()
+    every = stages.mark(lines(t.documents), "lines", n_chars=F.sum(F.length("line")))
+    long = stages.mark(every.where(F.length("line") >= 25), "long", longest=F.max(F.length("line")))
+    once = stages.mark(long.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n")), "distinct", n_repeats=F.sum(F.col("n") - 1))
+    written(once)
+    return stages.rows(t.spark).drop("place")
+
+
 @query(rf"""SELECT doc_id, regexp_replace(regexp_replace(text, '{T.EMAIL}', '[EMAIL]', 'g'), '{T.PHONES[0]}', '[PHONE]', 'g') AS text FROM documents
   WHERE regexp_matches(text, '{T.EMAIL}') OR regexp_matches(text, '{T.PHONES[0]}')""")
 def pii_mask(t: Tables) -> DataFrame:
