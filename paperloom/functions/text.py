@@ -169,19 +169,18 @@ def json_object(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.regexp_replace(c, "```[a-z]*", ""), r"(?s)(\{.*\})", 1), F.lit(""))
 
 
-def looks_cut_off(c: Column) -> Column:
-    """Whether a JSON reply seems truncated: short, unbalanced, or ending in an odd character."""
-    t = F.trim(c)
-    opened = F.length(F.regexp_replace(t, "[^{]", ""))
-    closed = F.length(F.regexp_replace(t, "[^}]", ""))
-    return (F.length(t) < 40) | (opened != closed) | ~t.rlike(r"[}\]]$")
+def outside_strings(c: Column) -> Column:
+    """A JSON text without its strings, so that brackets inside them do not count; an open string goes to the end."""
+    return F.regexp_replace(c, r'(?s)"(?:[^"\\]++|\\.)*+(?:"|\\?$)', "")
 
 
-def clip_words(c: Column, limit: int) -> Column:
-    """At most ``limit`` characters, cut at the last space within them."""
-    head = F.substring(c, 1, limit)
-    at_space = F.regexp_replace(head, r"\s+[^\s]*$", "")
-    return F.when(F.length(c) <= limit, c).otherwise(at_space)
+def looks_cut_off(c: Column) -> Column:
+    """Whether a JSON reply seems truncated: under 40 characters, more brackets open than closed (outside strings), or a letter, digit
+    or backslash at its end."""
+    t = F.trim(c)
+    bare = outside_strings(t)
+    count = lambda mark: F.length(bare) - F.length(F.regexp_replace(bare, mark, ""))
+    return (F.length(t) < 40) | (count(r"\{") > count(r"\}")) | (count(r"\[") > count(r"\]")) | t.rlike(r"[\p{L}\p{N}\\]$")
 
 
 # ---------------------------------------------------------------- predicates

@@ -6,8 +6,9 @@ by doc_id serves the whole chain.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -85,15 +86,21 @@ def within_budget(rows: DataFrame, limit: int, at_least: int = 1) -> DataFrame:
 
 
 def chunks(rows: DataFrame, limit: int = 6500) -> DataFrame:
-    """Lines packed into chunks: a line that would pass the limit opens the next chunk. One fold per document, in order."""
-    items = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ln", F.length("line").alias("n")))).alias("_r"))
-    start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("size"), F.expr("cast(array() as array<struct<ln:bigint,chunk:bigint>>)").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        opens = (s["size"] > 0) & (s["size"] + r["n"] > limit)
-        chunk = s["chunk"] + opens.cast("long")
-        size = F.when(opens, F.lit(0).cast("long")).otherwise(s["size"]) + r["n"]
-        return F.struct(chunk.alias("chunk"), size.cast("long").alias("size"), F.concat(s["out"], F.array(F.struct(r["ln"].alias("ln"), chunk.alias("chunk")))).alias("out"))
-
-    placed = items.select("doc_id", F.explode(F.aggregate("_r", start, step, lambda s: s["out"])).alias("o"))
-    return placed.select("doc_id", "o.ln", "o.chunk")
+    """doc_id, ln, chunk: lines packed into chunks; a line that would pass the limit opens the next. Sorted lengths stream through the
+    tasks, and two numbers are carried from line to line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chunk, size = None, 0, 0
+        for batch in batches:
+            out = []
+            for doc, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if doc != at:
+                    at, chunk, size = doc, 0, 0
+                if size > 0 and size + n > limit:
+                    chunk, size = chunk + 1, 0
+                size += n
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["doc_id", "ln", "chunk"])
+
+    lengths = rows.select("doc_id", "ln", F.length("line").cast("long").alias("n"))
+    return lengths.repartition("doc_id").sortWithinPartitions("doc_id", "ln").mapInArrow(run, "doc_id long, ln long, chunk long")

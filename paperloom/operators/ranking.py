@@ -27,9 +27,10 @@ def line_score(line: Column, verbs: Sequence[str] = VERBS, technologies: Sequenc
     """3 for a digit, 2 for a verb, 1 for a technology, 2.5 for a word of high signal, 2 for 80 to 280 characters (0.5 above), -1 for filler."""
     n, low = F.length(line), F.lower(line)
     score = F.when(line.rlike("[0-9]"), 3.0).otherwise(0.0) + F.when(n.between(80, 280), 2.0).when(n > 280, 0.5).otherwise(0.0)
+    own = F.split(low, r"[^\p{L}\p{N}_]+")  # words once, then sets: no alternation is tried at every character
     for words, points in ((verbs, 2.0), (technologies, 1.0), (signals, 2.5)):
         if words:
-            score = score + F.when(low.rlike(any_word(words)), points).otherwise(0.0)
+            score = score + F.when(F.arrays_overlap(own, F.array(*[F.lit(w) for w in words])), points).otherwise(0.0)
     return score - F.when(low.contains("responsible for") | low.contains("worked on"), 1.0).otherwise(0.0)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions import glossary, spacing
+from ..functions import glossary, items, spacing
 from ..functions import text as T
 from ..operators.lines import lines
 from ..operators.observed import Stages
@@ -363,6 +363,54 @@ def json_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", k.alias("k"), F.expr("try_parse_json(props) is not null").alias("ok"))
 
 
+_REPLY = r"""'{"id": ' || doc_id || ', "tags": ["a{", "b["], "text": "' || translate(text, chr(34) || chr(92) || chr(10), '   ') || '"}'"""
+
+
+@query(rf"""WITH r AS (SELECT doc_id, {_REPLY} AS r FROM documents), c AS (SELECT doc_id, trim(left(r, greatest(0, length(r) - (doc_id % 5) * 9)::BIGINT)) AS t FROM r), b AS (SELECT *, regexp_replace(t, '(?s)"(?:[^"\\]|\\.)*(?:"|\\?$)', '', 'g') AS bare FROM c)
+  SELECT doc_id, length(t)::BIGINT AS n, length(t) < 40 OR length(replace(bare, '{{', '')) < length(replace(bare, '}}', '')) OR length(replace(bare, '[', '')) < length(replace(bare, ']', '')) OR regexp_matches(t, '[\p{{L}}\p{{N}}\\]$') AS cut_off FROM b""")
+def cut_off_replies(t: Tables) -> DataFrame:
+    """Replies made of documents, four of five cut short by some characters, and which of them show it."""
+    safe = F.translate("text", '"\\\n', "   ")
+    reply = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "tags": ["a{", "b["], "text": "'), safe, F.lit('"}'))
+    cut = F.trim(F.left(reply, F.greatest(F.lit(0), F.length(reply) - (F.col("doc_id") % 5) * 9).cast("int")))
+    return t.documents.select("doc_id", cut.alias("t")).select("doc_id", _long(F.length("t")).alias("n"), T.looks_cut_off(F.col("t")).alias("cut_off"))
+
+
+_TOLD = "CASE l_linenumber % 2 WHEN 1 THEN 'Built part ' || l_partkey || ' in lot ' || l_linenumber || ' with care.' ELSE 'The lot held ' || l_partkey || ' pieces.' END"
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, string_agg({_TOLD}, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS text, list({{'n': l_linenumber, 's': {_TOLD}}} ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem GROUP BY l_orderkey),
+  e AS (SELECT l_orderkey, unnest(r) AS x, generate_subscripts(r, 1) AS p, length(text) AS n, len(r) AS k FROM s),
+  g AS (SELECT l_orderkey, x.s AS s, p, CASE WHEN n >= 180 AND k >= 2 THEN sum((x.n % 2 = 1 AND p > 1)::INT) OVER (PARTITION BY l_orderkey ORDER BY p) ELSE 0 END AS g FROM e),
+  i AS (SELECT l_orderkey, g, string_agg(s, ' ' ORDER BY p) AS item FROM g GROUP BY l_orderkey, g), f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, {key('item')} ORDER BY g) AS again FROM i)
+  SELECT l_orderkey AS o_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY g) AS pos, item FROM f WHERE again = 1 QUALIFY pos <= 20""")
+def verb_items(t: Tables) -> DataFrame:
+    """Orders told as paragraphs, one sentence a line item, cut into items before verbs."""
+    part, n = F.col("l_partkey").cast("string"), F.col("l_linenumber")
+    told = F.when(n % 2 == 1, F.concat(F.lit("Built part "), part, F.lit(" in lot "), n.cast("string"), F.lit(" with care."))).otherwise(F.concat(F.lit("The lot held "), part, F.lit(" pieces.")))
+    text = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", told.alias("s")))).alias("r"))
+    got = text.select("o_orderkey", F.posexplode(items.verb_items(F.array_join("r.s", " "))).alias("pos", "item"))
+    return got.select("o_orderkey", _long(F.col("pos") + 1).alias("pos"), "item")
+
+
+_PARTS = r"regexp_replace({0}, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g')"
+_EDGE = "' ' || chr(9) || '•-–—[]' || chr(39) || chr(34)"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, trim(text) AS t FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT doc_id, CASE WHEN regexp_matches(t, '[•\n\r]|(?:^|\s)[-–—]\s+') THEN string_split(regexp_replace(t, '(?:\r?\n)+|•+|(?:^|\s)[-–—]\s+', chr(1), 'g'), chr(1))
+    WHEN length(t) < 160 AND length(t) - length(replace(t, '.', '')) <= 1 THEN [t] ELSE string_split({_PARTS.format('t')}, chr(1)) END AS parts FROM d),
+  e AS (SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM p), c AS (SELECT doc_id, i, regexp_replace(trim(x, {_EDGE}), '\s+', ' ', 'g') AS x FROM e),
+  w AS (SELECT * FROM c WHERE length(x) >= 12 AND NOT (starts_with(x, '[') OR ends_with(x, ']') OR (length(x) - length(replace(x, chr(39), '')) >= 2 AND length(x) < 40)) QUALIFY row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) = 1),
+  g AS (SELECT doc_id, list(x ORDER BY i) AS items, count(*) >= 8 AND sum(length(x)) < 60 * count(*) AS tiny, string_agg(x, ' ' ORDER BY i) AS joined FROM w GROUP BY doc_id),
+  a AS (SELECT doc_id, CASE WHEN tiny THEN list_filter(list_transform(string_split({_PARTS.format('joined')}, chr(1)), lambda y: trim(y)), lambda y: length(y) >= 12) ELSE items END AS items, joined FROM g)
+  SELECT doc_id, generate_subscripts(items, 1)::BIGINT AS pos, unnest(items) AS item FROM (SELECT doc_id, CASE WHEN len(items) = 0 THEN [joined] ELSE items END AS items FROM a)""")
+def summary_items(t: Tables) -> DataFrame:
+    """All documents as summaries: their lines, dashes or sentences as items."""
+    got = t.documents.where("text is not null").select("doc_id", F.posexplode(items.summary_items(F.col("text"))).alias("pos", "item"))
+    return got.select("doc_id", _long(F.col("pos") + 1).alias("pos"), "item")
+
+
 @query("SELECT event_type, count(*)::BIGINT AS n, contains(event_type, 'err') OR contains(event_type, 'fail') AS is_error FROM events GROUP BY event_type")
 def error_classes(t: Tables) -> DataFrame:
     c = F.col("event_type")

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import items
 from paperloom.functions import text as T
 from paperloom.operators import dedupe, lines as L, matching as M, ranking, rules as R
 from paperloom.sources import profiles, tables, word
@@ -209,3 +210,51 @@ def test_streaming_windows_equal_batch(spark, sf_dir, tmp_path):
     q.stop()
     key = lambda r: (r.window_start, r.event_type, r.n)
     assert sorted(map(key, spark.table("w").collect())) == sorted(map(key, windowed(events, "1 day").collect()))
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ('{"a": "a value that is long enough to count", "b": {"c": "x"}}', False), ('{"a": "a value that is long enough to count", "b": {', True),
+    ('{"a": "brackets { [ in a string that is long enough"}', False), ('{"a": "an open string with } at its end, long enough }', True), ('{"short": 1}', True),
+    ('{"a": ["a value that is long enough to count", "b"]', True), ('{"a": "escaped \\\\" quote { and more of it, long enough"}', False), ('{"a": "a value that is long enough to count"} and', True),
+])
+def test_cut_off_replies(spark, text, want):
+    assert one(spark, T.looks_cut_off(F.lit(text.replace("\\\\", "\\")))) is want
+
+
+def test_long_strings_do_not_overflow(spark):
+    assert one(spark, T.looks_cut_off(F.concat(F.lit('{"a": "'), F.repeat(F.lit("x\\n"), 200_000), F.lit('"}')))) is False
+
+
+def test_verb_items():
+    long = "Built the first service for payments with care and patience over many months. It was used by all teams. Led five people in two towns through the change of tools. They liked it a lot. led on."
+    assert items.by_verbs(long) == ["Built the first service for payments with care and patience over many months. It was used by all teams.", "Led five people in two towns through the change of tools. They liked it a lot. led on."]
+    assert items.by_verbs("Short text. Built a thing here.") == ["Short text. Built a thing here."]
+    assert items.by_verbs("• one item of work • two items of work •  One item, of work! tiny") == ["one item of work", "two items of work", "One item, of work! tiny"]
+    assert items.by_verbs("• same item here • Same item: here") == ["same item here"] and items.by_verbs("") == items.by_verbs(None) == []
+    assert len(items.by_verbs(" • ".join(f"item number {i} of many" for i in range(30)))) == 20
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("['First line of it', \"Second line, which is 'quoted' and long enough\", 'short', 'First line of it']", ["First line of it", "Second line, which is 'quoted' and long enough"]),
+    ("One long enough line\n- another line here\n\n• and a third line", ["One long enough line", "another line here", "and a third line"]),
+    ("A short one-liner stays whole.", ["A short one-liner stays whole."]), (" ", []), (None, []),
+    ("First sentence of it is here. Second sentence is here too! (Third one in marks.) " + "x" * 100, ["First sentence of it is here.", "Second sentence is here too!", "(Third one in marks.) " + "x" * 100]),
+    ("\n".join(f"tiny line {i:02d}" for i in range(9)), [" ".join(f"tiny line {i:02d}" for i in range(9))]),
+    ("some 'list' of 'debris' here", []),
+])
+def test_summary_items(text, want):
+    assert items.of_summary(text) == want
+
+
+def test_chunks_carry_over_batches(spark):
+    rng = random.Random(7)
+    rows = [(d, i + 1, "x" * rng.randint(0, 40)) for d in range(5) for i in range(rng.randint(0, 60))]
+    want = []
+    for d in range(5):
+        chunk, size = 0, 0
+        for _, ln, line in [r for r in rows if r[0] == d]:
+            if size and size + len(line) > 70:
+                chunk, size = chunk + 1, 0
+            size += len(line)
+            want.append((d, ln, chunk))
+    assert sorted(tuple(r) for r in L.chunks(spark.createDataFrame(rows, "doc_id long, ln long, line string").repartition(3), 70).collect()) == want
