@@ -65,12 +65,21 @@ def recency_quota(df: DataFrame, group: str, order: Sequence[Column], available:
         .withColumn("_goal", F.least(F.lit(budget), F.sum(available).over(w)))
         .withColumn("_room", F.least(F.lit(most), F.col(available)) - F.col("_q"))
     )
-    # a seat is the k-th that a row gets; rounds go by k, within a round by rank
-    seats = cut.withColumn("_k", F.explode_outer(F.when(F.col("_room") > 0, F.sequence(F.lit(1).cast("long"), F.col("_room").cast("long")))))
-    so_far = F.count("_k").over(w.orderBy("_k", "rank").rowsBetween(W.unboundedPreceding, 0))
-    rounds = F.count("_k").over(w.orderBy("_k").rangeBetween(W.unboundedPreceding, -1))
-    given = F.col("_k").isNotNull() & (F.col("_sum") + so_far - 1 < budget) & (F.col("_sum") + rounds < F.col("_goal"))
-    return seats.withColumn("_given", given.cast("long")).groupBy(*df.columns, "rank").agg((F.first("_q") + F.sum("_given")).cast("long").alias("quota"))
+    # rounds of one seat a row: after k of them min(room, k) are dealt; how many rounds there are, and where the last one ends, follows from those sums
+    room, total = F.greatest(F.col("_room"), F.lit(0)), F.col("_sum")
+    dealt = F.array(*[F.sum(F.least(room, F.lit(k))).over(w) for k in range(1, most - least + 1)])
+    begun = F.size(F.filter(F.concat(F.array(F.lit(0).cast("long")), F.slice("_dealt", 1, most - least - 1)), lambda x: total + x < F.col("_goal")))
+    upto = lambda k: F.when(k > 0, F.element_at("_dealt", F.greatest(k, F.lit(1)))).otherwise(0)
+    level = (
+        cut.withColumn("_dealt", F.transform(dealt, lambda x: x.cast("long")))
+        .withColumn("_seats", F.least(F.greatest(F.lit(budget) - total, F.lit(0)), upto(begun)))
+        .withColumn("_full", F.size(F.filter("_dealt", lambda x: x <= F.col("_seats"))))
+        .withColumn("_left", F.col("_seats") - upto(F.col("_full")))
+        .withColumn("_above", room > F.col("_full"))
+        .withColumn("_turn", F.sum(F.col("_above").cast("long")).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    )
+    last = (F.col("_above") & (F.col("_turn") <= F.col("_left"))).cast("long")
+    return level.select(*df.columns, "rank", (F.col("_q") + F.least(room, F.col("_full")) + last).cast("long").alias("quota"))
 
 
 def with_must_keep(lines: DataFrame, quota: int, score: Column, must: Column) -> DataFrame:
