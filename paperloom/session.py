@@ -33,8 +33,8 @@ def local_session(cpus: int = 8, memory: str = "12g", **conf: str) -> SparkSessi
     return spark
 
 
-#: Rows in an Arrow batch: documents are larger than the rows for which the default of 10,000 is made.
-BATCH_ROWS = 2_000
+#: Rows and bytes in an Arrow batch: documents are larger than the rows for which the defaults of 10,000 and 64 MB are made.
+BATCH_ROWS, BATCH_BYTES = 2_000, "4m"
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,6 +45,7 @@ def ship(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows, "10000") == "10000":
         spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if str(_PACKAGE.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     sc = spark.sparkContext
