@@ -72,3 +72,45 @@ def in_expected_order(found: DataFrame, expected: DataFrame, key: str = "doc_id"
     required = expected.where("required").agg(F.array_sort(F.collect_list("section")).alias("need"))
     return got.join(F.broadcast(required)).select(
         key, (ranks == F.array_sort(ranks)).alias("ordered"), F.array_join(F.array_sort(F.array_except("need", "have")), ",").alias("missing"))
+
+
+#: Sizes that a style may have (fixed values).
+SIZES = (("font_size_body", 8, 16), ("font_size_header", 8, 24), ("font_size_name", 8, 36))
+
+
+def format_findings(docs: DataFrame, sections: DataFrame, expected: DataFrame) -> DataFrame:
+    """doc_id, section, severity, issue of composed documents against a format.
+
+    docs(doc_id, name, contacts array, font_family, font_size_body, font_size_header, font_size_name), sections(doc_id, pos, section, title), and the
+    format's expected(section, rank, label, required), which is small. Critical: expected sections in another order, a required one missing, no name. Warned: titles unlike
+    their labels (but for case, marks and a closing colon), sizes out of range, no font, contact details. One aggregate by document; each rule is an array of
+    findings.
+    """
+    bare = lambda c: F.regexp_replace(F.lower(F.regexp_replace(F.trim(c), r"[:\s]+$", "")), "[^a-z0-9]+", "")
+    plain = lambda c: F.regexp_replace(F.trim(c), r"[:\s]+$", "")
+    say = lambda section, severity, issue: F.struct(section.alias("section"), F.lit(severity).alias("severity"), issue.alias("issue"))
+    none = F.array().cast("array<struct<section:string,severity:string,issue:string>>")
+    when = lambda c, section, severity, issue: F.when(c, F.array(say(F.lit(section), severity, issue))).otherwise(none)
+    placed = sections.join(F.broadcast(expected.select("section", "rank", "label")), "section", "left")
+    listed = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "section", "title", "rank", "label"))).alias("s"))
+    needs = expected.where("required").agg(F.array_sort(F.collect_list(F.struct("rank", "section"))).alias("needs"))
+    rows = docs.join(listed, "doc_id", "left").join(F.broadcast(needs)).withColumn("s", F.coalesce("s", F.array().cast(listed.schema["s"].dataType)))
+    known = F.filter("s", lambda x: x["rank"].isNotNull())
+    actual = F.transform(known, lambda x: x["section"])
+    ordered = F.transform(F.array_sort(F.array_distinct(F.transform(known, lambda x: F.struct(x["rank"].alias("rank"), x["section"].alias("section"))))), lambda x: x["section"])
+    have = F.transform("s", lambda x: x["section"])
+    missing = F.transform(F.filter(F.transform("needs", lambda x: x["section"]), lambda x: ~F.array_contains("have", x)), lambda x: say(x, "critical", F.concat(F.lit("Required section '"), x, F.lit("' is missing"))))
+    unlike = F.transform(
+        F.filter("s", lambda x: (bare(x["title"]) != "") & (bare(x["label"]) != "") & (bare(x["title"]) != bare(x["label"]))),
+        lambda x: say(x["section"], "warn", F.concat(F.lit("Section label '"), plain(x["title"]), F.lit("' differs from format '"), plain(x["label"]), F.lit("'"))))
+    sizes = [when(F.coalesce(F.col(c), F.lit(0.0)) != 0.0, "styling", "warn", F.concat(F.lit(f"{c}="), F.col(c).cast("string"), F.lit(f" outside sane range {lo}-{hi}"))) for c, lo, hi in SIZES]
+    sizes = [F.when((F.col(c) < lo) | (F.col(c) > hi), x).otherwise(none) for x, (c, lo, hi) in zip(sizes, SIZES, strict=True)]
+    name = F.trim(F.coalesce("name", F.lit("")))
+    found = F.concat(
+        when(F.array_join("actual", ",") != F.array_join("ordered", ","), "structure", "critical", F.substring(F.concat(F.lit("Section order mismatch. expected="), F.array_join("ordered", ","), F.lit(" actual="), F.array_join("actual", ",")), 1, 200)),
+        missing, unlike, *sizes,
+        when(F.trim(F.coalesce("font_family", F.lit(""))) == "", "styling", "warn", F.lit("font_family is missing")),
+        when((name == "") | F.lower(name).isin("candidate", "unknown"), "header", "critical", F.lit("Name is missing")),
+        when(F.exists(F.coalesce("contacts", F.array().cast("array<string>")), lambda x: F.trim(x) != ""), "header", "warn", F.lit("Contact details are in the header")))
+    staged = rows.withColumns({"actual": actual, "ordered": ordered, "have": have})
+    return staged.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")

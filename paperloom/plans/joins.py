@@ -291,6 +291,32 @@ def plugin_findings(t: Tables) -> DataFrame:
     return plugins.validate(rows, "document_validators", "doc_id", "ln", "line")
 
 
+_EXPECTED = [("1-URGENT", 1, "Urgent", True), ("2-HIGH", 2, "High:", True), ("3-MEDIUM", 3, "Medium", False), ("5-LOW", 4, None, True)]
+
+
+@query(r"""WITH x(section, rank, label, required) AS (VALUES ('1-URGENT', 1, 'Urgent', true), ('2-HIGH', 2, 'High:', true), ('3-MEDIUM', 3, 'Medium', false), ('5-LOW', 4, NULL, true)),
+  s AS (SELECT o_custkey AS doc_id, min(o_orderkey) AS pos, o_orderpriority AS section, CASE WHEN min(o_orderkey) % 7 = 0 THEN 'Other title' ELSE upper(substring(o_orderpriority, 3)) || ':' END AS title FROM orders GROUP BY o_custkey, o_orderpriority),
+  d AS (SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 11 = 0 THEN 'Unknown' WHEN c_custkey % 13 = 0 THEN ' ' ELSE c_name END AS name, c_custkey % 5 = 0 AS contact, CASE WHEN c_custkey % 17 <> 0 THEN 'Arial' END AS family, (c_custkey % 20)::DOUBLE AS b, (c_custkey % 30)::DOUBLE AS h FROM customer),
+  p AS (SELECT s.doc_id, string_agg(s.section, ',' ORDER BY s.pos) AS actual, string_agg(s.section, ',' ORDER BY x.rank) AS ordered FROM s JOIN x USING (section) WHERE s.doc_id IN (SELECT doc_id FROM d) GROUP BY s.doc_id)
+  SELECT doc_id, 'structure' AS section, 'critical' AS severity, substring('Section order mismatch. expected=' || ordered || ' actual=' || actual, 1, 200) AS issue FROM p WHERE actual <> ordered
+  UNION ALL SELECT d.doc_id, x.section, 'critical', 'Required section ''' || x.section || ''' is missing' FROM d, x WHERE x.required AND NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = d.doc_id AND s.section = x.section)
+  UNION ALL SELECT s.doc_id, section, 'warn', 'Section label ''' || rtrim(title, ':') || ''' differs from format ''' || rtrim(label, ':') || '''' FROM s JOIN x USING (section) WHERE s.doc_id IN (SELECT doc_id FROM d) AND regexp_replace(lower(title), '[^a-z]', '', 'g') <> regexp_replace(lower(label), '[^a-z]', '', 'g')
+  UNION ALL SELECT doc_id, 'styling', 'warn', 'font_size_body=' || b || ' outside sane range 8-16' FROM d WHERE b <> 0 AND (b < 8 OR b > 16)
+  UNION ALL SELECT doc_id, 'styling', 'warn', 'font_size_header=' || h || ' outside sane range 8-24' FROM d WHERE h <> 0 AND (h < 8 OR h > 24)
+  UNION ALL SELECT doc_id, 'styling', 'warn', 'font_family is missing' FROM d WHERE family IS NULL UNION ALL SELECT doc_id, 'header', 'critical', 'Name is missing' FROM d WHERE trim(name) IN ('', 'Unknown')
+  UNION ALL SELECT doc_id, 'header', 'warn', 'Contact details are in the header' FROM d WHERE contact""")
+def format_findings(t: Tables) -> DataFrame:
+    """Customers as composed documents: their orders' priorities as sections, in order of the first order, against a format of four sections."""
+    k = F.col("c_custkey")
+    docs = t.customer.select(
+        k.alias("doc_id"), F.when(k % 11 == 0, "Unknown").when(k % 13 == 0, " ").otherwise(F.col("c_name")).alias("name"), F.when(k % 5 == 0, F.array(F.lit(""), F.lit("a@b.org"))).alias("contacts"),
+        F.when(k % 17 != 0, "Arial").alias("font_family"), (k % 20).cast("double").alias("font_size_body"), (k % 30).cast("double").alias("font_size_header"), F.lit(None).cast("double").alias("font_size_name"))
+    first = t.orders.groupBy(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("section")).agg(F.min("o_orderkey").alias("pos"))
+    title = F.when(F.col("pos") % 7 == 0, "Other title").otherwise(F.concat(F.upper(F.substring("section", 3, 100)), F.lit(":")))
+    expected = t.spark.createDataFrame(_EXPECTED, "section string, rank long, label string, required boolean")
+    return R.format_findings(docs, first.withColumn("title", title), expected)
+
+
 @query(f"WITH {_FIND} SELECT rule_id, severity, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs FROM f GROUP BY rule_id, severity")
 def findings_rollup(t: Tables) -> DataFrame:
     return R.roll_up(R.findings(t.documents, document_rules()), "rule_id", "severity")

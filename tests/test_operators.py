@@ -258,3 +258,24 @@ def test_chunks_carry_over_batches(spark):
             size += len(line)
             want.append((d, ln, chunk))
     assert sorted(tuple(r) for r in L.chunks(spark.createDataFrame(rows, "doc_id long, ln long, line string").repartition(3), 70).collect()) == want
+
+
+def test_format_findings(spark):
+    docs = spark.createDataFrame([
+        (1, "Jane Roe", ["", " "], "Arial", 11.0, None, 0.0), (2, "candidate", ["a@b.org"], " ", 30.0, 9.0, 50.0), (3, None, None, None, None, None, None),
+    ], "doc_id long, name string, contacts array<string>, font_family string, font_size_body double, font_size_header double, font_size_name double")
+    sections = spark.createDataFrame([
+        (1, 1, "summary", "SUMMARY :"), (1, 2, "extra", "Own"), (1, 3, "skills", "Skill Set Overview"), (2, 1, "skills", "Skills"), (2, 2, "summary", None), (2, 3, "skills", ""),
+    ], "doc_id long, pos long, section string, title string")
+    expected = spark.createDataFrame([("summary", 1, "Summary:", True), ("skills", 2, "Skill set overview", True), ("education", 3, None, False)], "section string, rank long, label string, required boolean")
+    got = {}
+    for r in R.format_findings(docs, sections, expected).collect():
+        got.setdefault(r.doc_id, []).append((r.section, r.severity, r.issue))
+    assert 1 not in got
+    assert sorted(got[2]) == sorted([
+        ("structure", "critical", "Section order mismatch. expected=summary,skills actual=skills,summary,skills"), ("skills", "warn", "Section label 'Skills' differs from format 'Skill set overview'"),
+        ("styling", "warn", "font_size_body=30.0 outside sane range 8-16"), ("styling", "warn", "font_size_name=50.0 outside sane range 8-36"), ("styling", "warn", "font_family is missing"),
+        ("header", "critical", "Name is missing"), ("header", "warn", "Contact details are in the header")])
+    assert sorted(got[3]) == [
+        ("header", "critical", "Name is missing"), ("skills", "critical", "Required section 'skills' is missing"), ("styling", "warn", "font_family is missing"),
+        ("summary", "critical", "Required section 'summary' is missing")]
