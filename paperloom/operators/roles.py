@@ -36,7 +36,7 @@ HEADINGS = {
 _MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 _TO = r"(?:[-–—/]|to)"
 DATES = rf"(?i)(?:{_MONTH}\s+\d{{4}}\s*{_TO}\s*(?:Present|Current|{_MONTH}\s+\d{{4}}|\d{{4}})|\d{{4}}\s*{_TO}\s*(?:Present|Current|\d{{4}}))"
-_DATES = re.compile(DATES)
+_DATES, _ONLY_DATES = re.compile(DATES), re.compile(rf"{DATES}\Z")
 #: Lines of job boards, marks of list items, and words of titles, firms, places and deeds (fixed values).
 _BOARD = re.compile(
     r"(?i)\b(preferred|desired work|willing to relocate|work authorization|employment type|profile source|profile downloaded|total experience|visa sponsorship|"
@@ -49,8 +49,8 @@ _ROLE_WORD = re.compile(rf"(?i)\b({_JOBS})\b")
 _LOCAL_ROLE = re.compile(r"(?i)\b(engineer|developer|analyst|manager|architect|lead|consultant|intern)\b")
 _EMBEDDED = re.compile(r"(?i)\b(engineer|developer|analyst|manager|architect|consultant|lead|intern|specialist|programmer|freelancer)\b")
 _FIRM = re.compile(r"(?i)\b(inc|llc|ltd|corp|technologies|systems|services|group)\b")
-_PLACE = re.compile(r"(?i)remote|onsite|on-site|hybrid|wfh|india|usa|u\.s\.a\.?|united states|canada|uk|u\.k\.?")
-_CITY = re.compile(r"(?i)[A-Za-z][A-Za-z .'-]{0,40},\s*([A-Z]{2}|[A-Za-z][A-Za-z .'-]{1,20})")
+_PLACE = re.compile(r"(?:(?i:remote|onsite|on-site|hybrid|wfh|india|usa|u\.s\.a\.?|united states|canada|uk|u\.k\.?)|[A-Z]{2})\Z")
+_CITY = re.compile(r"(?i)[A-Za-z][A-Za-z .'-]{0,40},\s*([A-Z]{2}|[A-Za-z][A-Za-z .'-]{1,20})\Z")
 _DEED = re.compile(
     "(?i)^(?:Architected|Developed|Designed|Implemented|Built|Led|Created|Improved|Optimized|Deployed|Integrated|Managed|Delivered|Engineered|Collaborated|Mentored|Configured|"
     "Migrated|Reduced|Increased|Automated|Established|Owned|Supported|Analyzed|Processed|Enabled|Wrote|Maintained|Refactored|Troubleshot|Coordinated|Partnered|Worked|"
@@ -96,7 +96,7 @@ _ALL = frozenset(h for names in HEADINGS.values() for h in names)
 
 
 def is_place(text: str) -> bool:
-    return not text or bool(_PLACE.fullmatch(text) or re.fullmatch("[A-Z]{2}", text)) or bool(_CITY.fullmatch(text) and not _LOCAL_ROLE.search(text))
+    return not text or bool(_PLACE.match(text)) or bool(_CITY.match(text) and not _LOCAL_ROLE.search(text))
 
 
 def no_title(text: str) -> bool:
@@ -172,7 +172,7 @@ def header(line: str, date: re.Match) -> Role:
     if "|" in after:
         parts = _parts(after, "|")
         title = parts[0] if parts and not no_title(parts[0]) else title
-    elif after and not _DATES.fullmatch(after) and not no_title(after):
+    elif after and not _ONLY_DATES.match(after) and not no_title(after):
         title = after
     if not title and " at " in before.lower():
         left, right = re.split(r"(?i)\s+at\s+", before, maxsplit=1)

@@ -16,6 +16,7 @@ _STREAM = re.compile(rb"^(.*?)\bstream\r?\n(.*?)(?:\r?\n)?\bendstream\b", re.S)
 _REF = re.compile(rb"(\d+)\s+(\d+)\s+R\b")
 _TOKEN = re.compile(
     rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]*|[+-]?(?:\d+\.?\d*|\.\d+)|[A-Za-z'\"*]+[0-9*]?|<<|>>|%[^\r\n]*", re.S)
+_NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)\Z")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 #: Thousandths of the font's size that make a gap in a TJ array a space.
 GAP = 200
@@ -128,7 +129,7 @@ def page_text(content: bytes) -> str:
             if token[:1] != b"%":
                 stack.append(token)
             continue
-        number = lambda i: float(stack[i]) if len(stack) >= -i and re.fullmatch(rb"[+-]?[\d.]+", stack[i]) else 0.0
+        number = lambda i: float(stack[i]) if len(stack) >= -i and _NUMBER.match(stack[i]) else 0.0
         if token == b"BT":
             moved(height if height is None else 0.0)
         elif token in (b"Td", b"TD"):
@@ -143,7 +144,7 @@ def page_text(content: bytes) -> str:
             for part in stack[len(stack) - stack[::-1].index(b"[") :]:
                 if part[:1] in (b"(", b"<"):
                     line += _string(part)
-                elif re.fullmatch(rb"[+-]?[\d.]+", part) and float(part) <= -GAP and not line.endswith(" "):
+                elif _NUMBER.match(part) and float(part) <= -GAP and not line.endswith(" "):
                     line += " "
         stack = []
     return "\n".join(x.strip() for x in [*lines, line] if x.strip())

@@ -28,7 +28,7 @@ def got(spark, sources, candidates):
     return sorted((tuple(r) for r in df.select("g", "s", "c").collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_equals_the_loop(spark, seed):
     rng = random.Random(seed)
     firms = ["", "acme", "acmecorp", "corp", "litware", "lit", "northwindtraders", "northwind"]
