@@ -8,6 +8,7 @@ the ASCII class; letters outside ASCII drop out of keys (``alnum_key``) unless
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ def alnum_key(c: Column, unicode: bool = False) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+" if unicode else "[^a-z0-9]+", "")
 
 
+def part_of(share: float, n: Column) -> Column:
+    """A share of a whole number, exact: in double precision 0.55 * 100 is more than 55, and so fails what reaches 55."""
+    return F.lit(Decimal(str(share))) * n.cast("long")
+
+
 def squash(c: Column) -> Column:
     """White-space runs become one space, none at the ends; bullet glyphs at the start go."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"^[\s•*·-]+", ""), r"\s+", " "))

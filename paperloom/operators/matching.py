@@ -108,7 +108,7 @@ def grounded_pairs(claims: DataFrame, facts: DataFrame, share: float = 0.45, lea
     a = claims.select("claim", content_tokens(F.col("text")).alias("t")).withColumn("n", F.size("t").cast("long")).select("claim", "n", F.explode("t").alias("token"))
     b = facts.select("fact", F.explode(content_tokens(F.col("text"))).alias("token"))
     met = a.join(b, "token").groupBy("claim", "n", "fact").agg(F.count(F.lit(1)).alias("hits"))
-    return met.where(F.col("hits") >= F.greatest(F.lit(least), F.floor(share * F.col("n")))).select("claim", "fact", "hits", "n")
+    return met.where(F.col("hits") >= F.greatest(F.lit(least), F.floor(T.part_of(share, F.col("n"))))).select("claim", "fact", "hits", "n")
 
 
 def prefix_traced(rows: DataFrame, source: DataFrame, text: str, length: int = 60) -> DataFrame:
@@ -155,4 +155,4 @@ def contained_in_source(rows: DataFrame, source: DataFrame, whole: str, part: st
 def lost_details(source: DataFrame, output: DataFrame, key: str, least: int = 4, share: float = 0.6, floor: int = 3) -> DataFrame:
     """Keys with at least ``least`` source details of which the output has fewer than max(floor, int(share × source))."""
     joined = source.groupBy(key).agg(F.count(F.lit(1)).alias("n_source")).join(output.groupBy(key).agg(F.count(F.lit(1)).alias("n_output")), key)
-    return joined.where((F.col("n_source") >= least) & (F.col("n_output") < F.greatest(F.lit(floor), F.floor(share * F.col("n_source")))))
+    return joined.where((F.col("n_source") >= least) & (F.col("n_output") < F.greatest(F.lit(floor), F.floor(T.part_of(share, F.col("n_source"))))))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import text as T
+
 #: Words that raise a line's score (fixed values): verbs of work, common technologies, and words of high signal.
 VERBS = ("led", "architected", "designed", "implemented", "developed", "optimized", "delivered", "built", "engineered")
 TECHNOLOGIES = ("aws", "azure", "kafka", "kubernetes", "spring", "microservices", "react", "angular", "python", "java")
@@ -128,7 +130,7 @@ def covered(text: Column, other: Column, share: float = 0.45, least: int = 3) ->
 
     mine = content_tokens(text)
     hits = F.size(F.array_intersect(mine, content_tokens(other)))
-    return (F.length(other) >= F.greatest(F.lit(80), 0.55 * F.length(text))) & (hits >= F.greatest(F.lit(least), F.floor(share * F.size(mine))))
+    return (F.length(other) >= 80) & (F.length(other) >= T.part_of(0.55, F.length(text))) & (hits >= least) & (hits >= F.floor(T.part_of(share, F.size(mine))))
 
 
 

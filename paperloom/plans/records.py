@@ -233,7 +233,7 @@ def repeated_edge_lines(rows: DataFrame, group: str, share: float, n: int = 3, l
     """Lines, anywhere, whose normalized text stands among the first or last n of at least max(least, int(share × documents)) documents of a group."""
     k = rows.withColumn("k", T.alnum_key(F.col("line")))
     docs = rows.groupBy(group).agg(F.countDistinct("doc_id").alias("docs"))
-    often = L.numbered(k, n).where("k <> ''").groupBy(group, "k").agg(F.count(F.lit(1)).alias("n")).join(docs, group).where(F.col("n") >= F.greatest(F.lit(least), F.floor(share * F.col("docs"))))
+    often = L.numbered(k, n).where("k <> ''").groupBy(group, "k").agg(F.count(F.lit(1)).alias("n")).join(docs, group).where(F.col("n") >= F.greatest(F.lit(least), F.floor(T.part_of(share, F.col("docs")))))
     return k.join(often.select(group, "k"), [group, "k"], "left_semi").select(group, "doc_id", "ln", "line")
 
 
