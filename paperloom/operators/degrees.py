@@ -20,7 +20,8 @@ _KINDS = "University|College|Institute|School|Academy|IIT|NIT|IIIT|IIM|BITS"
 _SCHOOL = re.compile(rf"((?:{_NAME}\s+){{0,8}}(?:{_KINDS}){_NOTE}(?:\s+of\s+{_NAME}{_NOTE}(?:\s+{_NAME}){{0,6}})?{_NOTE}(?:\s+(?:at\s+)?{_NAME}){{0,4}})")
 _SCHOOL_WORD = re.compile(rf"(?i)\b({_KINDS})\b")
 _AT = re.compile(r"(?i)\b((?:bachelor|master|masters|phd|mba|b\.?tech|m\.?tech|bachelors|ms|bs|ba|ma)[^@]{0,60}?)\s*@\s*(.+)$")
-_YEAR = re.compile(r"\b(19\d{2}|20\d{2})\b")
+#: A number behind "No" or "#" is no year.
+_YEAR = re.compile(r"(?<!\b[Nn][Oo] )(?<!\b[Nn][Oo]\. )(?<!#)\b(19\d{2}|20\d{2})\b")
 _GRADE = re.compile(r"(?i)(?:cgpa|gpa|percentage)[\s:]*([\d.]+(?:\s*/\s*\d+)?)")
 _GLUED = ((re.compile(r"(?i)\b(University|College|Institute|School|Academy|Masters?|Bachelors?)of\b"), r"\1 of"), (re.compile(r"(?i)\b(Technology|Engineering|Management|Science|Studies)\("), r"\1 ("))
 _BROKEN = ((re.compile(r"(?i)\btech\s+nology\b"), "Technology"), (re.compile(r"(?i)\bengi\s+neering\b"), "Engineering"))

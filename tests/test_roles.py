@@ -184,3 +184,13 @@ Not – A project
     assert [(r.name, r.technologies, r["items"]) for r in got] == [
         ("RetrieveIQ – Search over papers", ["Python", "Redis"], ["Reads papers and ranks them."]), ("PredictAI–Loan scores", [], ["Scored loans with care.", "Held up well in use."]),
         ("StoreKit - Small shop", [], ["Sold things"]), ("Plain Title", [], ["Work"])]
+
+
+def test_numbers_of_diplomas_are_no_years(spark):
+    got = degrees.education(lines_of(spark, """EDUCATION
+Diploma No 1925
+College of Trade
+in 1935
+Diploma No. 2004, 2009
+""")).orderBy("rec").collect()
+    assert [(r.degree, r.year, r.details) for r in got] == [("Diploma No 1925", "1935", []), ("Diploma No. 2004", "2009", [])]
