@@ -287,3 +287,17 @@ def test_shares_of_whole_numbers_are_exact(spark):
     rows = [(n, words.ljust(n, "."), words.ljust(k, ".")) for n, k in ((200, 110), (180, 99), (200, 109))]
     df = spark.createDataFrame(rows, "n long, body string, head string")
     assert [r.c for r in df.select(ranking.covered(F.col("body"), F.col("head")).alias("c")).collect()] == [True, True, False]
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    from types import SimpleNamespace
+
+    from paperloom.plans.records import style_profile
+
+    # the mean is 1.85; doubles added in this order fall short of it
+    values = [(0, 1.87), (1, 2.91), (2, 1.73), (3, 0.89)]
+    for order in (values, values[::-1]):
+        data = [(i, 1, "view", v) for i, v in order] + [(9, 2, "view", float("nan"))]
+        events = spark.createDataFrame(data, "t long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("t")).coalesce(1)
+        got = {r.user_id: r.mean_value for r in style_profile(SimpleNamespace(events=events)).collect()}
+        assert got[1] == 1.9 and got[2] != got[2]
