@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import dropped, written
 from .dedupe import least_reachable, shared_token_pairs
 from .ranking import SIGNALS
 
@@ -177,10 +177,11 @@ def choose(items: DataFrame) -> DataFrame:
         ready = judged.where("ready")
         moved = ready.where("takes").select(F.col("holder").alias("id"), F.col("id").alias("taken"))
         fate = judged.select("id", "ready", F.coalesce("s", "id").alias("got"), (F.col("s").isNull() | F.coalesce("takes", F.lit(False))).alias("wins"), F.least("id", "s", "wait").alias("bound"))
-        nodes = written(
+        last, nodes = nodes, written(
             nodes.join(fate, "id", "left").join(moved, "id", "left").select(
                 "id", (F.col("done") | F.coalesce("ready", F.lit(False))).alias("done"), F.when(F.col("ready"), F.col("wins")).otherwise(F.col("held")).alias("held"),
                 F.when(F.col("ready"), F.col("got")).otherwise(F.col("slot")).alias("slot"), F.coalesce("taken", "until").alias("until"), F.greatest("low", F.coalesce("bound", "low")).alias("low")))
+        dropped(last, judged)
     settled = nodes.select("id", "slot", (F.col("held") & F.col("until").isNull()).alias("kept"))
     chosen = first.join(settled, "id", "left").select("same", F.col("id").alias("first"), F.coalesce("slot", "id").alias("slot"), F.coalesce("kept", F.lit(True)).alias("kept"))
     return keyed.select("id", "same").join(chosen, "same").select("id", "slot", (F.col("kept") & (F.col("id") == F.col("first"))).alias("kept"))

@@ -140,3 +140,25 @@ def test_classes_count_links_without_pairs(spark):
     got = {r.id: (r.class_id, r.n_links) for r in dedupe.near_classes(spark.createDataFrame(rows, "id long, tokens array<string>"), 0.58).collect()}
     # a-b: 4/6, b-c: 4/6, a-c: 3/7
     assert got == {5: (1, 2), 3: (1, 2), 9: (1, 3), 1: (1, 1), 7: (7, 0), 8: (8, 0), 4: (4, 0)}
+
+
+def test_pairs_in_slices_equal_brute_force(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    base = [draw.sample(range(60), draw.randint(1, 40)) for _ in range(12)]
+    sets = [[f"t{x}" for x in {*b, *draw.sample(range(60), draw.randint(0, 12))} - set(draw.sample(b, draw.randint(0, len(b) // 3)))] for b in base for _ in range(8)]
+    sets += [sets[0], sets[0], sets[5], [], []]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    rounds = []
+    monkeypatch.setattr(dedupe, "round", lambda x: rounds.append(x) or 3, raising=False)
+    for t in (0.58, 0.42, 0.18):
+        want = set()
+        for i, a in enumerate(sets):
+            for j in range(i + 1, len(sets)):
+                common, total = len({*a} & {*sets[j]}), len({*a} | {*sets[j]})
+                if common and 100 * common >= round(100 * t) * total:
+                    want.add((i, j, common, total))
+        assert {tuple(r) for r in dedupe.shared_token_pairs(df, t).collect()} == want
+        assert sorted(tuple(r) for r in dedupe.near_pairs(df, t).collect()) == sorted(want)
+    assert len(rounds) == 12
