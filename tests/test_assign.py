@@ -64,3 +64,11 @@ def test_a_group_of_100000(spark):
 
 def test_empty_tables(spark):
     assert got(spark, [], []) == [] and got(spark, [(1, 1, "a", "b")], []) == [(1, 1, None)] and got(spark, [], [(1, 1, "a", "b")]) == []
+
+
+def test_nothing_is_broadcast(spark):
+    rows = spark.createDataFrame([(1, 1, "lead", "firma"), (1, 2, "lead", "firma")], SCHEMA)
+    more = spark.createDataFrame([(1, 7, "leader", "firmagroup"), (1, 8, "lead", "firma")], SCHEMA)
+    got = assign.assign_first_free(rows, more)
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 7), (1, 2, 8)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
