@@ -76,8 +76,7 @@ def role_records(t: Tables) -> DataFrame:
     blocks = written.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "block"))).alias("r"))
     around = lambda *x: F.array(*[F.lit(v) for v in x])
     text = F.concat(around("A Customer", "PROFESSIONAL EXPERIENCE", ""), F.flatten("r.block"), around("", "EDUCATION", "Diploma 2001 - 2003", "School of Trade"))
-    rows = blocks.select("doc_id", F.posexplode(text).alias("ln", "line"))
-    got = roles.roles(roles.section_of(rows, "experience"))
+    got = roles.section_roles(blocks.select("doc_id", text.alias("lines")), "experience")
     return got.select("doc_id", "rec", "title", "company", "location", "duration", F.array_join("technologies", ", ").alias("technologies"), F.array_join("items", " / ").alias("items"))
 
 

@@ -194,3 +194,48 @@ in 1935
 Diploma No. 2004, 2009
 """)).orderBy("rec").collect()
     assert [(r.degree, r.year, r.details) for r in got] == [("Diploma No 1925", "1935", []), ("Diploma No. 2004", "2009", [])]
+
+
+ODD = """٢٠١٩ Skills of mine
+Ex-perience
+Lead 1 | Firm 1 Jan 2019 – Mar 2020
+• did one
+and more
+E-nvironment: Java, Go
+Gap  Period 2018 - 2019
+　● Firm 2, Pune\x0b2019 - 2020
+Lead 3 at Firm 3 ٢٠١٩ - ٢٠٢٠
+Total experience: 5 years
+WORK EXPERIENCE
+Developer
+Firm 4 2016/2017
+- Work
+SKİLLS
+PROJECTS
+Lead 9 | Firm 9 Jan 2001 - Mar 2002"""
+
+
+def test_rows_of_lines_give_what_sorted_lines_give_without_a_shuffle(spark):
+    """Whole documents, with nulls, need no window, shuffle or sort; dates out of the section, and none in it, are told apart."""
+    texts = [DATED, ODD, "EXPERIENCE\nnone\nPROJECTS\nDeveloper | Firm 2019 - 2020\n- Work", "", "Firm 2019 - 2020\n- Work\nEXPERIENCE", ODD.replace("Ex-perience\n", "")]
+    docs = spark.createDataFrame([(i, [x or None for x in t.split("\n")]) for i, t in enumerate(texts)] + [(99, None), (None, ["Firm 2019 - 2020", "Lead"])], "doc_id long, lines array<string>")
+    want = roles.roles(roles.section_of(docs.select("doc_id", F.posexplode("lines").alias("ln", "line")), "experience"))
+    got = roles.section_roles(docs, "experience")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 8
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Exchange", "Sort"))
+
+
+def test_role_records_marks_sections_as_it_reads(spark, sf_dir):
+    """Neither windows over lines nor a line a row: both cost more than all else."""
+    from paperloom import catalog
+
+    plan = catalog.QUERIES["role_records"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+
+
+def test_marks_leave_no_line_out():
+    import pyarrow as pa
+
+    lines = ["• built 12 things", "jan 2020 TO mar 2021", "1999\t/ 2001", "٢٠١٩ - ٢٠٢٠", " E-X perience", "ex-perience", "gap  period", "ſkills", None]
+    assert roles.marks(pa.array(lines)) == ([False, True, True, True, False, False, False, True, True], [False, False, False, True, False, True, True, True, True])
