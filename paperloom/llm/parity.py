@@ -19,8 +19,8 @@ passages that very many otherwise different documents share out of the join.
 Documents with equal sets are tied first and one of them stands for all. Inside a key's group the first document is a
 hub; hub pairs that pass the size and bit-parity tests are verified on the texts,
 one pair of each document first and then those that are still in two components.
-Documents of keys whose documents are then still in several components meet a few drawn ones of their key, of which the nearest
-is verified; keys that this leaves in several components are joined in full across components, in blocks, with the size and parity bounds as
+Documents of keys whose documents are then still in several components meet a few drawn ones of their key (unless all their pairs are few),
+of which the nearest is verified; keys that this leaves in several components are joined in full across components, in blocks, with the size and parity bounds as
 join conditions, and verified too: no link between components is missed.
 Documents of one batch with a common key meet their hub before the shuffle, so
 a group of copies costs a shuffled row per batch, not per copy.
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import Scratch, gram_hashes, lean, mix, signed, slices, small, text_buffer, word_hashes, word_spans
-from .components import components
+from .components import components, extended, labelled
 
 #: Longs in a document's bit-parity sketch (64 bits each).
 SKETCH = 16
@@ -59,6 +59,8 @@ WHOLE = 2
 BLOCK = 256
 #: Rounds in which the documents of open keys meet further hubs, and hubs drawn from each key in a round.
 ROUNDS, DRAWS = 2, 4
+#: Open keys with no more pairs of documents are joined in full at once.
+FEW_PAIRS = 20_000_000
 
 
 class Bands:
@@ -301,14 +303,15 @@ def meet(keys: DataFrame) -> DataFrame:
 
 
 def one_of_equals(met: DataFrame, sigs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(links, rows): the ties (u, v) of equal sets, and met without them, where each document stands for all with its set."""
+    """(found, rows): the components (node, component) of equal sets, stored, and met without their ties, where each document stands for
+    all with its set."""
     side = F.col("key").bitwiseAND(F.lit(3))
     digest = sigs.select("doc_id", F.struct("n", "d1", "d2").alias("d")).distinct()
     ties = met.where((side == WHOLE) & (F.col("doc_id") != F.col("hub"))).select(F.greatest("doc_id", "hub").alias("u"), F.least("doc_id", "hub").alias("v")).distinct()
     a, b = digest.select(F.col("doc_id").alias("u"), F.col("d").alias("du")), digest.select(F.col("doc_id").alias("v"), F.col("d").alias("dv"))
     links = scratch.store(ties.join(a, "u").join(b, "v").where("du = dv").select("u", "v").distinct(), "same")
-    copies = components(links, scratch).where("node <> component")
-    copies = small(scratch.store(copies, "copies"))
+    found = scratch.store(components(links, scratch), "components")
+    copies = small(scratch.store(found.where("node <> component"), "copies"))
 
     def stand_in(rows: DataFrame, column: str) -> DataFrame:
         there = copies.select(F.col("node").alias(column), F.col("component").alias("_rep"))
@@ -316,7 +319,7 @@ def one_of_equals(met: DataFrame, sigs: DataFrame, scratch: Scratch) -> tuple[Da
 
     # a key's rows are in one partition of met, so that copies fall together before the shuffle
     rows = stand_in(stand_in(met.where((side != WHOLE) & F.col("doc_id").isNotNull()), "doc_id"), "hub")
-    return links, rows.select("key", "doc_id", "hub").distinct()
+    return found, rows.select("key", "doc_id", "hub").distinct()
 
 
 def leave_out(rows: DataFrame, hot: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -337,6 +340,8 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scr
 
     A text of u goes to its pair's group, the text of v goes to each group of at most about BLOCK pairs of v, once.
     """
+    if pairs.isEmpty():
+        return pairs.select("u", "v")
     groups = scratch.store(pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("v", F.ceil(F.col("n") / BLOCK).alias("groups")), "groups")
     dealt = pairs.join(small(groups), "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("groups", F.lit(1).cast("long"))).alias("part"))
     wanted = dealt.select(F.col("u").alias("doc_id"), "v", "part", F.lit(True).alias("member")).unionByName(
@@ -394,6 +399,12 @@ def _drawn_hubs(member: DataFrame, seed: int) -> DataFrame:
     return pairs.select(F.greatest("doc_id", "h.doc_id").alias("u"), F.least("doc_id", "h.doc_id").alias("v")).distinct()
 
 
+def _open_pairs(member: DataFrame) -> int:
+    """Pairs, either way round, of the documents of all keys that are in several components."""
+    keys = member.groupBy("key").agg(F.count(F.lit(1)).cast("decimal(19,0)").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return int(keys.where("low < high").agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0)
+
+
 def _wide_near(pairs: DataFrame, sigs: DataFrame, bands: Bands) -> DataFrame:
     """The pairs (u, v, ...) that pass the bit-parity bound of their wide sketches, where both have one. Linked sets differ little in
     size, so their sketches are equally long or one has twice the other's length."""
@@ -410,14 +421,9 @@ def _wide_near(pairs: DataFrame, sigs: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(a, "u", "left").join(b, "v", "left").where(F.col("_wu").isNull() | F.col("_wv").isNull() | fits).select(*pairs.columns).distinct()
 
 
-def _component(rows: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
-    there = found.select(F.col("node").alias(column), F.col("component").alias(name))
-    return rows.join(there, column, "left").withColumn(name, F.coalesce(name, column))
-
-
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs whose ends are in two components."""
-    return _component(_component(pairs, found, "u", "_cu"), found, "v", "_cv").where("_cu <> _cv").drop("_cu", "_cv")
+    return labelled(labelled(pairs, found, "u", "_cu"), found, "v", "_cv").where("_cu <> _cv").drop("_cu", "_cv")
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: float = 1.5, scratch: Scratch | None = None) -> DataFrame:
@@ -429,7 +435,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
     sigs = scratch.store(sign(docs, k, bands), "sigs")
     met = scratch.store(meet(part_rows(docs, k, bands)), "met")
     hot = small(scratch.store(met.where("doc_id is null").select("key", F.col("hub").alias("heads")), "hot"))
-    same, rows = one_of_equals(met, sigs, scratch)
+    found, rows = one_of_equals(met, sigs, scratch)
     shared = scratch.store(leave_out(rows, hot, sigs), "shared")
     scratch.drop(met)
 
@@ -438,18 +444,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
     tried = hubs.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).where(_near(bands, "a", "b"))
     tried = scratch.store(tried.select("u", "v", _differ("a", "b").alias("differ")), "tried")
 
-    links = [same]
     unlike = scratch.store(_wide_near(tried, sigs, bands), "unlike")
-    found = scratch.store(components(same, scratch), "components")
     # first the nearest hub of each document, then those that this leaves in another component
     for nearest in (True, False):
         rest = _apart(unlike, found)
         if nearest:
             rest = rest.groupBy("u").agg(F.min_by("v", F.struct("differ", "v")).alias("v"))
         rest = scratch.store(rest.select("u", "v").distinct(), "rest")
-        links.append(verify(rest, docs, k, percent, scratch))
+        found = extended(found, verify(rest, docs, k, percent, scratch), scratch)
         scratch.drop(rest)
-        found = scratch.store(components(functools.reduce(DataFrame.unionByName, links), scratch), "components")
 
     # A key's rows tie all its documents to each other through hubs, so its documents are in one component
     # unless a row's ends are in two. The documents of those keys meet further hubs of theirs, then each other, across components.
@@ -459,18 +462,19 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
     open_keys = scratch.store(shared.join(split, tie).select("key").distinct(), "open")
     ties = shared.where("doc_id <> hub").join(small(open_keys), "key", "left_semi")
     member = ties.select("key", F.explode(F.array("doc_id", "hub")).alias("doc_id")).distinct()
-    member = scratch.store(_component(member, found, "doc_id", "component"), "members")
+    member = scratch.store(labelled(member, found, "doc_id", "component"), "members")
     scratch.drop(shared)
     tested = [tried.select("u", "v")]
     for seed in range(ROUNDS):
+        if _open_pairs(member) <= FEW_PAIRS:
+            break
         drawn = scratch.store(_drawn_hubs(member, seed).join(functools.reduce(DataFrame.unionByName, tested), ["u", "v"], "left_anti"), "drawn")
         near = drawn.join(a, F.col("u") == F.col("a.doc_id")).join(b, F.col("v") == F.col("b.doc_id")).where(_near(bands, "a", "b")).select("u", "v", _differ("a", "b").alias("differ"))
         near = _wide_near(near, sigs, bands).groupBy("u").agg(F.min_by("v", F.struct("differ", "v")).alias("v"))
         tested.append(scratch.store(near.select("u", "v"), "nearest"))
         scratch.drop(drawn)
-        links.append(verify(tested[-1], docs, k, percent, scratch))
-        found = scratch.store(components(functools.reduce(DataFrame.unionByName, links), scratch), "components")
-        before, member = member, scratch.store(_component(member.select("key", "doc_id"), found, "doc_id", "component"), "members")
+        found = extended(found, verify(tested[-1], docs, k, percent, scratch), scratch)
+        before, member = member, scratch.store(labelled(member.select("key", "doc_id"), found, "doc_id", "component"), "members")
         scratch.drop(before)
     # two documents of a key are a hub and its member, which have been tried
     blocks = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("n > 2 and low < high")
@@ -484,9 +488,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, band: flo
     pairs = scratch.store(pairs.join(functools.reduce(DataFrame.unionByName, tested), ["u", "v"], "left_anti"), "pairs")
     scratch.drop(tried, member)
     pairs = scratch.store(_wide_near(pairs, sigs, bands), "near")
-    late = verify(pairs, docs, k, percent, scratch)
-    if not late.isEmpty():
-        found = components(functools.reduce(DataFrame.unionByName, [*links, late]), scratch)
+    found = extended(found, verify(pairs, docs, k, percent, scratch), scratch)
     return (
         sigs.select("doc_id", F.col("n").alias("n_shingles"))
         .join(found, F.col("doc_id") == F.col("node"), "left")

@@ -623,3 +623,20 @@ def test_empty_tables(op, docs, labels, spark):
         "warc": lambda: warc.archive(spark.createDataFrame([], "page_id long, url string, html string")),
     }[op]()
     assert out.count() == 0
+
+
+def test_later_links_tie_known_components(spark):
+    """extended() says what components() says of all links; stars take no round, and links inside components take nothing."""
+    from paperloom.llm.common import Scratch
+    from paperloom.llm.components import components, extended
+
+    kind, scratch = "u long, v long", Scratch(spark, "extended")
+    table = lambda rows: scratch.store(spark.createDataFrame(rows, kind), "rows")
+    plain_of = lambda df: sorted(tuple(r) for r in df.collect())
+    first, then = [(2, 1), (3, 1), (12, 11), (21, 20), (22, 21), (23, 22)], [(3, 30), (31, 30), (30, 12), (41, 40), (2, 3), (23, 20), (5, 5)]
+    found = scratch.store(components(table(first), scratch), "found")
+    assert plain_of(found) == sorted([(x, 1) for x in (1, 2, 3)] + [(11, 11), (12, 11)] + [(x, 20) for x in (20, 21, 22, 23)])
+    got = extended(found, table(then), scratch)
+    assert plain_of(got) == plain_of(components(table(first + then), scratch))
+    assert extended(got, table([(2, 12), (40, 41)]), scratch) is got
+    assert plain_of(extended(scratch.store(found.limit(0), "none"), table(first), scratch)) == plain_of(found)
