@@ -60,7 +60,7 @@ BLOCK = 256
 #: Rounds in which the documents of open keys meet further hubs, and hubs drawn from each key in a round.
 ROUNDS, DRAWS = 2, 4
 #: Open keys with no more pairs of documents are joined in full at once.
-FEW_PAIRS = 20_000_000
+FEW_PAIRS = 200_000
 
 
 class Bands:

@@ -640,3 +640,15 @@ def test_later_links_tie_known_components(spark):
     assert plain_of(got) == plain_of(components(table(first + then), scratch))
     assert extended(got, table([(2, 12), (40, 41)]), scratch) is got
     assert plain_of(extended(scratch.store(found.limit(0), "none"), table(first), scratch)) == plain_of(found)
+
+
+def test_draws_change_no_component(spark, monkeypatch):
+    """Few open pairs are joined at once; with draws, whatever their number, the components are the same."""
+    from paperloom.llm import parity
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: 57 - i % 3], *(f"x{i}y{j}" for j in range(i % 7))])) for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    straight = sorted(map(tuple, parity.jaccard_components(df).collect()))
+    monkeypatch.setattr(parity, "FEW_PAIRS", -1)
+    assert sorted(map(tuple, parity.jaccard_components(df).collect())) == straight
