@@ -2,7 +2,7 @@
 
 Tokens come from a word-level vocabulary whose pieces (words, single digits,
 punctuation runs) are encoded one by one and never cross white space, so each
-worker keeps the ids of the runs it has met; texts outside plain Latin letters go to the tokenizer whole.
+task keeps the ids of the runs it has met; texts outside plain Latin letters go to the tokenizer whole.
 
 Packing sees lengths only. The documents' pieces are dealt to groups of about
 ``group_docs`` documents by hash; a group's pieces come in the order of their ids to an online best-fit of bounded space:
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ _NEVER[0x80:0xC0] = False
 _NEVER[0xC2:0xC6] = False
 #: The vocabulary's own splitting rule (fixed value).
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: White-space runs, and pieces, that a worker remembers at most (about 40 MB each).
+#: White-space runs, and pieces, that a task remembers at most (in about 15 and 50 MB).
 _REMEMBER = 250_000
 
 
@@ -48,8 +49,8 @@ class Encoder:
     """Ids of texts under a tokenizer file.
 
     Pieces never cross white space, so the ids of a lower-cased white-space run
-    are kept under its 64-bit hash, and a batch is put together from them with
-    array operations. Runs not met before are cut into pieces; a piece goes to
+    are kept under its 64-bit hash (in sorted arrays: a dictionary takes ten times
+    their room), and a batch is put together from them with array operations. Runs not met before are cut into pieces; a piece goes to
     the tokenizer's model once. Texts with other characters are encoded whole.
     """
 
@@ -64,43 +65,42 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.codes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.lo, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         if len(self.of_piece) >= _REMEMBER:
             self.of_piece.clear()
-        got = self.of_piece[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.symbol))]
+        got = self.of_piece[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.symbol))]).tobytes()
         return got
 
-    def _learn(self, codes: list[int], runs: list[str]) -> np.ndarray:
+    def _learn(self, runs: list[str]) -> np.ndarray:
         """Slots of runs not met before."""
-        ids: list[int] = []
+        ids = bytearray()
         ends: list[int] = []
         known, pieces = self.of_piece.get, self.pieces
         for run in runs:
             for piece in pieces(run):
                 ids += known(piece) or self._piece(piece)
-            ends.append(len(ids))
-        first, n, end = len(self.known), len(runs), self.used + len(ids)
-        self.known.update(zip(codes, range(first, first + n), strict=True))
+            ends.append(len(ids) // 4)
+        first, n, end = len(self.codes), len(runs), self.used + len(ids) // 4
         while first + n > len(self.lo):
             self.lo, self.n = np.resize(self.lo, 2 * len(self.lo)), np.resize(self.n, 2 * len(self.n))
         while end > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : end] = ids
+        self.flat[self.used : end] = np.frombuffer(ids, np.uint32)
         cuts = np.array([0, *ends])
         self.lo[first : first + n], self.n[first : first + n] = self.used + cuts[:-1], np.diff(cuts)
         self.used = end
-        return np.arange(first, first + n)
+        return np.arange(first, first + n, dtype=np.int32)
 
     def many(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a string column."""
-        if len(self.known) > _REMEMBER:
+        if len(self.codes) > _REMEMBER:
             self.forget()
         texts = pc.fill_null(column.cast(pa.large_string()), "")
         raw, offsets, _ = text_buffer(texts)
@@ -114,13 +114,17 @@ class Encoder:
         raw, offsets, _ = text_buffer(pc.utf8_lower(plain))
         starts, ends, first = word_spans(raw, offsets)
         codes, at, inverse = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        known = self.known
-        slot = np.array([known.get(c, -1) for c in codes.tolist()], np.int64)
+        place = np.searchsorted(self.codes, codes)
+        slot = np.full(len(codes), -1, np.int32)
+        there = np.flatnonzero(place < len(self.codes))
+        there = there[self.codes[place[there]] == codes[there]]
+        slot[there] = self.slots[place[there]]
         new = np.flatnonzero(slot < 0)
         if len(new):
             data = raw.tobytes()
             runs = [data[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-            slot[new] = self._learn(codes[new].tolist(), runs)
+            slot[new] = self._learn(runs)
+            self.codes, self.slots = np.insert(self.codes, place[new], codes[new]), np.insert(self.slots, place[new], slot[new])
         slot = slot[inverse]
         n = self.n[slot]
         total = np.concatenate(([0], np.cumsum(n)))
@@ -157,22 +161,12 @@ def _odd(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, np.flatnonzero(bad), side="right") - 1)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One per worker process: what it has learnt serves its later tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of docs(doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
+        code = Encoder(tokenizer)  # of this task: one kept by the worker would stand beside all later stages' memory
         tail = np.array([end_id], np.uint32)
         for batch in batches:
             _, offsets, _ = text_buffer(batch.column(1))

@@ -473,8 +473,8 @@ def training_texts(docs: DataFrame, bound: int, train_bytes: int = 16 << 20) ->
 def _found(column: pa.Array, field: Field | None) -> Iterator[tuple[int, int, list[str], list[tuple[list, list]]]]:
     """Slices of a batch: bounds, texts, spans. Texts without a digit or an @ have none of either kind."""
     raw, offsets, _ = text_buffer(column)
-    mark = np.concatenate(([0], np.cumsum((raw == 64) | ((raw >= 48) & (raw <= 57)))))
-    some = mark[offsets[1:]] > mark[offsets[:-1]]
+    mark = np.flatnonzero((raw == 64) | ((raw >= 48) & (raw <= 57)))  # few: a running count of all bytes takes sixteen times the batch
+    some = np.diff(np.searchsorted(mark, offsets)) > 0
     for lo, hi in slices(offsets):
         at = np.flatnonzero(some[lo:hi])
         texts = column.slice(lo, hi - lo).take(pa.array(at)).to_pylist()

@@ -1,8 +1,10 @@
 """Each operator on nasty rows: nulls, empty and long texts, ties, repeats, empty tables, clashing extra columns."""
 
+import gc
 import hashlib
 import inspect
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -421,6 +423,29 @@ def test_encoder_equals_the_library():
     assert [g.tolist() for g in got] == [code.whole(t or "").tolist() for t in texts]
 
 
+def test_encoder_keeps_little_and_workers_keep_no_encoder(spark):
+    code = pack.Encoder(TOKENIZER)
+    code.many(pa.array(["a b"]))
+    gc.collect()
+    tracemalloc.start()
+    texts = [" ".join(f"x{i}" for i in range(lo, lo + 10_000)) for lo in range(0, 100_000, 10_000)]
+    for t in texts:
+        got = code.many(pa.array([t]))[0]
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert got.tolist() == code.whole(texts[-1]).tolist()
+    assert held < 100 * 100_000
+
+    def encoders(batches):
+        for _ in batches:
+            yield pa.record_batch([pa.array([sum(type(x).__name__ == "Encoder" for x in gc.get_objects())], pa.int64())], names=["n"])
+
+    docs = spark.range(0, 64, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    assert pack.pack(docs, TOKENIZER).count() == 64
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(encoders, "n long").collect()} == {0}
+
+
 def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     fit = pack.BestFit(10, 2)
     assert [fit.place(n) for n in (6, 7, 3, 2)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
@@ -486,6 +511,17 @@ def suspects(spark, sf_dir):
     return found, piicrf.train(found[::2])
 
 
+def test_search_of_a_batch_takes_little_beside_its_text():
+    texts = pa.array([BASE.translate({c: 97 for c in range(48, 58)}) * 20] * 200 + ["a@b.example", None, "", "room 7", "@"], pa.large_string())
+    raw = sum(len(t or "") for t in texts.to_pylist())
+    tracemalloc.start()
+    got = [(bool(base), i in some) for lo, hi, some, spans in piicrf._found(texts, None) for i, (base, _) in enumerate(spans)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(False, False)] * 200 + [(True, True), (False, False), (False, False), (False, True), (False, True)]
+    assert raw > 3_000_000 and peak < 6 * raw
+
+
 def test_skip_edges_carry_labels_to_repetitions(suspects):
     field = suspects[1]
     clear, unclear = "call +1 (212) 555-0147 soon", "later 212 555 0147 again"
