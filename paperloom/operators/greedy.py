@@ -140,10 +140,52 @@ def near_edges(items: DataFrame) -> DataFrame:
     return found.unionByName(met).distinct().join(worth("a"), "a").join(worth("b"), "b").select("a", "b", up.alias("up"))
 
 
+#: Links of a component that one task folds; larger ones are decided by rounds.
+FOLDED = 1_000_000
+
+
+def folded(links: DataFrame) -> DataFrame:
+    """id, slot, kept of the items of links(part, a, b, up), each part in order of id. A part's links stream through a task; its items' slots are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, item, met, slot, held = None, None, None, {}, set()
+
+        def settle() -> None:
+            slot[item] = met[0] if met else item
+            if not met or met[2]:
+                held.add(item)
+                held.discard(met and met[1])
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(slot), pa.int64()), pa.array(list(slot.values()), pa.int64()), pa.array([i in held for i in slot], pa.bool_())], names=["id", "slot", "kept"])
+
+        for batch in batches:
+            for p, a, b, up in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b", "up")), strict=True):
+                if b != item or p != part:
+                    if item is not None:
+                        settle()
+                    if p != part:
+                        if part is not None:
+                            yield out()
+                        part, slot, held = p, {}, set()
+                    item, met = b, None
+                if a not in slot:
+                    slot[a] = a
+                    held.add(a)
+                if a in held and (met is None or slot[a] < met[0]):
+                    met = slot[a], a, up
+        if item is not None:
+            settle()
+            yield out()
+
+    return links.select("part", "a", "b", "up").repartition("part").sortWithinPartitions("part", "b", "a").mapInArrow(run, "id long, slot long, kept boolean")
+
+
 def choose(items: DataFrame) -> DataFrame:
     """id, slot, kept of all items: the slot that an item has met or opened, and whether it holds it in the end.
 
-    The lexicographically first choice by rounds over the near graph, with the same result as the fold in order of id.
+    Items that links do not join cannot touch one another: components of at most FOLDED links are folded in order of id, a component in a task.
+    Larger ones take the lexicographically first choice by rounds over the near graph, with the same result as the fold.
     An item is decided when every earlier neighbour that may still hold a slot at its turn is known, or when a neighbour surely
     holds one (no undecided item before it could take it) and no undecided neighbour can come by an earlier one. Items that would not take
     their holder's slot do not wait for one another, so a group of n copies takes a few rounds, and others about as many as
@@ -156,9 +198,25 @@ def choose(items: DataFrame) -> DataFrame:
     keyed = written(items.withColumn("same", digest))
     first = keyed.groupBy("same").agg(F.min("id").alias("id"))
     singles = written(keyed.join(first, ["same", "id"]).select("id", "tokens", "signals", "themes", "size", "score"))
-    edges = written(near_edges(singles))
-    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    low = least_reachable(ends, edges)
+    found = written(near_edges(singles))
+    part = least_reachable(_ends(found), found, both=True).select(F.col("id").alias("b"), F.col("low").alias("part"))
+    links = written(found.join(part, "b").select("part", "a", "b", "up"))
+    large = written(links.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FOLDED).select("part"))
+    settled = folded(links.join(large, "part", "left_anti"))
+    if large.limit(1).count():
+        settled = settled.unionByName(_by_rounds(links.join(large, "part", "left_semi").select("a", "b", "up")))
+    chosen = first.join(settled, "id", "left").select("same", F.col("id").alias("first"), F.coalesce("slot", "id").alias("slot"), F.coalesce("kept", F.lit(True)).alias("kept"))
+    return keyed.select("id", "same").join(chosen, "same").select("id", "slot", (F.col("kept") & (F.col("id") == F.col("first"))).alias("kept"))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """id, slot, kept of the items of edges(a, b, up), decided by rounds."""
+    edges = written(edges)
+    low = least_reachable(_ends(edges), edges)
     #: slot, until: of holders, and when another took the slot; low: no slot before it can come to the item
     none = F.lit(None).cast("long")
     nodes = written(low.select("id", F.lit(False).alias("done"), F.lit(False).alias("held"), none.alias("slot"), none.alias("until"), "low"))
@@ -182,6 +240,4 @@ def choose(items: DataFrame) -> DataFrame:
                 "id", (F.col("done") | F.coalesce("ready", F.lit(False))).alias("done"), F.when(F.col("ready"), F.col("wins")).otherwise(F.col("held")).alias("held"),
                 F.when(F.col("ready"), F.col("got")).otherwise(F.col("slot")).alias("slot"), F.coalesce("taken", "until").alias("until"), F.greatest("low", F.coalesce("bound", "low")).alias("low")))
         dropped(last, judged)
-    settled = nodes.select("id", "slot", (F.col("held") & F.col("until").isNull()).alias("kept"))
-    chosen = first.join(settled, "id", "left").select("same", F.col("id").alias("first"), F.coalesce("slot", "id").alias("slot"), F.coalesce("kept", F.lit(True)).alias("kept"))
-    return keyed.select("id", "same").join(chosen, "same").select("id", "slot", (F.col("kept") & (F.col("id") == F.col("first"))).alias("kept"))
+    return nodes.select("id", "slot", (F.col("held") & F.col("until").isNull()).alias("kept"))

@@ -162,3 +162,36 @@ def test_pairs_in_slices_equal_brute_force(spark, monkeypatch):
         assert {tuple(r) for r in dedupe.shared_token_pairs(df, t).collect()} == want
         assert sorted(tuple(r) for r in dedupe.near_pairs(df, t).collect()) == sorted(want)
     assert len(rounds) == 12
+
+
+def test_components_are_folded_and_large_ones_take_rounds(spark, monkeypatch):
+    """A chain that hands its slot on takes no rounds when it is folded: before, two tables a round."""
+    count, plain = [], greedy.written
+    monkeypatch.setattr(greedy, "written", lambda df: count.append(1) or plain(df))
+    chain = [(i, [f"t{i}", f"t{i + 1}", f"t{i + 2}", f"t{i + 3}"], [], [], 30, float(i)) for i in range(8)]
+    rows = chain + [(100 + r[0], *r[1:]) for r in items(5, 40, 12, 7, [0.0, 0.5, 1.0, 2.0])]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+    assert chosen(df) == with_copies(rows) and len(count) <= 5
+    monkeypatch.setattr(greedy, "FOLDED", 9)
+    assert chosen(df) == with_copies(rows) and len(count) > 10
+
+
+def test_blocks_equal_brute_force(spark, monkeypatch):
+    """Sets of many sizes in many blocks; counts above 255, and tokens frequent and rare."""
+    from paperloom.operators import overlap
+
+    draw = random.Random(4)
+    base = [draw.sample(range(3000), n) for n in (1, 2, 3, 9, 40, 41, 60, 90, 700)]
+    sets = [[f"t{x}" for x in {*b[: draw.randint((len(b) + 1) // 2, len(b))], *draw.sample(range(3000), draw.randint(0, len(b) // 3))}] for b in base for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>")
+    for name, value in (("BLOCK", 5_000), ("COPIES", 2), ("FREQUENT", 50)):
+        monkeypatch.setattr(dedupe, name, value)
+    monkeypatch.setattr(overlap, "MEET", 100)
+    for t in (0.58, 0.18):
+        want = set()
+        for i, a in enumerate(sets):
+            for j in range(i + 1, len(sets)):
+                common, total = len({*a} & {*sets[j]}), len({*a} | {*sets[j]})
+                if common and 100 * common >= round(100 * t) * total:
+                    want.add((i, j, common, total))
+        assert sorted(tuple(r) for r in dedupe.shared_token_pairs(df, t).collect()) == sorted(want)
