@@ -242,8 +242,10 @@ def style_profile(t: Tables) -> DataFrame:
     per = t.events.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("f"), F.sum("value").alias("s"))
     mode = F.max_by("event_type", F.struct("n", (-F.unix_micros(F.col("f").cast("timestamp"))).alias("f")))
     # a sum of doubles depends on the order of the rows, which decides means that lie halfway; a decimal sum does not
-    exact = F.sum(F.col("value").try_cast("decimal(28,10)"))
-    same = F.count(F.col("value").try_cast("decimal(28,10)")) == F.count("value")
+    # (of values that ten decimals write in full)
+    decimal = F.col("value").try_cast("decimal(28,10)")
+    exact = F.sum(decimal)
+    same = F.count(F.when(decimal.cast("double") == F.col("value"), 1)) == F.count("value")
     mean = t.events.groupBy("user_id").agg(F.round(F.when(same, exact.cast("double") / F.count("value")).otherwise(F.avg("value")), 1).alias("mean_value"))
     return per.groupBy("user_id").agg(mode.alias("main_type")).join(mean, "user_id")
 

@@ -301,3 +301,14 @@ def test_means_do_not_depend_on_the_order_of_rows(spark):
         events = spark.createDataFrame(data, "t long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("t")).coalesce(1)
         got = {r.user_id: r.mean_value for r in style_profile(SimpleNamespace(events=events)).collect()}
         assert got[1] == 1.9 and got[2] != got[2]
+
+
+def test_means_of_values_with_more_than_ten_decimals_are_not_cut(spark):
+    from types import SimpleNamespace
+
+    from paperloom.plans.records import style_profile
+
+    # ten decimals would write 0.05, and 0.1 as its mean
+    rows = [(1, 1, "view", 0.04999999999999), (2, 2, "view", 0.05)]
+    events = spark.createDataFrame(rows, "t long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("t"))
+    assert {r.user_id: r.mean_value for r in style_profile(SimpleNamespace(events=events)).collect()} == {1: 0.0, 2: 0.1}
